@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framelake.session import ship_package
+
 from .common import staged
 
 ROWS_PER_RANGE, SAMPLES_PER_RANGE, LEAST_RANGES = 100_000, 16, 256
@@ -50,6 +52,7 @@ def _sample(rows: DataFrame, per_byte: float) -> list[tuple[int, int]]:
 
 def shard_by_bytes(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """``key, size, text_crc32, law, shard, slot, grown_shard`` for every record; the law is ``bytes``."""
+    ship_package(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key),
