@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .kneser_ney import classify
 from .media import media_columns
 from .packing import pack
 from .pii import detect
@@ -26,6 +27,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op7_pii": op7_pii,
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
