@@ -91,10 +91,7 @@ def _variants(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
 
 
 def links(fps: DataFrame, *, radius: int = 4, blocks: int = 3, crowd: int = 64) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that keep every component of the links within ``radius`` whole.
-
-    All pairs of keys with up to ``crowd`` members are given; members of larger keys are tied through shared ball variants.
-    """
+    """Pairs (a, b), a < b, of distinct fingerprints with the components of all links within ``radius``."""
     if radius % 2:
         raise ValueError("an even radius is needed")
     near = F.bit_count(F.expr("a ^ b")) <= radius
@@ -105,8 +102,10 @@ def links(fps: DataFrame, *, radius: int = 4, blocks: int = 3, crowd: int = 64)
     if many.isEmpty():
         return pairs.distinct()
     members = staged(emitted.join(many, "variant"), "simhash-members")
-    small = members.where(F.col("n") <= crowd).groupBy("variant").agg(F.collect_list("fp").alias("all"))
-    small = small.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b").where(near)
+    small = members.where(F.col("n") <= crowd).groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("all"))
+    small = small.select(F.explode("all").alias("b"), "all").select("b", F.filter("all", lambda a: (a < F.col("b")) & (F.bit_count(a.bitwiseXOR(F.col("b"))) <= radius)).alias("lower"))
+    # of a member's smaller neighbours all are tied to the smallest, which keeps the component and not every pair
+    small = small.where(F.size("lower") > 0).select(F.element_at("lower", 1).alias("a"), F.explode(F.concat(F.array("b"), F.expr("slice(lower, 2, size(lower))"))).alias("b"))
     hot = members.where(F.col("n") > crowd).select("fp").distinct()
     if not hot.isEmpty():
         spread = _variants(hot, radius, 1)
@@ -117,6 +116,9 @@ def links(fps: DataFrame, *, radius: int = 4, blocks: int = 3, crowd: int = 64)
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b); the root is the smallest vertex of the component."""
+    smallest = edges.groupBy("b").agg(F.min("a").alias("m"))
+    tied = edges.join(smallest, "b")  # again every smaller neighbour is tied to the smallest
+    edges = tied.select(F.col("m").alias("a"), "b").unionByName(tied.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("v"), F.least("a", "l").alias("root")), "labels")
     while True:
@@ -130,10 +132,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks: int = 3, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id, n_links`` for every row.
+    """``doc_id, fingerprint, component_id`` for every row.
 
-    ``component_id`` is the smallest id reachable by links; ``n_links`` counts the other distinct fingerprints linked
-    directly in the pairs kept.  A null or blank text has fingerprint zero and is linked like any other; null ids are
+    ``component_id`` is the smallest id reachable by links.  A null or blank text has fingerprint zero and is linked like any other; null ids are
     passed over when the smallest is sought; repeated rows share their component; an empty table gives no rows; other
     columns are ignored.
     """
@@ -141,9 +142,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-links")
     groups = components(edges)
-    degrees = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
-    known = distinct.join(groups.join(degrees, "v"), distinct.fp == groups.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    known = staged(known, "simhash-known")
+    known = staged(distinct.join(groups, distinct.fp == groups.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id", "n_links")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    named = known.join(least, "root").select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
