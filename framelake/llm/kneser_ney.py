@@ -11,6 +11,7 @@ class, plus a margin; short texts have wider classes by themselves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def grams(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes[keep[ORDER - 1 :]], sizes
 
 
-def _parts(column: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) in runs of about ``most`` bytes."""
     at, held, size = 0, [], 0
     for k, x in enumerate(column):
@@ -70,19 +71,27 @@ def _parts(column: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, list[by
         yield at, held
 
 
+def _counted(total: np.ndarray) -> pa.RecordBatch:
+    g = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(total[g].astype(np.int64))], ["g", "c"])
+
+
 def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
     """(g, c): how often each four-gram occurs; a task gives each of its four-grams once."""
     ship_package(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = alphabet(), None
+        table, total, size = alphabet(), np.zeros(SYMBOLS**ORDER, dtype=np.uint32), 0
         for batch in batches:
             for _, part in _parts(batch.column(0)):
-                found = np.bincount(grams(part, table)[0], minlength=SYMBOLS**ORDER)
-                total = found if total is None else total + found
-        if total is not None:
-            g = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(total[g])], ["g", "c"])
+                codes, _ = grams(part, table)
+                if size + len(codes) >= 1 << 32:
+                    yield _counted(total)
+                    total[:], size = 0, 0
+                g, c = np.unique(codes, return_counts=True)
+                total[g] += c.astype(np.uint32)
+                size += len(codes)
+        yield _counted(total)
 
     return texts.select(text).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -96,36 +105,60 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) for k in (1, 2, 3))
 
 
-def train(trusted: DataFrame, text: str = "text") -> np.ndarray:
-    """log2 p(symbol | three symbols) of every four-gram as a dense array of 2**24 floats."""
-    counts = staged(count_grams(trusted, text), "kn-counts")
-    dense = np.full(1, 1.0 / SYMBOLS)
-    tables = {ORDER: counts}
+#: Of each order: (n-gram, discounted share) and (context, back-off weight), as (keys, values).
+Model = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def train(trusted: DataFrame, text: str = "text") -> Model:
+    """Shares and weights of all orders; at most 64**4 n-grams, whatever the corpus."""
+    tables = {ORDER: staged(count_grams(trusted, text), "kn-counts")}
     for order in range(ORDER - 1, 0, -1):  # how many symbols precede it
         tables[order] = staged(tables[order + 1].select(F.expr(f"g & {SYMBOLS**order - 1}").alias("g")).groupBy("g").agg(F.count("*").alias("c")), f"kn-continuations-{order}")
+    model = []
     for order in range(1, ORDER + 1):
         d1, d2, d3 = discounts(tables[order])
         rows = tables[order].withColumn("h", F.shiftright("g", SHIFT)).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
         contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-        shares = rows.join(contexts, "h").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("share")).toPandas()
-        backoff = contexts.select("h", (F.col("held") / F.col("total")).alias("weight")).toPandas()
-        weights = np.ones(SYMBOLS ** (order - 1))  # an unseen context leaves all to the shorter one
-        weights[backoff.h.to_numpy(np.int64)] = backoff.weight.to_numpy(np.float64)
-        shorter = np.full((1, SYMBOLS), dense[0]) if order == 1 else np.tile(dense.reshape(-1, SYMBOLS), (SYMBOLS if order > 2 else 1, 1))
-        longer = weights[:, None] * shorter
-        dense = longer.ravel()
-        dense[shares.g.to_numpy(np.int64)] += shares.share.to_numpy(np.float64)
-    return np.log2(dense).astype(np.float32)
-
-
-def score(docs: DataFrame, model: np.ndarray, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+        shares = rows.join(contexts, "h").select(F.col("g").cast("int"), ((F.col("c") - F.col("d")) / F.col("total")).cast("float").alias("share")).toPandas()
+        backoff = contexts.select(F.col("h").cast("int"), (F.col("held") / F.col("total")).cast("float").alias("weight")).toPandas()
+        model.append((shares.g.to_numpy(), shares.share.to_numpy(), backoff.h.to_numpy(), backoff.weight.to_numpy()))
+    return model
+
+
+def probabilities(model: Model) -> np.ndarray:
+    """p(symbol | three symbols) of every four-gram, seen or not: a dense array of 2**24 floats."""
+    dense = np.full((1, 1), 1.0 / SYMBOLS, dtype=np.float32)
+    for order, (g, share, h, weight) in enumerate(model, 1):
+        weights = np.ones(SYMBOLS ** (order - 1), dtype=np.float32)  # an unseen context leaves all to the shorter one
+        weights[h] = weight
+        shorter = dense if order == 1 else dense.reshape(-1, SYMBOLS)
+        longer = np.empty((max(1, SYMBOLS ** (order - 1) // len(shorter)), len(shorter), SYMBOLS), dtype=np.float32)
+        np.multiply(shorter, weights.reshape(-1, len(shorter), 1), out=longer)
+        dense = longer.reshape(-1)
+        dense[g] += share
+    return dense
+
+
+_costs: dict[str, np.ndarray] = {}
+
+
+def _log_table(token: str, model: Model) -> np.ndarray:
+    """The dense table, built once in a worker process."""
+    if token not in _costs:
+        _costs.clear()
+        table = probabilities(model)
+        _costs[token] = np.log2(table, out=table)
+    return _costs[token]
+
+
+def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id, lang, n_bytes, bits``: bits per symbol of every whole text, null without text."""
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, costs = alphabet(), shared.value
+        table, costs = alphabet(), _log_table(token, shared.value)
         for batch in batches:
             sizes, bits = np.zeros(batch.num_rows, dtype=np.int64), np.full(batch.num_rows, np.nan)
             for first, part in _parts(batch.column(2)):
