@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import detect
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
+from .suffix_index import remove_repeats
 from .url_filter import filter_urls, rules_table
 
 #: Fixed values of the page rules: (action, host, path).
@@ -29,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_repeats": op3_repeats,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
