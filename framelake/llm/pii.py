@@ -141,10 +141,9 @@ def disclosing(found: DataFrame, docs: DataFrame, *, alpha: float = 0.8, support
     pairs = pairs.groupBy("p.entity", "p.term").agg(F.sum("rows").alias("df_et"), F.count("*").alias("texts"))
     entities = texts.select("rows", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.sum("rows").alias("df_e"))
     pairs = staged(pairs.where(F.col("texts") >= support), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    frequencies = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    scored = pairs.join(entities, "entity").join(frequencies, "term")
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("word"))
+    frequencies = words.groupBy(F.xxhash64("word").alias("code")).agg(F.count("*").alias("df_t"))  # every word is counted, by its hash
+    scored = pairs.join(entities, "entity").withColumn("code", F.xxhash64("term")).join(frequencies, "code")
     pmi = F.log2(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))
     scored = scored.withColumn("over", pmi - alpha * F.log2(F.lit(float(n)) / F.col("df_e"))).where("over >= 0 AND df_e < " + str(max(n, 1)))
     return scored.select("entity", "term", F.when(F.col("over") >= F.log2(F.lit(remove_factor)), "drop").otherwise("term").alias("how"))
