@@ -151,6 +151,21 @@ def _log_table(token: str, model: Model) -> np.ndarray:
     return _costs[token]
 
 
+def _bits(column: pa.Array, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bits per symbol) of every text; not a number without text."""
+    table = alphabet()
+    sizes, bits = np.zeros(len(column), dtype=np.int64), np.full(len(column), np.nan)
+    for first, part in _parts(column):
+        codes, n = grams(part, table)
+        sums = np.concatenate(([0.0], np.cumsum(costs[codes], dtype=np.float64)))
+        ends = np.cumsum(n)
+        at = slice(first, first + len(part))
+        sizes[at] = n
+        with np.errstate(invalid="ignore"):
+            bits[at] = -(sums[ends] - sums[ends - n]) / n
+    return sizes, bits
+
+
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id, lang, n_bytes, bits``: bits per symbol of every whole text, null without text."""
     spark = docs.sparkSession
@@ -158,17 +173,9 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, costs = alphabet(), _log_table(token, shared.value)
+        costs = _log_table(token, shared.value)
         for batch in batches:
-            sizes, bits = np.zeros(batch.num_rows, dtype=np.int64), np.full(batch.num_rows, np.nan)
-            for first, part in _parts(batch.column(2)):
-                codes, n = grams(part, table)
-                sums = np.concatenate(([0.0], np.cumsum(costs[codes], dtype=np.float64)))
-                ends = np.cumsum(n)
-                at = slice(first, first + len(part))
-                sizes[at] = n
-                with np.errstate(invalid="ignore"):
-                    bits[at] = -(sums[ends] - sums[ends - n]) / n
+            sizes, bits = _bits(batch.column(2), costs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(bits, from_pandas=True)], ["doc_id", "lang", "n_bytes", "bits"])
 
     return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{lang}` AS lang", f"`{text}` AS text").mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
@@ -190,12 +197,54 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, mar
     trusted = trusted_ids(labels, key)
     ids = docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text")
     model = train(ids.join(trusted, "doc_id", "left_semi").select("text"))
-    grade = F.least(F.greatest(F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2), F.lit(2)), F.lit(6)).cast("int")
-    scored = staged(score(docs, model, key=key, text=text, lang=lang).withColumn("tongue", F.coalesce("lang", F.lit("und"))).withColumn("grade", grade), "kn-scores")
-    return judge(scored, trusted, quantile, margin)
+    scored = staged(_graded(score(docs, model, key=key, text=text, lang=lang)), "kn-scores")
+    limits = thresholds(scored, trusted, quantile, margin)
+    return scored.join(limits, ["tongue", "grade"], "left").select(
+        "doc_id", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", (F.col("bits").isNotNull() & (F.col("threshold").isNull() | (F.col("bits") <= F.col("threshold")))).alias("kept")
+    )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 1.05, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with their columns, that ``classify`` keeps; texts are scored again rather than joined."""
+    spark = docs.sparkSession
+    trusted = trusted_ids(labels, key)
+    ids = docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text")
+    model = train(ids.join(trusted, "doc_id", "left_semi").select("text"))
+    scored = staged(_graded(score(docs, model, key=key, text=text, lang=lang)), "kn-scores")
+    # as many rows as languages and length classes
+    limits = {(r.tongue, r.grade): r.threshold for r in thresholds(scored, trusted, quantile, margin).collect()}
+    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = _log_table(token, shared.value)
+        for batch in batches:
+            sizes, bits = _bits(batch.column(at_text), costs)
+            tongues = batch.column(at_lang).to_pylist()
+            good = []
+            for n, b, x in zip(sizes.tolist(), bits.tolist(), tongues, strict=True):
+                limit = limits.get((x if x is not None else UNKNOWN, length_class(n)))
+                good.append(n > 0 and (limit is None or b <= limit))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+UNKNOWN = "und"
+
+
+def length_class(n: int) -> int:
+    """Powers of four of the length in bytes, 2 to 6."""
+    return min(max((max(n, 1).bit_length() - 1) // 2, 2), 6)
 
-def judge(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float) -> DataFrame:
+
+def _graded(scored: DataFrame) -> DataFrame:
+    powers = F.length(F.bin(F.greatest("n_bytes", F.lit(1)))) - 1
+    return scored.withColumn("tongue", F.coalesce("lang", F.lit(UNKNOWN))).withColumn("grade", F.least(F.greatest(F.floor(powers / 2), F.lit(2)), F.lit(6)).cast("int"))
+
+
+def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """(tongue, grade, threshold) of every language and length class that occurs."""
     known = scored.where("bits IS NOT NULL").join(trusted, "doc_id", "left_semi")
     at = lambda: F.percentile_approx("bits", F.lit(quantile), F.lit(10_000))
     # as many rows as languages and length classes
@@ -205,7 +254,4 @@ def judge(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float)
     limits = scored.select("tongue", "grade").distinct().join(fine, ["tongue", "grade"], "left").join(coarse, "tongue", "left").join(F.broadcast(every))
     wide = F.when(F.coalesce("m", F.lit(0)) >= 30, F.col("coarse")).otherwise(F.greatest("coarse", "every"))
     limit = F.when(F.coalesce("n", F.lit(0)) >= 30, F.col("fine")).otherwise(F.greatest("fine", wide))
-    limits = limits.select("tongue", "grade", (limit * margin).alias("threshold"))
-    return scored.join(limits, ["tongue", "grade"], "left").select(
-        "doc_id", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", (F.col("bits").isNotNull() & (F.col("threshold").isNull() | (F.col("bits") <= F.col("threshold")))).alias("kept")
-    )
+    return limits.select("tongue", "grade", (limit * margin).alias("threshold"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.session import ship_package
 
@@ -131,18 +132,51 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "root")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks: int = 3, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row.
-
-    ``component_id`` is the smallest id reachable by links.  A null or blank text has fingerprint zero and is linked like any other; null ids are
-    passed over when the smallest is sought; repeated rows share their component; an empty table gives no rows; other
-    columns are ignored.
-    """
+def _grouped(docs: DataFrame, words: int, radius: int, blocks: int, crowd: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp) of every row, (fp, component_id) of every fingerprint)."""
     marked = staged(fingerprints(docs, words=words, key=key, text=text), "simhash-docs")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-links")
     groups = components(edges)
     known = staged(distinct.join(groups, distinct.fp == groups.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
+    return marked, known.join(least, "root").select("fp", "first", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks: int = 3, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row.
+
+    ``component_id`` is the smallest id reachable by links.  A null or blank text has fingerprint zero and is linked like
+    any other; null ids are passed over when the smallest is sought; repeated rows share their component; an empty table
+    gives no rows; other columns are ignored.
+    """
+    marked, named = _grouped(docs, words, radius, blocks, crowd, key, text)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, blocks: int = 3, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the same columns and one row of every group: the one with the smallest id.
+
+    Of rows that share that id the one with the smallest fingerprint stays, of repeated rows one.
+    """
+    marked, named = _grouped(docs, words, radius, blocks, crowd, key, text)
+    # of each component the fingerprint under which the smallest id occurs
+    chosen = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.any_value("component_id").alias("id"))
+    kept = staged(chosen.select("fp", "id"), "simhash-kept")
+    rows = marked.join(kept, (marked.fp == kept.fp) & marked.doc_id.eqNullSafe(kept.id)).select(marked.doc_id, marked.fp)
+    repeats = staged(rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "simhash-rows")
+    kept_docs = _with_fingerprint(docs, words, text).join(repeats.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept")), F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
+    if not repeats.where("n > 1").isEmpty():
+        kept_docs = kept_docs.dropDuplicates([key, "__fp"])
+    return kept_docs.select(docs.columns)
+
+
+def _with_fingerprint(docs: DataFrame, words: int, text: str) -> DataFrame:
+    where, names = docs.columns.index(text), [*docs.columns, "__fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(where)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
