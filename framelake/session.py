@@ -1,12 +1,13 @@
-"""Ships this package to the Python workers, so a cluster needs no installation of it."""
+"""What operators need of a session: a shared folder for intermediate tables, and this package on the Python workers."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,26 @@ def ship_package(spark: SparkSession) -> None:
             out.write(module, module.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(zipped))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session names none (tests, a laptop) a temporary folder is set as the checkpoint folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    kept = spark.sparkContext.getCheckpointDir()
+    if not kept:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
+        kept = spark.sparkContext.getCheckpointDir()
+    return kept.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
