@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.session import staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a temporary folder is set as the checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    kept = spark.sparkContext.getCheckpointDir()
-    if not kept:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
-        kept = spark.sparkContext.getCheckpointDir()
-    return kept.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def fresh(name: str, taken: list[str]) -> str:
-    """A column name that clashes with none of ``taken``."""
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
