@@ -32,7 +32,7 @@ from .common import staged
 
 NEED, GRAM = 200, 48
 BASE = 0x9E3779B97F4A7C15 | 1
-SHARD_BYTES, PART = 4 << 20, 1 << 23
+SHARD_BYTES, PART = 2 << 20, 1 << 21
 
 
 def _powers(n: int, base: int) -> np.ndarray:
