@@ -31,6 +31,7 @@ from framelake.session import ship_package
 from .common import staged
 
 SEED, BITS = 42, 64
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -100,8 +101,11 @@ def links(fps: DataFrame, *, radius: int = 4, blocks: int = 3, crowd: int = 64)
     met = staged(emitted.repartition("variant").groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-met")
     pairs = met.where("n = 2").select("a", "b").where(near)
     many = met.where("n > 2").select("variant", "n")
-    if many.isEmpty():
+    size = many.count()
+    if not size:
         return pairs.distinct()
+    if size <= BROADCAST_ROWS:  # few enough to meet the variants where they are made; beyond it the join shuffles them
+        many = F.broadcast(many)
     members = staged(emitted.join(many, "variant"), "simhash-members")
     small = members.where(F.col("n") <= crowd).groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     small = small.select(F.explode("all").alias("b"), "all").select("b", F.filter("all", lambda a: (a < F.col("b")) & (F.bit_count(a.bitwiseXOR(F.col("b"))) <= radius)).alias("lower"))
