@@ -73,7 +73,8 @@ def scaled(b: Column, factor: Column | float, width: Column | int, height: Colum
 
 
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
-    return F.greatest(F.lit(low), F.least(x, F.lit(high)))
+    """``x`` within the bounds; a null stays null, which least and greatest alone would drop."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(x, F.lit(high))))
 
 
 def square_crop(cx: Column, cy: Column, side: Column, width: Column, height: Column) -> Column:

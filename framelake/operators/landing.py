@@ -1,11 +1,14 @@
 """Where a goal was shot from: cascades over ball tracks, person boxes and chains.
 
-Goals meet detections and boxes through bucketed range joins, so only the rows of a goal's window are grouped; a group is
-one goal.
+A group is one file, whose rows are sorted once for all its goals; only files with goals are shuffled.  The release probe
+needs no group and is a chain of joins and windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,117 +45,122 @@ def goal_tracks(tracks: DataFrame, *, longer: bool = False, slack: int = 100, mo
     return best if most is None else best.where(F.col("dist") <= most)
 
 
-def _tracks(det: pd.DataFrame, gate: float) -> dict[int, pd.DataFrame]:
-    det = det.sort_values(["frame", "det"], kind="stable")
-    numbers = link_nearest(det.frame.to_numpy(), det.cx.to_numpy(), det.cy.to_numpy(), gate=gate, patience=2)
-    return dict(list(det.assign(track=numbers).groupby("track")))
-
-
-def _boxes(persons: pd.DataFrame) -> dict[int, list[tuple[int, np.ndarray]]]:
-    out: dict[int, list] = {}
-    for r in persons.sort_values(["frame", "box"]).itertuples():
-        out.setdefault(r.frame, []).append((r.box, np.array([r.x1, r.y1, r.x2, r.y2])))
-    return out
-
-
-def _holder(track: pd.DataFrame, boxes: dict) -> tuple[int, np.ndarray] | None:
-    """The last point of the track inside a box of its frame."""
-    for r in track.iloc[::-1].itertuples():
-        for _, b in boxes.get(r.frame, []):
-            if b[0] <= r.cx <= b[2] and b[1] <= r.cy <= b[3]:
-                return r.frame, b
-    return None
-
-
-def _first_holder(track: pd.DataFrame, boxes: dict) -> tuple[int, np.ndarray] | None:
-    """The box nearest to the track's first point."""
-    r = track.iloc[0]
-    found = boxes.get(r.frame, [])
-    if not found:
+@dataclass
+class File:
+    """The detections and person boxes of one file, by frame and ordinal."""
+
+    frame: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    boxes: dict[int, list[tuple[int, np.ndarray]]]
+
+    def tracks(self, low: int, high: int, gate: float) -> list[np.ndarray]:
+        """Row numbers of the tracks that the window's detections form."""
+        a, b = np.searchsorted(self.frame, [low, high + 1])
+        numbers = link_nearest(self.frame[a:b], self.x[a:b], self.y[a:b], gate=gate, patience=2)
+        order = np.argsort(numbers, kind="stable")
+        return [a + part for part in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)] if b > a else []
+
+    def holder(self, track: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """The last point of the track inside a box of its frame."""
+        for r in track[::-1]:
+            for _, b in self.boxes.get(int(self.frame[r]), []):
+                if b[0] <= self.x[r] <= b[2] and b[1] <= self.y[r] <= b[3]:
+                    return int(self.frame[r]), b
         return None
-    return int(r.frame), min(found, key=lambda kb: np.hypot(r.cx - (kb[1][0] + kb[1][2]) // 2, r.cy - (kb[1][1] + kb[1][3]) // 2))[1]
 
+    def start(self, track: np.ndarray) -> tuple[int, np.ndarray] | None:
+        """The box nearest to the track's first point."""
+        r = track[0]
+        found = self.boxes.get(int(self.frame[r]), [])
+        if not found:
+            return None
+        return int(self.frame[r]), min(found, key=lambda kb: np.hypot(self.x[r] - (kb[1][0] + kb[1][2]) // 2, self.y[r] - (kb[1][1] + kb[1][3]) // 2))[1]
 
-def _pick(tracks: dict, anchor: int, xy: tuple[float, float] | None, longer: bool, slack_px: float, slack_f: float, most: float) -> pd.DataFrame | None:
-    last = {t: g.iloc[-1] for t, g in tracks.items()}
-    if xy is None:
-        chosen = choose_track([(t, abs(r.frame - anchor), len(tracks[t])) for t, r in last.items()], longer=longer, slack=slack_f, most=None)
-    else:
-        chosen = choose_track([(t, float(np.hypot(r.cx - xy[0], r.cy - xy[1])), len(tracks[t])) for t, r in last.items()], longer=longer, slack=slack_px, most=most)
-    return None if chosen is None else tracks[chosen]
+    def pick(self, tracks: list[np.ndarray], anchor: int, xy: tuple[float, float] | None, longer: bool, slack_px: float, slack_f: float, most: float) -> np.ndarray | None:
+        ends = [t[-1] for t in tracks]
+        if xy is None:
+            chosen = choose_track([(k, abs(float(self.frame[r]) - anchor), len(tracks[k])) for k, r in enumerate(ends)], longer=longer, slack=slack_f, most=None)
+        else:
+            chosen = choose_track([(k, float(np.hypot(self.x[r] - xy[0], self.y[r] - xy[1])), len(tracks[k])) for k, r in enumerate(ends)], longer=longer, slack=slack_px, most=most)
+        return None if chosen is None else tracks[chosen]
 
 
-def locate(det: pd.DataFrame, persons: pd.DataFrame, anchor: int, xy: tuple | None, *, gate: float, most: float) -> tuple:
+def locate(file: File, anchor: int, xy: tuple | None, *, before: int, after: int, gate: float, most: float) -> tuple:
     """(path, reason, frame, box or None, track length, tracks): the last holder on the goal's track, else the box nearest
     to where the track starts."""
-    tracks, boxes = _tracks(det, gate) if len(det) else {}, _boxes(persons)
+    tracks = file.tracks(anchor - before, anchor + after, gate)
     if not tracks:
         return "", "no_track", -1, None, 0, 0
-    track = _pick(tracks, anchor, xy, False, 0, 0, most)
+    track = file.pick(tracks, anchor, xy, False, 0, 0, most)
     if track is None:
         return "", "no_track_near_anchor", -1, None, 0, len(tracks)
-    held = _holder(track, boxes)
+    held = file.holder(track)
     if held:
         return "held", "", *held, len(track), len(tracks)
-    start = _first_holder(track, boxes)
+    start = file.start(track)
     return ("start", "start_fallback", *start, len(track), len(tracks)) if start else ("", "no_person", -1, None, len(track), len(tracks))
 
 
-def land(det: pd.DataFrame, persons: pd.DataFrame, anchor: int, xy: tuple | None, *, gate: float, most: float, held_before: int, release: int, tolerance: int, start_before: int, span: int, least_iou: float) -> tuple:
+def land(file: File, anchor: int, xy: tuple | None, *, before: int, after: int, gate: float, most: float, held_before: int, release: int, tolerance: int, start_before: int, span: int, least_iou: float) -> tuple:
     """The shooter's box one second before the anchor: by the chain from the last holder, else where the track starts."""
-    tracks, boxes = _tracks(det, gate) if len(det) else {}, _boxes(persons)
+    tracks = file.tracks(anchor - before, anchor + after, gate)
     if not tracks:
         return "", "no_track", -1, None, 0, 0
-    track = _pick(tracks, anchor, xy, True, 100, 5, most)
+    track = file.pick(tracks, anchor, xy, True, 100, 5, most)
     if track is None and xy is not None:
-        track = _pick(tracks, anchor, None, True, 100, 5, most)
+        track = file.pick(tracks, anchor, None, True, 100, 5, most)
     if track is None:
         return "", "no_track_near_anchor", -1, None, 0, len(tracks)
     size = (len(track), len(tracks))
-    early = track[track.frame <= anchor - held_before]
-    seed = (_holder(early, boxes) or _first_holder(early, boxes)) if len(early) else None
+    early = track[file.frame[track] <= anchor - held_before]
+    seed = (file.holder(early) or file.start(early)) if len(early) else None
     if seed:
-        chain = trace(boxes, *seed, span=span, least_iou=least_iou)
+        chain = trace(file.boxes, *seed, span=span, least_iou=least_iou)
         frame = min(sorted(chain), key=lambda f: abs(f - (anchor - release)))
         if abs(frame - (anchor - release)) <= tolerance:
             return "trace", "", frame, chain[frame], *size
-    first = track.iloc[0]
-    if anchor - first.frame >= start_before and boxes.get(first.frame):
-        return "track_start", "", int(first.frame), _first_holder(track, boxes)[1], *size
+    first = int(file.frame[track[0]])
+    if anchor - first >= start_before and file.boxes.get(first):
+        return "track_start", "", first, file.start(track)[1], *size
     return "", "no_landing", -1, None, *size
 
 
-def _per_goal(goals: DataFrame, det: DataFrame, persons: DataFrame, before: int, after: int, spare: int, judge) -> DataFrame:
+def _per_goal(goals: DataFrame, det: DataFrame, persons: DataFrame, judge: Callable[[File, int, tuple | None], tuple]) -> DataFrame:
     ship_package(goals.sparkSession)
-    g = goals.select(F.col("fid").cast("long"), F.col("goal").cast("long"), F.col("anchor").cast("long"), F.col("ax").cast("double"), F.col("ay").cast("double"))
-    d = range_join(det.select(F.col("fid").cast("long"), *[F.col(c).cast("long") for c in ("frame", "det", "cx", "cy")]), g, keys=["fid"], at="frame", low=F.col("anchor") - before, high=F.col("anchor") + after, width=before + after + 1)
-    p = range_join(persons.select(F.col("fid").cast("long"), *[F.col(c).cast("long") for c in ("frame", "box", "x1", "y1", "x2", "y2")]), g, keys=["fid"], at="frame", low=F.col("anchor") - before - spare, high=F.col("anchor") + after + spare, width=before + after + 2 * spare + 1)
     none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
-    rows = g.select("goal", "anchor", "ax", "ay", F.lit(0).alias("kind"), *none("frame", "ord", "cx", "cy", "x2", "y2"))
-    rows = rows.unionByName(d.select("goal", "anchor", "ax", "ay", F.lit(1).alias("kind"), "frame", F.col("det").alias("ord"), "cx", "cy", *none("x2", "y2")))
-    rows = rows.unionByName(p.select("goal", "anchor", "ax", "ay", F.lit(2).alias("kind"), "frame", F.col("box").alias("ord"), F.col("x1").alias("cx"), F.col("y1").alias("cy"), "x2", "y2"))
+    whole = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
+    rows = goals.select(*whole("fid"), F.lit(0).alias("kind"), F.col("anchor").cast("long").alias("frame"), F.col("goal").cast("long").alias("ord"), F.col("ax").cast("long").alias("a"), F.col("ay").cast("long").alias("b"), *none("c", "d"))
+    rows = rows.unionByName(det.select(*whole("fid"), F.lit(1).alias("kind"), *whole("frame"), F.col("det").cast("long").alias("ord"), F.col("cx").cast("long").alias("a"), F.col("cy").cast("long").alias("b"), *none("c", "d")))
+    rows = rows.unionByName(persons.select(*whole("fid"), F.lit(2).alias("kind"), *whole("frame"), F.col("box").cast("long").alias("ord"), F.col("x1").cast("long").alias("a"), F.col("y1").cast("long").alias("b"), F.col("x2").cast("long").alias("c"), F.col("y2").cast("long").alias("d")))
+    rows = rows.join(goals.select(*whole("fid")).distinct(), "fid", "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = pdf.iloc[0]
-        balls = pdf[pdf.kind == 1].rename(columns={"ord": "det"}).astype({c: "int64" for c in ("frame", "det", "cx", "cy")})
-        people = pdf[pdf.kind == 2].rename(columns={"ord": "box", "cx": "x1", "cy": "y1"}).astype({c: "int64" for c in ("frame", "box", "x1", "y1", "x2", "y2")})
-        xy = None if np.isnan(top.ax) else (top.ax, top.ay)
-        path, reason, frame, b, length, n = judge(balls, people, int(top.anchor), xy)
-        corners = [-1] * 4 if b is None else [int(v) for v in b]
-        return pd.DataFrame([(int(top.goal), path, reason, int(frame), *corners, length, n)], columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return rows.groupBy("goal").applyInPandas(run, RESULT)
+        pdf = pdf.sort_values(["kind", "frame", "ord"], kind="stable")
+        kind, frame, ordinal = (pdf[c].to_numpy() for c in ("kind", "frame", "ord"))
+        a, b, c, d = (pdf[n].to_numpy(dtype=np.float64) for n in "abcd")
+        boxes: dict[int, list] = {}
+        for k in np.flatnonzero(kind == 2):
+            boxes.setdefault(int(frame[k]), []).append((int(ordinal[k]), np.array([a[k], b[k], c[k], d[k]])))
+        balls = kind == 1
+        file, out = File(frame[balls], a[balls], b[balls], boxes), []
+        for k in np.flatnonzero(kind == 0):
+            path, reason, at, box, length, n = judge(file, int(frame[k]), None if np.isnan(a[k]) else (a[k], b[k]))
+            out.append((int(ordinal[k]), path, reason, int(at), *([-1] * 4 if box is None else map(int, box)), length, n))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    return rows.groupBy("fid").applyInPandas(run, RESULT)
 
 
 def locate_scorers(goals: DataFrame, det: DataFrame, persons: DataFrame, *, before: int = 20, after: int = 2, gate: float = 80.0, most: float = 200.0) -> DataFrame:
     """One row for every goal (fid, goal, anchor, ax, ay): who held the ball last."""
-    return _per_goal(goals, det, persons, before, after, 0, lambda d, p, a, xy: locate(d, p, a, xy, gate=gate, most=most))
+    return _per_goal(goals, det, persons, lambda file, anchor, xy: locate(file, anchor, xy, before=before, after=after, gate=gate, most=most))
 
 
 def find_landings(goals: DataFrame, det: DataFrame, persons: DataFrame, *, before: int = 20, after: int = 2, gate: float = 250.0, most: float = 200.0, held_before: int = 2, release: int = 5, tolerance: int = 1, start_before: int = 4, span: int = 10, least_iou: float = 0.3) -> DataFrame:
     """One row for every goal: where the shot was released."""
-    rules = {"gate": gate, "most": most, "held_before": held_before, "release": release, "tolerance": tolerance, "start_before": start_before, "span": span, "least_iou": least_iou}
-    return _per_goal(goals, det, persons, before, after, span, lambda d, p, a, xy: land(d, p, a, xy, **rules))
+    rules = {"before": before, "after": after, "gate": gate, "most": most, "held_before": held_before, "release": release, "tolerance": tolerance, "start_before": start_before, "span": span, "least_iou": least_iou}
+    return _per_goal(goals, det, persons, lambda file, anchor, xy: land(file, anchor, xy, **rules))
 
 
 def probe_releases(goals: DataFrame, det: DataFrame, persons: DataFrame, *, low: int = 2, high: int = 12, max_gap: int = 2, max_step: float = 60.0, edge: int = 8, width: int = 1920, height: int = 1080, least_iou: float = 0.1) -> DataFrame:

@@ -40,7 +40,7 @@ def static_candidates(det: DataFrame, *, track: list[str], size: int = 4, max_mo
         ((F.max("frame") - F.min("frame")) * 2).alias("dur_ds"),
         F.floor(F.sum("cx") / F.count("*")).alias("cx"),
         F.floor(F.sum("cy") / F.count("*")).alias("cy"),
-        F.round(F.avg("conf"), 4).alias("ac"),
+        F.avg("conf").alias("ac"),
         F.count("*").alias("n"),
     )
     return out.where(F.col("dur_ds") <= dead_ds)
