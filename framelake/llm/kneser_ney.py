@@ -23,7 +23,7 @@ from framelake.session import ship_package
 
 from .common import staged
 
-ORDER, SYMBOLS, SHIFT = 4, 64, 6
+ORDER, SYMBOLS, SHIFT, BROADCAST_ROWS = 4, 64, 6, 5_000_000
 
 
 def alphabet() -> np.ndarray:
@@ -182,7 +182,9 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    return labels.where("quality = 1 AND toxic = 0").select(F.col(key).cast("long").alias("doc_id")).distinct()
+    """Ids of trusted documents; up to ``BROADCAST_ROWS`` of them go to the texts, beyond it both sides are shuffled."""
+    ids = staged(labels.where("quality = 1 AND toxic = 0").select(F.col(key).cast("long").alias("doc_id")).distinct(), "kn-trusted")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 1.05, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
