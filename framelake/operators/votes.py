@@ -75,13 +75,13 @@ def purity(groups: DataFrame) -> DataFrame:
 def rule_vote(guesses: DataFrame, *, by: list[str], value: str, high: Column, order: str) -> DataFrame:
     """(by..., number, sure): two equal guesses win (the number seen first among such); a single guess or the only
     confident one must be confident; otherwise null."""
-    per = guesses.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(high.cast("int")).alias("high"))
+    per = guesses.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"), F.min(order).alias("__first"), F.max(high.cast("int")).alias("__high"))
     rules = per.groupBy(*by).agg(
-        F.min(F.when(F.col("n") >= 2, F.struct(F.col("first"), F.col(value).alias("v")))).alias("twice"), F.sum("n").alias("total"), F.sum("high").alias("sure"), F.min(F.when(F.col("high") == 1, F.col(value))).alias("only")
+        F.min(F.when(F.col("__n") >= 2, F.struct("__first", "__v"))).alias("__twice"), F.sum("__high").alias("__sure"), F.min(F.when(F.col("__high") == 1, F.col("__v"))).alias("__only")
     )
     everyone = guesses.select(*by).distinct().join(rules, by, "left")
-    number = F.when(F.col("twice").isNotNull(), F.col("twice.v")).when(F.col("sure") == 1, F.col("only"))
-    return everyone.select(*by, number.alias("number"), F.coalesce(F.col("twice").isNotNull(), F.lit(False)).alias("agreed"))
+    number = F.when(F.col("__twice").isNotNull(), F.col("__twice.__v")).when(F.col("__sure") == 1, F.col("__only"))
+    return everyone.select(*by, number.alias("number"), F.coalesce(F.col("__twice").isNotNull(), F.lit(False)).alias("agreed"))
 
 
 def seeded_evaluation(members: DataFrame, *, track: list[str], order: str, label: str) -> DataFrame:
@@ -102,8 +102,9 @@ def propagate(members: DataFrame, *, track: list[str], key: str, label: str, mix
     """
     per_tag = members.where(F.col(label).isNotNull()).groupBy(*track, label).agg(F.count("*").alias("n"))
     tags = per_tag.groupBy(*track).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("n")))).alias("__tags"))
-    rows = members.withColumn("__mixed", mixed).join(tags, track, "left")
-    own = F.col(label)
+    # a name of its own, lest the lambda take the output column of that name
+    rows = members.withColumn("__mixed", mixed).withColumn("__own", F.col(label)).join(tags, track, "left")
+    own = F.col("__own")
     others = F.map_filter(F.coalesce("__tags", F.create_map().cast("map<string,bigint>")), lambda t, n: ~((t == own) & (n == 1)) | own.isNull())
     names = F.array_sort(F.map_keys(others))
     state = F.when(F.col("__mixed"), "mixed").when(F.size(names) > 1, "conflict").when(F.size(names) == 1, "filled").otherwise("blank")

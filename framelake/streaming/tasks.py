@@ -70,8 +70,8 @@ class Progress(StatefulProcessor):
             best = self.best.get()[0] if self.best.exists() else 0.0
             for r in pdf.sort_values("ts").itertuples():
                 had = self.files.getValue((r.fid,)) if self.files.containsKey((r.fid,)) else (0, 0)
-                total = int(r.total) if r.total and r.total > 0 else had[0]
-                done = total if r.kind == "cached" else max(had[1], int(r.done or 0))
+                total = int(r.total) if pd.notna(r.total) and r.total > 0 else had[0]
+                done = total if r.kind == "cached" else max(had[1], int(r.done) if pd.notna(r.done) else 0)
                 self.files.updateValue((r.fid,), (total, min(done, total)))
             sums = [tuple(v) for _, v in self.files.iterator()]
             whole = sum(t for t, _ in sums)
