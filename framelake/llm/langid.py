@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.session import ship_package
@@ -209,7 +209,7 @@ class Labeller:
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
 
-def held_out(key: str = "doc_id") -> F.Column:
+def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
