@@ -10,11 +10,14 @@ from pyspark.sql.window import Window
 
 from framelake.functions import geometry as geo
 from framelake.functions import keys as k
+from framelake.functions import plugins
 from framelake.operators import clustering, folds, joins, landing, merges, segments, tracking, votes
+from framelake.sources import sinks
 from framelake.sources.scans import detections_of_events
 from framelake.sources.sinks import clip_segments
 from framelake.streaming import tasks
 
+from . import sessions
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -758,3 +761,145 @@ def mined_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rejoin = rejoin_pairs(spark, sf).select("fid", F.col("t0_ds").alias("t0"), "cx", "cy", F.col("a").alias("rid"))
     merged = folds.merge_candidates(static, rejoin, keys=["fid"], time=150, reach=600.0)
     return merged.withColumn("label", F.concat(F.lit("#"), F.row_number().over(Window.partitionBy("fid").orderBy("t0", "src", "cx", "cy")).cast("string")))
+
+
+# --- assembly, audits and reports --------------------------------------------------------------------------------------------
+
+
+@query
+def page_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Confirmed goals with what is known of their scorer; a number prefills before a photo match, that before a name."""
+    goals = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    people = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("number"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("photo"))
+    out = goals.join(people, "c_custkey", "left").join(nations, "c_nationkey", "left")
+    return out.select("o_orderkey", F.coalesce("number", "photo", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), F.lit("")).alias("prefill"), F.when(F.col("c_nationkey").isNull(), "SKIP").otherwise("ok").alias("status"))
+
+
+@query
+def gallery_audit(spark: SparkSession, sf: str) -> DataFrame:
+    d = det(spark, sf).select(F.col("fid").alias("number"), F.floor(F.col("frame") / 60).alias("photo"), F.col("det").alias("face"), F.when(F.col("k") % 10 > 0, F.col("cx") % 300).alias("w"), F.when(F.col("k") % 10 > 0, F.col("cy") % 200).alias("h"))
+    d = d.withColumn("vec", F.when(F.col("w").isNotNull(), F.array(F.col("face").cast("double"))))
+    return plugins.register_gallery(d, number="number", photo="photo").select("number", "photo", "verdict", F.col("vec")[0].alias("face"))
+
+
+@query
+def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.md5(F.col("text").cast("binary")).alias("digest"), "doc_id")
+    cached = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("digest")
+    return plugins.only_misses(docs.select("digest"), cache=cached, key=["digest"])
+
+
+@query
+def truth_classes(spark: SparkSession, sf: str) -> DataFrame:
+    team = F.when(F.col("c_nationkey") < 8, "对手").when(F.col("c_nationkey") < 16, "主队").otherwise("便服")
+    players = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("tag"), team.alias("team")).groupBy("tag").agg(F.min("team").alias("team"))
+    assigned = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 10 == 0, F.lit("NOGOAL")).when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("tag"))
+    return sessions.truth_of(assigned, players)
+
+
+@query
+def track_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = det(spark, sf).withColumn("track", F.floor(F.col("frame") / 120))
+    return d.groupBy("fid", "track").agg(F.count("*").alias("n"), (F.min("frame") * 2).alias("start_ds"), ((F.max("frame") - F.min("frame")) * 2).alias("dur_ds"), F.floor(F.sum("cx") / F.count("*")).alias("cx"), F.floor(F.sum("cy") / F.count("*")).alias("cy"))
+
+
+@query
+def cluster_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters cut to the keys on the page; the first cluster keeps a key listed twice, empty ones drop out."""
+    d = det(spark, sf).select("det", (F.col("k") % 12).alias("cluster"), F.col("frame").alias("anchor"))
+    twice = d.unionByName(d.where("det % 5 = 0").withColumn("cluster", F.col("cluster") + 3))
+    page = det(spark, sf, "purchase").select("det")
+    first = joins.nearest(twice.join(page, "det", "left_semi"), by=["det"], order=[F.col("cluster")])
+    rolled = first.groupBy("cluster").agg(F.count("*").alias("n"), F.min("anchor").alias("first_anchor"))
+    return rolled.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "first_anchor", "cluster")).cast("long"))  # a few clusters
+
+
+@query
+def goal_track_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the views that end near a goal, the longest within 300 pixels of the nearest."""
+    ends = det(spark, sf, "view").select("fid", F.col("det").alias("track"), "cx", "cy", (F.col("k") % 9 + 1).alias("length"))
+    pairs = _goals(spark, sf).join(ends, "fid").where(F.col("goal") % 5 == 0)
+    pairs = pairs.select("goal", "track", "length", geo.distance(F.col("cx"), F.col("cy"), F.col("gx"), F.col("gy")).alias("dist"))
+    return landing.goal_tracks(pairs, longer=True, slack=300, most=500.0).select("goal", "track", "length")
+
+
+@query
+def consistency_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Goals probed again with the window moved both ways: consistent where all hit and land close together."""
+    goals, balls, persons = _cascade(spark, sf)
+    goals = goals.where(F.col("goal") % 4 == 0)
+    runs = None
+    for shift in (0, -8, 8):
+        r = landing.probe_releases(goals.withColumn("anchor", F.col("anchor") + shift), balls, persons, low=2, high=120, max_gap=60, max_step=900.0).select("goal", F.lit(shift).alias("shift"), "reason", "land_x", "land_y")
+        runs = r if runs is None else runs.unionByName(r)
+    base = F.max(F.when(F.col("shift") == 0, F.struct("land_x", "land_y"))).over(Window.partitionBy("goal"))
+    runs = runs.withColumn("b", base).withColumn("ok", (F.col("reason") == "") & (geo.distance(F.col("land_x"), F.col("land_y"), F.col("b.land_x"), F.col("b.land_y")) <= 100))
+    return runs.groupBy("goal").agg(F.bool_and("ok").alias("consistent"), F.count_if(F.col("reason") == "").alias("hits"))
+
+
+@query
+def numbered_clips(spark: SparkSession, sf: str) -> DataFrame:
+    goals = table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    out = sinks.numbered_clips(goals, order=["o_custkey", "o_orderkey"], present=F.col("o_custkey") % 7 > 0)
+    return out.select("o_orderkey", F.col("number").cast("long").alias("number"), "clip", "present")
+
+
+@query
+def audit_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Fifteen rows by a hash of their key: a fixed sample without a generator's state."""
+    rows = table(spark, sf, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    return rows.orderBy("h", "doc_id").limit(15)
+
+
+@query
+def selected_photos(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = det(spark, sf, "signup").where("k < 10").select(F.col("det").alias("id")).unionByName(spark.range(10_000_000, 10_000_003).select("id"))
+    photos = det(spark, sf).select(F.col("det").alias("id"), F.col("fid").alias("video_no"), (F.col("frame") * 2 + 1).alias("deciseconds"))
+    named, unknown = sinks.selected_photos(chosen, photos, key="id")
+    return named.select("id", "file_name").unionByName(unknown.select("id", F.lit("unknown").alias("file_name")))
+
+
+@query
+def nested_result(spark: SparkSession, sf: str) -> DataFrame:
+    out = sinks.nested(det(spark, sf, "purchase"), by="fid", order=["frame", "det"], fields=["k"])
+    return out.select("fid", F.concat_ws(",", F.transform("members", lambda m: F.concat_ws(":", m["frame"], m["det"], m["k"]))).alias("members"))
+
+
+@query
+def team_rules(spark: SparkSession, sf: str) -> DataFrame:
+    tag = F.concat(F.element_at(F.array(F.lit("黑"), F.lit("白"), F.lit("灰T恤-")), (F.col("c_nationkey") % 3 + 1).cast("int")), F.col("c_custkey").cast("string"))
+    session = F.concat(F.lit("d"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("_"), F.col("c_mktsegment"), F.lit("_x"))).otherwise(""))
+    return table(spark, sf, "customer").select("c_custkey", k.team_of(tag).alias("team"), k.opponent_of(session).alias("opponent"), k.aspect(F.col("c_nationkey") * 16 + 160, F.col("c_nationkey") * 9 + F.when(F.col("c_custkey") % 2 == 0, 90).otherwise(120)).alias("aspect"))
+
+
+@query
+def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
+    d = det(spark, sf, "click").withColumns({"x1": F.lit(0), "y1": F.lit(0), "x2": F.col("cx") + 1, "y2": F.col("cy") + 1})
+    b = F.struct("x1", "y1", "x2", "y2")
+    return d.select("det", F.coalesce(plugins.gate_reason(geo.ratio_reason(b), F.col("conf")), F.lit("")).alias("reason"), plugins.crop_team(F.col("k") / 100, F.col("conf")).alias("team"))
+
+
+@query
+def scaled_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    d = boxed(det(spark, sf, "click"), 100)
+    s = geo.scaled(F.struct("x1", "y1", "x2", "y2"), 1.5, 2880, 1620)
+    e = geo.expanded(F.struct("x1", "y1", "x2", "y2"), 0.25, 1920, 1080)
+    return d.select("det", *[s[c].alias(c) for c in geo.BOX], *[e[c].cast("long").alias("e" + c) for c in geo.BOX], geo.center_x(s).alias("scx"))
+
+
+@query
+def event_hoop_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each user's day the smallest distance of a view to the hoop window that contains it, and the last view."""
+    views = det(spark, sf, "view").select("fid", F.col("det").alias("goal"), F.col("frame").alias("anchor"), F.col("cx").alias("gx"), F.col("cy").alias("gy"))
+    inside = joins.containing(views, _hoops(spark, sf), keys=["fid"], point_id="goal", at="anchor", low="w0", high="w1", order="hoop", width=60)
+    rows = views.join(inside.select("goal", "hx", "hy"), "goal", "left").withColumn("day", F.floor(F.col("anchor") / 120))
+    return rows.groupBy("fid", "day").agg(F.round(F.min(geo.distance(F.col("gx"), F.col("gy"), F.col("hx"), F.col("hy"))), 6).alias("hoop_dist"), F.max_by("anchor", F.struct("anchor", "goal")).alias("anchor"))
+
+
+@query
+def probe_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage of the release probe and its pass flag."""
+    hit = F.col("reason") == ""
+    out = release_probe(spark, sf).agg(F.count("*").alias("goals"), F.count_if(hit).alias("hits"), F.count_if(F.col("at_edge")).alias("at_edge"), F.round(F.avg(hit.cast("double")), 6).alias("coverage"))
+    return out.withColumn("passed", F.col("coverage") >= 0.7)

@@ -283,3 +283,48 @@ ORACLES |= {
     "unlinked_boxes": f"{_BEST} SELECT det FROM det WHERE role = 'view' AND det NOT IN (SELECT det FROM best)",
     "held_coverage": f"WITH {DET}, {PERSONS}, {_IOU.format(h=10)} SELECT det, round(max(common / 400.0), 6) AS coverage FROM pairs GROUP BY det HAVING max(common / 400.0) > 0.5",
 }
+
+
+def _probe(shift: int) -> str:
+    """The probe's SQL with every anchor moved, for every fourth goal."""
+    moved = PROBE.replace("frame AS anchor FROM det WHERE role = 'purchase'", f"frame + {shift} AS anchor FROM det WHERE role = 'purchase' AND det % 4 = 0")
+    return f"SELECT goal, {shift} AS shift, reason, land_x, land_y FROM (WITH {DET}, {moved} SELECT * FROM probe)"
+
+
+ORACLES |= {
+    "page_assembly": """SELECT o_orderkey, coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_name END, CASE WHEN n_regionkey > 1 THEN n_name END, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END, '') AS prefill,
+        CASE WHEN c_nationkey IS NULL THEN 'SKIP' ELSE 'ok' END AS status FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'F'""",
+    "gallery_audit": f"""WITH {DET}, f AS (SELECT fid AS number, CAST(floor(frame / 60.0) AS BIGINT) AS photo, det AS face, CASE WHEN k % 10 > 0 THEN cx % 300 END AS w, CASE WHEN k % 10 > 0 THEN cy % 200 END AS h FROM det),
+        r AS (SELECT *, row_number() OVER (PARTITION BY number, photo ORDER BY w * h DESC NULLS LAST, face) AS pick FROM f)
+        SELECT number, photo, CASE WHEN w IS NULL THEN 'no_face' WHEN w < 120 THEN 'too_small' ELSE 'kept' END AS verdict, CASE WHEN w >= 120 THEN CAST(face AS DOUBLE) END AS face FROM r WHERE pick = 1""",
+    "cache_misses": "SELECT DISTINCT md5(text) AS digest FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
+    "truth_classes": """WITH p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS tag, min(CASE WHEN c_nationkey < 8 THEN '对手' WHEN c_nationkey < 16 THEN '主队' ELSE '便服' END) AS team FROM customer GROUP BY 1),
+        a AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS tag FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 10 <> 0)
+        SELECT key, CASE WHEN team IN ('对手', '便服') THEN 'unjudgeable' WHEN regexp_matches(a.tag, '[0-9]') THEN 'ours_numbered' ELSE 'no_number' END AS truth FROM a JOIN p ON p.tag = a.tag""",
+    "track_summary": f"""WITH {DET} SELECT fid, {DAY} AS track, count(*) AS n, min(frame) * 2 AS start_ds, (max(frame) - min(frame)) * 2 AS dur_ds, CAST(floor(CAST(sum(cx) AS DOUBLE) / count(*)) AS BIGINT) AS cx, CAST(floor(CAST(sum(cy) AS DOUBLE) / count(*)) AS BIGINT) AS cy FROM det GROUP BY 1, 2""",
+    "cluster_rollup": f"""WITH {DET}, t AS (SELECT det, k % 12 AS cluster, frame, role FROM det UNION ALL SELECT det, k % 12 + 3, frame, role FROM det WHERE det % 5 = 0),
+        f AS (SELECT det, min(cluster) AS cluster, min(frame) AS anchor FROM t WHERE role = 'purchase' GROUP BY det), r AS (SELECT cluster, count(*) AS n, min(anchor) AS first_anchor FROM f GROUP BY cluster)
+        SELECT *, row_number() OVER (ORDER BY n DESC, first_anchor, cluster) AS position FROM r""",
+    "goal_track_choice": f"""WITH {DET}, {GOALS}, p AS (SELECT goal, v.det AS track, v.k % 9 + 1 AS length, sqrt(CAST((v.cx - gx) * (v.cx - gx) + (v.cy - gy) * (v.cy - gy) AS DOUBLE)) AS dist FROM goals g JOIN det v ON v.fid = g.fid AND v.role = 'view' WHERE goal % 5 = 0),
+        q AS (SELECT *, min(dist) OVER (PARTITION BY goal) AS low FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY length DESC, dist, track) AS pick FROM q WHERE dist <= low + 300)
+        SELECT goal, track, length FROM r WHERE pick = 1 AND dist <= 500""",
+    "consistency_probe": f"""WITH runs AS ({_probe(0)} UNION ALL {_probe(-8)} UNION ALL {_probe(8)}),
+        b AS (SELECT *, max(CASE WHEN shift = 0 THEN land_x END) OVER (PARTITION BY goal) AS bx, max(CASE WHEN shift = 0 THEN land_y END) OVER (PARTITION BY goal) AS by_ FROM runs)
+        SELECT goal, bool_and(reason = '' AND sqrt((land_x - bx) * (land_x - bx) + (land_y - by_) * (land_y - by_)) <= 100) AS consistent, CAST(count_if(reason = '') AS BIGINT) AS hits FROM b GROUP BY goal""",
+    "numbered_clips": "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS number, printf('%03d', row_number() OVER (ORDER BY o_custkey, o_orderkey)) AS clip, o_custkey % 7 > 0 AS present FROM orders WHERE o_orderstatus = 'P'",
+    "audit_sample": "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents ORDER BY h, doc_id LIMIT 15",
+    "selected_photos": f"""WITH {DET}, c AS (SELECT det AS id, fid, frame * 2 + 1 AS ds FROM det WHERE role = 'signup' AND k < 10)
+        SELECT id, printf('%03d_v%03d_t%04d.%d.jpg', row_number() OVER (ORDER BY fid, ds, id), fid, ds // 10, ds % 10) AS file_name FROM c UNION ALL SELECT unnest([10000000, 10000001, 10000002]), 'unknown'""",
+    "nested_result": f"WITH {DET} SELECT fid, string_agg(frame || ':' || det || ':' || k, ',' ORDER BY frame, det) AS members FROM det WHERE role = 'purchase' GROUP BY fid",
+    "team_rules": """WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, CAST(c_nationkey * 16 + 160 AS DOUBLE) / (c_nationkey * 9 + CASE WHEN c_custkey % 2 = 0 THEN 90 ELSE 120 END) AS ratio FROM customer)
+        SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN '对手' WHEN 1 THEN '主队' ELSE '便服' END AS team, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '_x' ELSE '对手' END AS opponent,
+               CASE WHEN abs(ratio / (16 / 9.0) - 1) <= 0.01 THEN '16:9' WHEN abs(ratio / (4 / 3.0) - 1) <= 0.01 THEN '4:3' END AS aspect FROM c""",
+    "quality_gate": f"""WITH {DET}, r AS (SELECT det, conf, k, (cx + 1) / CAST(cy + 1 AS DOUBLE) AS ratio FROM det WHERE role = 'click')
+        SELECT det, CASE WHEN ratio < 0.15 THEN 'narrow' WHEN ratio > 1.2 THEN 'wide' WHEN conf < 0.25 THEN 'no_person' ELSE '' END AS reason, CASE WHEN k / 100.0 >= 0.25 THEN '黑' WHEN conf >= 0.20 THEN '白' ELSE '便服' END AS team FROM r""",
+    "scaled_boxes": f"""WITH {DET}, b AS (SELECT det, cx - 100 AS x1, cy - 100 AS y1, cx + 100 AS x2, cy + 100 AS y2 FROM det WHERE role = 'click'),
+        s AS (SELECT *, greatest(0, least(CAST(round_even(x1 * 1.5, 0) AS BIGINT), 2880)) AS a1, greatest(0, least(CAST(round_even(y1 * 1.5, 0) AS BIGINT), 1620)) AS b1, greatest(0, least(CAST(round_even(x2 * 1.5, 0) AS BIGINT), 2880)) AS a2, greatest(0, least(CAST(round_even(y2 * 1.5, 0) AS BIGINT), 1620)) AS b2 FROM b)
+        SELECT det, a1 AS x1, b1 AS y1, a2 AS x2, b2 AS y2, greatest(x1 - 50, 0) AS ex1, greatest(y1 - 50, 0) AS ey1, least(x2 + 50, 1920) AS ex2, least(y2 + 50, 1080) AS ey2, CAST(floor((a1 + a2) / 2.0) AS BIGINT) AS scx FROM s""",
+    "event_hoop_distance": f"""WITH {DET}, {HOOPS}, v AS (SELECT fid, det, frame, cx, cy FROM det WHERE role = 'view'), h AS (SELECT v.det, min(hoop) AS hoop FROM v JOIN hoops ON hoops.fid = v.fid AND v.frame BETWEEN w0 AND w1 GROUP BY v.det)
+        SELECT v.fid, {DAY} AS day, round(min(sqrt(CAST((v.cx - hx) * (v.cx - hx) + (v.cy - hy) * (v.cy - hy) AS DOUBLE))), 6) AS hoop_dist, max(v.frame) AS anchor FROM v LEFT JOIN h ON h.det = v.det LEFT JOIN hoops ON hoops.hoop = h.hoop GROUP BY 1, 2""",
+    "probe_report": f"""WITH {DET}, {PROBE}, c AS (SELECT count(*) AS goals, CAST(count_if(reason = '') AS BIGINT) AS hits, CAST(count_if(at_edge) AS BIGINT) AS at_edge, round(avg(CASE WHEN reason = '' THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM probe) SELECT *, coverage >= 0.7 AS passed FROM c""",
+}
