@@ -49,7 +49,10 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """A bit is 1 if it is set in over half of the shingle hashes; zero without words."""
-    hashes = shingle_hashes(text, words)
+    return _majority(shingle_hashes(text, words))
+
+
+def _majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
@@ -136,15 +139,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "root")
 
 
-def _grouped(docs: DataFrame, words: int, radius: int, blocks: int, crowd: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, fp) of every row, (fp, component_id) of every fingerprint)."""
-    marked = staged(fingerprints(docs, words=words, key=key, text=text), "simhash-docs")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-links")
+def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, first, root, component_id) of every fingerprint (fp, first)."""
     groups = components(edges)
     known = staged(distinct.join(groups, distinct.fp == groups.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked, known.join(least, "root").select("fp", "first", "root", "component_id")
+    return known.join(least, "root").select("fp", "first", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks: int = 3, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,16 +154,91 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     any other; null ids are passed over when the smallest is sought; repeated rows share their component; an empty table
     gives no rows; other columns are ignored.
     """
-    marked, named = _grouped(docs, words, radius, blocks, crowd, key, text)
+    marked = staged(fingerprints(docs, words=words, key=key, text=text), "simhash-docs")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = _named(distinct, staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-links"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, blocks: int = 3, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+SEGMENT, LEAST_SEGMENT, FAR = 32, 8, 16
+
+
+def segments(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches between shingles whose own hash is a multiple of ``SEGMENT``; short stretches are left out
+    unless they are the whole text."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    starts = np.unique(np.concatenate(([0], np.flatnonzero(hashes % np.uint64(SEGMENT) == 0) + 1)))
+    starts = starts[starts < len(hashes)]
+    sizes = np.diff(np.concatenate((starts, [len(hashes)])))
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    sums = np.add.reduceat(mixed, starts)
+    return np.unique(sums[(sizes >= LEAST_SEGMENT) | (len(starts) == 1)]).view(np.int64)
+
+
+def _sketched(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(doc_id, fp, segs) of every row."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, segs = [], []
+            for x in batch.column(1):
+                hashes = shingle_hashes(x.as_py(), words)
+                fps.append(_signed(_majority(hashes)))
+                segs.append(segments(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(segs, pa.list_(pa.int64()))], ["doc_id", "fp", "segs"])
+
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, fp long, segs array<long>")
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles) from (fp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), words)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+
+
+def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
+    """Pairs (a, b) of fingerprints beyond the ball's radius whose texts share a whole segment and at least ``similarity``
+    of their shingles.
+
+    A segment in up to ``crowd`` texts compares them all; one in more compares each with the text that has most copies.
+    """
+    spread = staged(marked.select("fp", F.explode("segs").alias("seg")).groupBy("seg", "fp").agg(F.count("*").alias("copies")), "simhash-segments")
+    sizes = spread.groupBy("seg").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp")).alias("top")).where("n > 1")
+    members = spread.select("seg", "fp").join(sizes, "seg")
+    few = members.where(F.col("n") <= crowd).groupBy("seg").agg(F.collect_list("fp").alias("all"))
+    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda b: (b > F.col("a")) & F.bit_count(b.bitwiseXOR(F.col("a"))).between(1, FAR))).alias("b"))
+    top = F.col("top.fp")
+    many = members.where(F.col("n") > crowd).where(F.bit_count(F.col("fp").bitwiseXOR(top)).between(1, FAR)).select(F.least("fp", top).alias("a"), F.greatest("fp", top).alias("b"))
+    pairs = staged(few.unionByName(many).distinct(), "simhash-candidates")
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    texts = _with_fingerprint(docs.select(F.col(text).alias("text")), words, "text").withColumnRenamed("__fp", "fp").join(needed, "fp", "left_semi")
+    sets = staged(_shingle_sets(texts, words).groupBy("fp").agg(F.any_value("shingles").alias("shingles")), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, blocks: int = 3, crowd: int = 64, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the same columns and one row of every group: the one with the smallest id.
 
-    Of rows that share that id the one with the smallest fingerprint stays, of repeated rows one.
+    Groups are the components of links within the radius and of pairs that share a segment and ``similarity`` of their
+    shingles, which 64 bits at a small radius often miss.  Of rows that share the smallest id the one with the smallest
+    fingerprint stays, of repeated rows one.
     """
-    marked, named = _grouped(docs, words, radius, blocks, crowd, key, text)
+    marked = staged(_sketched(docs, words, key, text), "simhash-docs")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    edges = links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd)
+    edges = staged(edges.unionByName(similar_pairs(marked, docs, words=words, similarity=similarity, crowd=crowd, text=text)).distinct(), "simhash-links")
+    named = _named(distinct, edges)
     # of each component the fingerprint under which the smallest id occurs
     chosen = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.any_value("component_id").alias("id"))
     kept = staged(chosen.select("fp", "id"), "simhash-kept")
