@@ -84,7 +84,10 @@ class Progress(StatefulProcessor):
 
 
 def progress_stream(lines: DataFrame) -> DataFrame:
-    """(task_id, percent) after every micro-batch of parsed lines (task_id, ts, fid, kind, total, done)."""
+    """(task_id, percent) after every micro-batch of parsed lines (task_id, ts, fid, kind, total, done).
+
+    The session needs the RocksDB state store provider.
+    """
     ship_package(lines.sparkSession)
     return lines.groupBy("task_id").transformWithStateInPandas(Progress(), "task_id string, percent double", "Append", "None")
 
