@@ -11,7 +11,6 @@ class, plus a margin; short texts have wider classes by themselves.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +56,7 @@ def grams(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes[keep[ORDER - 1 :]], sizes
 
 
-def _parts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) in runs of about ``most`` bytes."""
     at, held, size = 0, [], 0
     for k, x in enumerate(column):
@@ -139,16 +138,10 @@ def probabilities(model: Model) -> np.ndarray:
     return dense
 
 
-_costs: dict[str, np.ndarray] = {}
-
-
-def _log_table(token: str, model: Model) -> np.ndarray:
-    """The dense table, built once in a worker process."""
-    if token not in _costs:
-        _costs.clear()
-        table = probabilities(model)
-        _costs[token] = np.log2(table, out=table)
-    return _costs[token]
+def _log_table(model: Model) -> np.ndarray:
+    """The dense table, made for a task and gone with it, so that idle workers hold nothing."""
+    table = probabilities(model)
+    return np.log2(table, out=table)
 
 
 def _bits(column: pa.Array, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +163,10 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     """``doc_id, lang, n_bytes, bits``: bits per symbol of every whole text, null without text."""
     spark = docs.sparkSession
     ship_package(spark)
-    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = _log_table(token, shared.value)
+        costs = _log_table(shared.value)
         for batch in batches:
             sizes, bits = _bits(batch.column(2), costs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(bits, from_pandas=True)], ["doc_id", "lang", "n_bytes", "bits"])
@@ -215,11 +208,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, ma
     scored = staged(_graded(score(docs, model, key=key, text=text, lang=lang)), "kn-scores")
     # as many rows as languages and length classes
     limits = {(r.tongue, r.grade): r.threshold for r in thresholds(scored, trusted, quantile, margin).collect()}
-    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(model)
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = _log_table(token, shared.value)
+        costs = _log_table(shared.value)
         for batch in batches:
             sizes, bits = _bits(batch.column(at_text), costs)
             tongues = batch.column(at_lang).to_pylist()
