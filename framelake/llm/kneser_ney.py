@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.session import ship_package
+from framelake.session import ship_package, tidy
 
 from .common import staged
 
@@ -92,7 +92,7 @@ def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
                 size += len(codes)
         yield _counted(total)
 
-    return texts.select(text).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select(text).mapInArrow(tidy(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             sizes, bits = _bits(batch.column(2), costs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(bits, from_pandas=True)], ["doc_id", "lang", "n_bytes", "bits"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{lang}` AS lang", f"`{text}` AS text").mapInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{lang}` AS lang", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, lang string, n_bytes long, bits double")
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, ma
                 good.append(n > 0 and (limit is None or b <= limit))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 UNKNOWN = "und"

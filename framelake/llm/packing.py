@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from framelake.session import ship_package
+from framelake.session import ship_package, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -146,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, window: i
         yield _batch(packer.drain())
 
     ship_package(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), SCHEMA)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.session import ship_package
+from framelake.session import ship_package, tidy
 
 from .common import staged
 
@@ -130,7 +130,7 @@ def find_base(docs: DataFrame, *, reach: int = 60, key: str = "doc_id", text: st
             names = [x.split()[0] for x in FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(run, FOUND)
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), FOUND)
 
 
 def disclosing(found: DataFrame, docs: DataFrame, *, alpha: float = 0.8, support: int = 3, remove_factor: float = 4.0, text: str = "text") -> DataFrame:
@@ -199,4 +199,4 @@ def sanitise(docs: DataFrame, *, alpha: float = 0.8, support: int = 3, reach: in
 
     marked = docs.withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
     marked = marked.join(terms.select(F.col("text_key").alias("__text_key"), F.col("terms").alias("__terms")), "__text_key", "left").select(*names, "__terms")
-    return marked.mapInArrow(mask, docs.schema)
+    return marked.mapInArrow(tidy(mask), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.session import ship_package
+from framelake.session import ship_package, tidy
 
 from .common import staged
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     ship_package(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -189,7 +189,7 @@ def _sketched(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 segs.append(segments(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(segs, pa.list_(pa.int64()))], ["doc_id", "fp", "segs"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, fp long, segs array<long>")
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, fp long, segs array<long>")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(x.as_py(), words)).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
 
-    return texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+    return texts.select("fp", "text").mapInArrow(tidy(run), "fp long, shingles array<long>")
 
 
 def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
@@ -258,4 +258,4 @@ def _with_fingerprint(docs: DataFrame, words: int, text: str) -> DataFrame:
             found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(where)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
