@@ -160,81 +160,130 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SEGMENT, LEAST_SEGMENT, FAR = 32, 8, 16
+SAMPLE_SETS, LEAST_SEEN, MOST_COMMON = 20_000, 5, 1 << 18
 
 
-def segments(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches between shingles whose own hash is a multiple of ``SEGMENT``; short stretches are left out
-    unless they are the whole text."""
-    if not len(hashes):
-        return np.empty(0, dtype=np.int64)
-    starts = np.unique(np.concatenate(([0], np.flatnonzero(hashes % np.uint64(SEGMENT) == 0) + 1)))
-    starts = starts[starts < len(hashes)]
-    sizes = np.diff(np.concatenate((starts, [len(hashes)])))
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    sums = np.add.reduceat(mixed, starts)
-    return np.unique(sums[(sizes >= LEAST_SEGMENT) | (len(starts) == 1)]).view(np.int64)
+def least_common(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares at least with any set of that Jaccard similarity to it."""
+    return int(np.ceil(similarity * n - 1e-9))
 
 
-def _sketched(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(doc_id, fp, segs) of every row."""
-    ship_package(docs.sparkSession)
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (sorted, distinct) in the order of all sets: two sets as similar as that share one of them.
+
+    Shingles that are not ``common`` come first, by their hash; common ones follow by their counts.  The order may be any as
+    long as all sets have the same one, so what is common may be estimated without changing which pairs are found.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    weight = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        weight = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, weight))[: n - least_common(n, similarity) + 1]]
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def common_shingles(docs: DataFrame, *, words: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of those seen in several of at most about ``SAMPLE_SETS`` texts; they only set an order."""
+    n = docs.count()
+    part = F.pmod(F.xxhash64(F.col(key), F.lit("shingles")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_SETS / max(n, 1)))
+    sets = _shingle_sets(docs.where(part), words, text).dropDuplicates(["sid"])
+    seen = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    rows = seen.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    shingles, counts = rows.s.to_numpy(np.int64).view(np.uint64), rows.n.to_numpy(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def _sketched(docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """(doc_id, fp, sid, n, prefix) of every row; sid stands for the set of shingles, n is its size."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(common_shingles(docs, words=words, key=key, text=text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, segs = [], []
+            fps, sids, sizes, firsts = [], [], [], []
             for x in batch.column(1):
                 hashes = shingle_hashes(x.as_py(), words)
+                distinct = np.unique(hashes)
                 fps.append(_signed(_majority(hashes)))
-                segs.append(segments(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(segs, pa.list_(pa.int64()))], ["doc_id", "fp", "segs"])
+                sids.append(_set_id(distinct))
+                sizes.append(len(distinct))
+                firsts.append(prefix(distinct, similarity, *shared.value).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "fp", "sid", "n", "prefix"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, fp long, segs array<long>")
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, fp long, sid long, n int, prefix array<long>")
 
 
-def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(fp, shingles) from (fp, text)."""
+def _shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """(sid, shingles) of every row."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), words)).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                sets = [np.unique(shingle_hashes(x.as_py(), words)) for x in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sid", "shingles"])
 
-    return texts.select("fp", "text").mapInArrow(tidy(run), "fp long, shingles array<long>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "sid long, shingles array<long>")
 
 
-def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
-    """Pairs (a, b) of fingerprints beyond the ball's radius whose texts share a whole segment and at least ``similarity``
-    of their shingles.
+def _may_reach(similarity: float, a: str = "a", b: str = "b") -> str:
+    """Whether two sets (n, at) that meet in their shingles number ``at`` can still be as similar as that."""
+    room = f"least({a}.n - {a}.at, {b}.n - {b}.at)"  # at counts from 0: the met shingle and all behind it
+    return f"{a}.sid < {b}.sid AND {a}.fp <> {b}.fp AND {room} >= {similarity / (1 + similarity)!r} * ({a}.n + {b}.n) - 1e-6 AND least({a}.n, {b}.n) >= {similarity!r} * greatest({a}.n, {b}.n) - 1e-6"
 
-    A segment in up to ``crowd`` texts compares them all; one in more compares each with the text that has most copies.
-    """
-    spread = staged(marked.select("fp", F.explode("segs").alias("seg")).groupBy("seg", "fp").agg(F.count("*").alias("copies")), "simhash-segments")
-    sizes = spread.groupBy("seg").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp")).alias("top")).where("n > 1")
-    members = spread.select("seg", "fp").join(sizes, "seg")
-    few = members.where(F.col("n") <= crowd).groupBy("seg").agg(F.collect_list("fp").alias("all"))
-    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda b: (b > F.col("a")) & F.bit_count(b.bitwiseXOR(F.col("a"))).between(1, FAR))).alias("b"))
-    top = F.col("top.fp")
-    many = members.where(F.col("n") > crowd).where(F.bit_count(F.col("fp").bitwiseXOR(top)).between(1, FAR)).select(F.least("fp", top).alias("a"), F.greatest("fp", top).alias("b"))
-    pairs = staged(few.unionByName(many).distinct(), "simhash-candidates")
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-needed")
+
+def _verified(pairs: DataFrame, docs: DataFrame, *, words: int, similarity: float, text: str) -> DataFrame:
+    """(a, b) as fingerprints of those pairs (sa, sb, a, b) that share ``similarity`` of their shingles."""
+    needed = staged(pairs.select(F.explode(F.array("sa", "sb")).alias("sid")).distinct(), "simhash-needed")
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    texts = _with_fingerprint(docs.select(F.col(text).alias("text")), words, "text").withColumnRenamed("__fp", "fp").join(needed, "fp", "left_semi")
-    sets = staged(_shingle_sets(texts, words).groupBy("fp").agg(F.any_value("shingles").alias("shingles")), "simhash-shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = staged(_shingle_sets(docs, words, text).join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("sid").alias("sa"), F.col("shingles").alias("x")), "sa").join(sets.select(F.col("sid").alias("sb"), F.col("shingles").alias("y")), "sb")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6)
+    return staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-similar")
+
+
+def _named_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.col("a.sid").alias("sa"), F.col("b.sid").alias("sb"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+
+
+def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
+    """Pairs (a, b) of fingerprints whose texts share at least ``similarity`` of their shingles, found by prefixes.
+
+    A shingle in the prefixes of up to ``crowd`` sets compares them all; one in more compares each with one of them.
+    """
+    spread = marked.select("sid", "fp", "n", F.posexplode("prefix").alias("at", "shingle"))
+    met = staged(spread.groupBy("shingle").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("shingle"), "simhash-met-shingles")
+    if met.count() <= BROADCAST_ROWS:
+        met = F.broadcast(met)
+    members = staged(spread.join(met, "shingle").groupBy("shingle", "sid").agg(*(F.min(x).alias(x) for x in ("fp", "n", "at"))), "simhash-members")
+    one = F.struct("sid", "fp", "n", "at")
+    sizes = members.groupBy("shingle").agg(F.count("*").alias("m"), F.min(one).alias("top"))
+    sized = members.join(sizes, "shingle")
+    few = sized.where(F.col("m") <= crowd).groupBy("shingle").agg(F.collect_list(one).alias("all"))
+    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.expr(f"filter(all, b -> {_may_reach(similarity)})")).alias("b"))
+    many = sized.where(F.col("m") > crowd).select(F.col("top").alias("a"), one.alias("b")).where(_may_reach(similarity))
+    pairs = staged(_named_pairs(few.unionByName(many)), "simhash-candidates")
+    return _verified(pairs, docs, words=words, similarity=similarity, text=text)
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, blocks: int = 3, crowd: int = 64, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the same columns and one row of every group: the one with the smallest id.
 
-    Groups are the components of links within the radius and of pairs that share a segment and ``similarity`` of their
-    shingles, which 64 bits at a small radius often miss.  Of rows that share the smallest id the one with the smallest
+    Groups are the components of links within the radius and of pairs that share ``similarity`` of their shingles, which 64
+    bits at a small radius often miss.  Of rows that share the smallest id the one with the smallest
     fingerprint stays, of repeated rows one.
     """
-    marked = staged(_sketched(docs, words, key, text), "simhash-docs")
+    marked = staged(_sketched(docs, words, similarity, key, text), "simhash-docs")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd)
     edges = staged(edges.unionByName(similar_pairs(marked, docs, words=words, similarity=similarity, crowd=crowd, text=text)).distinct(), "simhash-links")

@@ -89,6 +89,30 @@ def test_one_row_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(nothing(spark)).count() == 0
 
 
+def similar_texts(rng, lengths, words=5):
+    """Pairs of texts with random words changed whose shingles have a Jaccard similarity of 0.8 to 0.9."""
+    rows = []
+    for length in lengths:
+        while True:
+            first = [f"w{rng.randrange(100_000)}" for _ in range(length)]
+            second = list(first)
+            for k in rng.sample(range(length), max(1, length // 50 + rng.randrange(2))):
+                second[k] = f"x{rng.randrange(100_000)}"
+            x, y = ({tuple(t[i : i + words]) for i in range(len(t) - words + 1)} for t in (first, second))
+            if 0.8 <= len(x & y) / len(x | y) < 0.9:
+                rows += [" ".join(first), " ".join(second)]
+                break
+    return rows
+
+
+def test_similar_short_texts_are_one_group(spark):
+    rng = random.Random(4)
+    rows = similar_texts(rng, [length for length in (60, 80, 100, 150, 200) for _ in range(40)])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == set(range(0, len(rows), 2))
+
+
 # --- 2: languages ----------------------------------------------------------------------------------------------------
 
 
