@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SAMPLE_SETS, LEAST_SEEN, MOST_COMMON = 20_000, 5, 1 << 18
+SAMPLE_SETS, LEAST_SEEN, MOST_COMMON, SALTS = 20_000, 5, 1 << 18, 16
 
 
 def least_common(n: int, similarity: float) -> int:
@@ -256,10 +256,12 @@ def _named_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.col("a.sid").alias("sa"), F.col("b.sid").alias("sb"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
-def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
+def similar_pairs(marked: DataFrame, docs: DataFrame, linked: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
     """Pairs (a, b) of fingerprints whose texts share at least ``similarity`` of their shingles, found by prefixes.
 
-    A shingle in the prefixes of up to ``crowd`` sets compares them all; one in more compares each with one of them.
+    A shingle in the prefixes of up to ``crowd`` sets compares them all.  One in more compares each with one of them first;
+    then all pairs in it that the links so far, ``linked`` among them, leave in different components.  So the components are
+    those of all pairs, and a large group of near copies is not expanded into its pairs.
     """
     spread = marked.select("sid", "fp", "n", F.posexplode("prefix").alias("at", "shingle"))
     met = staged(spread.groupBy("shingle").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("shingle"), "simhash-met-shingles")
@@ -273,7 +275,24 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.expr(f"filter(all, b -> {_may_reach(similarity)})")).alias("b"))
     many = sized.where(F.col("m") > crowd).select(F.col("top").alias("a"), one.alias("b")).where(_may_reach(similarity))
     pairs = staged(_named_pairs(few.unionByName(many)), "simhash-candidates")
-    return _verified(pairs, docs, words=words, similarity=similarity, text=text)
+    found = _verified(pairs, docs, words=words, similarity=similarity, text=text)
+    crowded = staged(sized.where(F.col("m") > crowd).select("shingle", "sid", "fp", "n", "at", "m"), "simhash-crowded")
+    if crowded.isEmpty():
+        return found
+    groups = components(linked.unionByName(found).distinct())
+    crowded = crowded.join(groups, crowded.fp == groups.v, "left").select("shingle", "sid", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
+    crowded = staged(crowded, "simhash-crowded-roots")
+    apart = crowded.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    crowded = crowded.join(apart, "shingle")
+    one = F.struct("sid", "fp", "n", "at", "root")
+    # the salt spreads the pairs of one shingle over tasks; the condition is part of the join, so only pairs that pass are rows
+    left = crowded.select("shingle", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("salt"), one.alias("a"))
+    right = crowded.select("shingle", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), one.alias("b"))
+    left, right = left.alias("left"), right.alias("right")
+    same = (F.col("left.shingle") == F.col("right.shingle")) & (F.col("left.salt") == F.col("right.salt"))
+    met = left.join(right, same & (F.col("a.root") != F.col("b.root")) & F.expr(_may_reach(similarity)))
+    rest = staged(_named_pairs(met), "simhash-candidates-crowded")
+    return found.unionByName(_verified(rest, docs, words=words, similarity=similarity, text=text)).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, blocks: int = 3, crowd: int = 64, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,8 +304,8 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, bl
     """
     marked = staged(_sketched(docs, words, similarity, key, text), "simhash-docs")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd)
-    edges = staged(edges.unionByName(similar_pairs(marked, docs, words=words, similarity=similarity, crowd=crowd, text=text)).distinct(), "simhash-links")
+    near = staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-near")
+    edges = staged(near.unionByName(similar_pairs(marked, docs, near, words=words, similarity=similarity, crowd=crowd, text=text)).distinct(), "simhash-links")
     named = _named(distinct, edges)
     # of each component the fingerprint under which the smallest id occurs
     chosen = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.any_value("component_id").alias("id"))

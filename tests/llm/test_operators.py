@@ -113,6 +113,25 @@ def test_similar_short_texts_are_one_group(spark):
     assert kept == set(range(0, len(rows), 2))
 
 
+def test_similar_texts_in_a_crowd_are_one_group(spark):
+    # every text joins two passages that many others hold; the words that meet there differ, so only common shingles are shared
+    rows = []
+    for i in range(4):
+        for j in range(4):
+            head, tail = [f"a{i}w{k}" for k in range(29)], [f"b{j}w{k}" for k in range(30)]
+            rows += [" ".join([*head, f"x{i}{j}", *tail]), " ".join([*head, f"y{i}{j}", *tail])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, crowd=4).collect()}
+    assert len(set(root)) == 16
+    assert kept == {min(k for k, r in enumerate(root) if r == x) for x in set(root)}
+
+
 # --- 2: languages ----------------------------------------------------------------------------------------------------
 
 
