@@ -1,16 +1,17 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
 Emails, IP addresses, card and phone numbers are found by their patterns (``base_spans``).  Each value is a protected
-entity.  Words near a mention are its context terms; over the whole corpus the pointwise mutual information
+entity.  All words of the texts that name it are its context terms; over whole texts the pointwise mutual information
 
     PMI(e; t) = log2( N * df(e, t) / (df(e) * df(t)) )
 
 says how strongly term t reveals entity e, whose own information is IC(e) = log2(N / df(e)).  A term with
-PMI >= ``alpha`` * IC in at least ``support`` different texts discloses the entity, and its mentions in that context are
-generalised (a plain word) or removed (``alpha`` * IC is reached even if the term were ``remove_factor`` times as common).
+PMI >= ``alpha`` * IC in at least ``support`` different texts, or in all texts of an entity that has fewer, discloses the
+entity.  Each of its occurrences in any text is generalised (a plain word) or removed (``alpha`` * IC is reached even if the
+term were ``remove_factor`` times as common).
 
 Counts are over all rows.  The per-entity and per-term counts are aggregated before they are shuffled, hot texts collapse
-to one row with a multiplicity first, and the only join without aggregation is by the text's digest, which AQE splits.
+to one row with a multiplicity first, and joins without aggregation are by the text's digest or the word, which AQE splits.
 """
 
 from __future__ import annotations
@@ -94,26 +95,30 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """Words up to ``reach`` code points from a span and outside all spans, with the entity they stand near."""
-    out = []
-    for kind, a, b in spans:
-        entity = xxhash.xxh64_intdigest(f"{kind}:{text[a:b].lower()}", 42) - (1 << 63)
-        low, high = max(0, a - reach), min(len(text), b + reach)
-        for m in WORD.finditer(text, low, high):
-            s, e = m.span()
-            cut = (s == low and s and text[s - 1].isalpha()) or (e == high and e < len(text) and text[e].isalpha())
-            if not cut and all(e <= x or s >= y for _, x, y in spans):
-                out.append({"entity": entity, "term": m.group().lower(), "start": s, "end": e})
-    return out
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    return sorted({xxhash.xxh64_intdigest(f"{kind}:{text[a:b].lower()}", 42) - (1 << 63) for kind, a, b in spans})
+
 
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, term) of the words that touch no span."""
+    taken = sorted((a, b) for _, a, b in spans)
+    k, done = 0, 0  # done: the furthest end of the spans that start before the word's end
+    for m in WORD.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            done = max(done, taken[k][1])
+            k += 1
+        if m.start() >= done:
+            yield m.start(), m.end(), m.group().lower()
 
-FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:long,term:string,start:int,end:int>>"
-NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>, near array<string>"
+SPANS = "text_key string, terms array<struct<start:int,end:int,how:string>>"
+HIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("how", pa.string())]))
+BROADCAST_ROWS, BROADCAST_TEXTS = 1_000_000, 20_000
 
-def find_base(docs: DataFrame, *, reach: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pattern spans, their digest and the context words of every row; ``text_key`` is the text's MD5."""
+
+def find_base(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pattern spans, their digest, the entities and their context terms of every row; ``text_key`` is the text's MD5."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,47 +129,67 @@ def find_base(docs: DataFrame, *, reach: int = 60, key: str = "doc_id", text: st
                 spans = base_spans(body)
                 kinds = [k for k, _, _ in spans]
                 line = joined(spans)
-                rows.append((hashlib.md5(body.encode()).hexdigest(), *(kinds.count(k) for k in KINDS), hashlib.sha256(line.encode()).hexdigest(), line, mentions(body, spans, reach)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 8
-            types = (pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), NEAR)
+                rows.append((hashlib.md5(body.encode()).hexdigest(), *(kinds.count(k) for k in KINDS), hashlib.sha256(line.encode()).hexdigest(), line, entities_of(body, spans), sorted({t for _, _, t in outside(body, spans)}) if spans else []))
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
+            types = (pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()))
             names = [x.split()[0] for x in FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), FOUND)
 
 
+def _words(column: str) -> F.Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}]+"))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, *, alpha: float = 0.8, support: int = 3, remove_factor: float = 4.0, text: str = "text") -> DataFrame:
-    """(entity, term, how) of the pairs beyond the disclosure threshold; how is ``term`` (generalise) or ``drop``."""
+    """(term, how) of the terms beyond the disclosure threshold of an entity; how is ``term`` (generalise) or ``drop``."""
     n = found.count()
-    texts = found.where(F.size("near") > 0).groupBy("text_key").agg(F.count("*").alias("rows"), F.any_value("near").alias("near"))
-    pairs = texts.select("rows", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.sum("rows").alias("df_et"), F.count("*").alias("texts"))
-    entities = texts.select("rows", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.sum("rows").alias("df_e"))
-    pairs = staged(pairs.where(F.col("texts") >= support), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("word"))
+    texts = staged(found.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("rows"), F.any_value("entities").alias("entities"), F.any_value("near").alias("near")), "pii-texts")
+    named = texts.select("rows", "near", F.explode("entities").alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("rows").alias("df_e"), F.count("*").alias("texts_e"))
+    pairs = named.select("rows", "entity", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.sum("rows").alias("df_et"), F.count("*").alias("texts"))
+    pairs = staged(pairs.join(entities, "entity").where(F.col("texts") >= F.least(F.lit(support), "texts_e")), "pii-pairs")
+    words = docs.select(F.explode(_words(text)).alias("word"))
     frequencies = words.groupBy(F.xxhash64("word").alias("code")).agg(F.count("*").alias("df_t"))  # every word is counted, by its hash
-    scored = pairs.join(entities, "entity").withColumn("code", F.xxhash64("term")).join(frequencies, "code")
+    scored = pairs.withColumn("code", F.xxhash64("term")).join(frequencies, "code")
     pmi = F.log2(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))
     scored = scored.withColumn("over", pmi - alpha * F.log2(F.lit(float(n)) / F.col("df_e"))).where("over >= 0 AND df_e < " + str(max(n, 1)))
-    return scored.select("entity", "term", F.when(F.col("over") >= F.log2(F.lit(remove_factor)), "drop").otherwise("term").alias("how"))
+    return scored.groupBy("term").agg(F.min(F.when(F.col("over") >= F.log2(F.lit(remove_factor)), "drop").otherwise("term")).alias("how"))
 
 
-def revealing_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``text_key, terms``: the spans of disclosing terms of each text, in order."""
-    once = found.where(F.size("near") > 0).groupBy("text_key").agg(F.any_value("near").alias("near"))
-    opened = once.select("text_key", F.explode("near").alias("m")).select("text_key", "m.entity", "m.term", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
-    hit = opened.join(pairs, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.min("how").alias("how"))
-    return hit.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "how"))).alias("terms"))
+def revealing_spans(docs: DataFrame, disclosed: DataFrame, *, text: str = "text") -> DataFrame:
+    """``text_key, terms``: the spans of all occurrences of disclosing terms in each text, in order."""
+    ship_package(docs.sparkSession)
+    disclosed = staged(disclosed, "pii-terms")
+    if disclosed.count() <= BROADCAST_ROWS:  # beyond it the join shuffles the words
+        disclosed = F.broadcast(disclosed)
+    bodies = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
+    opened = bodies.select("text_key", F.explode(_words("text")).alias("term")).join(disclosed, "term")
+    hits = staged(opened.groupBy("text_key").agg(F.collect_set(F.struct("term", "how")).alias("hits")), "pii-hits")
+    if hits.count() <= BROADCAST_TEXTS:
+        hits = F.broadcast(hits)
+    once = bodies.join(hits, "text_key").groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("hits").alias("hits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body, terms in zip(batch.column(1), batch.column(2), strict=True):
+                body, how = body.as_py(), {t["term"]: t["how"] for t in terms.as_py()}
+                out.append([{"start": a, "end": b, "how": how[t]} for a, b, t in outside(body, base_spans(body)) if t in how])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, HIT)], ["text_key", "terms"])
+
+    return staged(once.mapInArrow(tidy(run), SPANS).where(F.size("terms") > 0), "pii-spans")
 
 
-def detect(docs: DataFrame, *, alpha: float = 0.8, support: int = 3, reach: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, *, alpha: float = 0.8, support: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, counts by kind, ``base_sha256``, ``spans`` and ``n_term`` for every row.
 
     A null text is empty; repeated rows are found alike; a null id is kept; an empty table gives no rows; other columns
     are ignored.  ``spans`` lists the base spans, then ``term`` spans by start.
     """
-    found = staged(find_base(docs, reach=reach, key=key, text=text), "pii-found")
-    terms = revealing_spans(found, disclosing(found, docs, alpha=alpha, support=support, text=text))
+    found = staged(find_base(docs, key=key, text=text), "pii-found")
+    terms = revealing_spans(docs, disclosing(found, docs, alpha=alpha, support=support, text=text), text=text)
     extra = F.concat_ws(",", F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])))
     all_spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(extra, F.lit("")))
     return found.join(terms, "text_key", "left").select(
@@ -182,10 +207,10 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, *, alpha: float = 0.8, support: int = 3, reach: int = 60, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, *, alpha: float = 0.8, support: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the same columns and ``text`` sanitised; a null text stays null, rows are neither added nor lost."""
-    found = staged(find_base(docs, reach=reach, key=key, text=text), "pii-found")
-    terms = revealing_spans(found, disclosing(found, docs, alpha=alpha, support=support, text=text))
+    found = staged(find_base(docs, key=key, text=text), "pii-found")
+    terms = revealing_spans(docs, disclosing(found, docs, alpha=alpha, support=support, text=text), text=text)
     names = docs.columns
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

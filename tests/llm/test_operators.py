@@ -435,6 +435,21 @@ def test_disclosing_terms(spark):
     assert "boss@" not in clean[1000] and "zanzibar" not in clean[1000] and clean[0] == rows[0][1]
 
 
+def test_terms_of_a_rare_entity_are_marked_everywhere(spark):
+    rng = random.Random(2)
+    filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [(k, filler(30)) for k in range(300)]
+    rows += [(1000, f"{filler(40)} boss@corp.example {filler(60)} zanzibar {filler(20)}"), (1001, f"{filler(20)} Zanzibar {filler(20)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.detect(docs).collect()}
+    assert [out[k].n_term for k in (1000, 1001)] == [1, 1]
+    for k in (1000, 1001):
+        a, b = map(int, re.search(r"term:(\d+):(\d+)", out[k].spans).groups())
+        assert rows[300 + k - 1000][1][a:b].lower() == "zanzibar"
+    assert all(out[k].n_term == 0 for k in range(300))
+    assert all("zanzibar" not in r.text.lower() for r in pii.sanitise(docs).collect())
+
+
 def test_personal_data_of_awkward_rows(spark):
     out = pii.detect(documents(spark)).collect()
     assert len(out) == len(ROWS)
