@@ -387,6 +387,23 @@ def test_paraphrase_is_found_and_common_words_are_not(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()] == [(100, 1)]
 
 
+def test_long_items_are_found(spark):
+    rng = random.Random(6)
+    other = lambda n: [f"o{rng.randrange(3000)}" for _ in range(n)]
+    rows = [(k, " ".join(other(100))) for k in range(250)]
+    items = [(i, [f"i{i}w{k}" for k in range(length)]) for i, length in enumerate((300, 1000))]
+    for i, words in items:
+        rows.append((1000 + i, " ".join([*other(50), *words, *other(50)])))
+        rows.append((2000 + i, " ".join([*other(50), *(w if rng.random() > 0.05 else f"{w} inserted" for w in words), *other(50)])))
+        rows.append((3000 + i, " ".join([*other(50), *words[: len(words) // 2], *other(50)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
+    # with all directions kept, a passage of 32 words has a cosine under 0.4 with items of 300 and 1,000
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, benchmark, rank=2000).collect()}
+    assert found == {(1000, 0), (2000, 0), (1001, 1), (2001, 1)}
+    assert {r.doc_id for r in decontam.clean(docs, benchmark, rank=2000).collect()} == {*range(250), 3000, 3001}
+
+
 def test_leaks_of_awkward_rows(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (1, "one two three four five six seven"), (None, "x"), (2, None)], "item_id long, text string")
     found = sorted((r.doc_id, r.item_id) for r in decontam.leaks(documents(spark), bench).collect())
