@@ -1,12 +1,17 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model trained on trusted text.
 
-Texts are read as UTF-8 bytes folded to 64 symbols, so there are at most 64**4 four-grams however large the corpus.
-All trusted texts are counted; counts, continuation counts and context totals are aggregated and joined in Spark, sharded
-by n-gram, to discounted shares of n-grams and back-off weights of contexts.  Those tables are bounded by the alphabet
-(2**24 rows at most, 64 MB as an array), which is why they may be broadcast to score every whole document in one scan.
-
-A document is kept if its bits per symbol are at most a quantile of the trusted documents of its language and length
-class, plus a margin; short texts have wider classes by themselves.
+Texts are read as UTF-8 bytes, n-grams of up to ``ORDER`` bytes as exact codes, so the model and what scoring asks of it
+grow with the text.  Nothing of it is collected or broadcast by the operator:
+
+1. Counts, continuation counts and context totals of the trusted texts are aggregated by n-gram and kept as tables of
+   discounted shares and back-off weights.
+2. The documents are read in blocks of neighbouring rows.  Every block asks for each of its n-grams once; the asked n-grams
+   of all blocks and their suffixes meet the tables by joins, order by order, which gives the cost of each in bits.
+3. The costs return to the blocks that asked and every document of a block adds up its own.
+
+A document is kept if its bits per byte are at most a quantile of trusted documents of its language and length class that
+the model has not seen, and if the share of different n-grams among its own is at least half of what nearly all of them
+have, which finds texts that repeat a few words.
 """
 
 from __future__ import annotations
@@ -15,53 +20,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framelake.session import ship_package, tidy
+from framelake.session import release_memory, ship_package, tidy
 
 from .common import staged
 
-ORDER, SYMBOLS, SHIFT, BROADCAST_ROWS = 4, 64, 6, 5_000_000
-
-
-def alphabet() -> np.ndarray:
-    """Byte -> symbol: letters by themselves, digits as one, frequent marks, other ASCII, UTF-8 lead and further bytes."""
-    out = np.full(256, 59, dtype=np.uint32)
-    for first, at in ((ord("a"), 0), (ord("A"), 26)):
-        out[first : first + 26] = np.arange(at, at + 26)
-    out[ord("0") : ord("9") + 1] = 52
-    for symbol, marks in ((53, b" \t"), (54, b"\n\r"), (55, b"."), (56, b","), (57, b"'\"-"), (58, b"?!:;()")):
-        out[list(marks)] = symbol
-    out[0x80:0xA0], out[0xA0:0xC0], out[0xC0:0xE0], out[0xE0:] = 60, 61, 62, 63
-    return out
-
+ORDER, SYMBOLS, BROADCAST_ROWS = 5, 256, 5_000_000
+#: a block has at most so many rows, and of rows beyond ``LONG`` bytes at most as many as hold ``BLOCK_BYTES``
+BLOCK_ROWS, LONG, BLOCK_BYTES = 4096, 1 << 14, 1 << 26
+LEAST_CLASS = 100
 
-START = 54  # a text starts as after a line's end
 
-
-def grams(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(four-gram codes of all texts, one per byte; number of codes of each text)."""
-    pad = bytes([10]) * (ORDER - 1)
-    symbols = table[np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8)]
+def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the ``order`` bytes that end at each byte of all texts, bytes of each text); a text starts as after a line's end."""
+    pad = bytes([10]) * (order - 1)
+    symbols = np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = symbols[ORDER - 1 :].copy()
-    for back in range(1, ORDER):
-        codes |= symbols[ORDER - 1 - back : len(symbols) - back] << np.uint32(SHIFT * back)
+    codes = symbols[order - 1 :].astype(np.int64)
+    for back in range(1, order):
+        codes |= symbols[order - 1 - back : len(symbols) - back].astype(np.int64) << (8 * back)
     # positions that hold padding, between texts, are left out
     keep = np.ones(len(symbols), dtype=bool)
-    starts = np.concatenate(([0], np.cumsum(sizes + ORDER - 1)[:-1])) if len(texts) else np.empty(0, dtype=np.int64)
-    for k in range(ORDER - 1):
+    starts = np.concatenate(([0], np.cumsum(sizes + order - 1)[:-1])) if len(texts) else np.empty(0, dtype=np.int64)
+    for k in range(order - 1):
         keep[starts + k] = False
-    return codes[keep[ORDER - 1 :]], sizes
+    return codes[keep[order - 1 :]], sizes
 
 
-def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) in runs of about ``most`` bytes."""
     at, held, size = 0, [], 0
     for k, x in enumerate(column):
-        body = x.as_py()
-        held.append((body or "").encode())
+        held.append((x.as_py() or "").encode())
         size += len(held[-1])
         if size >= most:
             yield at, held
@@ -70,27 +64,15 @@ def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[by
         yield at, held
 
 
-def _counted(total: np.ndarray) -> pa.RecordBatch:
-    g = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(total[g].astype(np.int64))], ["g", "c"])
-
-
 def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each four-gram occurs; a task gives each of its four-grams once."""
+    """(g, c): how often each n-gram of the highest order occurs."""
     ship_package(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total, size = alphabet(), np.zeros(SYMBOLS**ORDER, dtype=np.uint32), 0
         for batch in batches:
-            for _, part in _parts(batch.column(0)):
-                codes, _ = grams(part, table)
-                if size + len(codes) >= 1 << 32:
-                    yield _counted(total)
-                    total[:], size = 0, 0
-                g, c = np.unique(codes, return_counts=True)
-                total[g] += c.astype(np.uint32)
-                size += len(codes)
-        yield _counted(total)
+            for _, part in _parts(batch.column(0), 1 << 22):
+                g, c = np.unique(grams(part)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["g", "c"])
 
     return texts.select(text).mapInArrow(tidy(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -104,74 +86,121 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) for k in (1, 2, 3))
 
 
-#: Of each order: (n-gram, discounted share) and (context, back-off weight), as (keys, values).
-Model = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+#: Of each order, from one on: (g, share) of its n-grams and (h, weight) of their contexts.
+Model = list[tuple[DataFrame, DataFrame]]
+
+
+def _suffix(order: int) -> Column:
+    return F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
 def train(trusted: DataFrame, text: str = "text") -> Model:
-    """Shares and weights of all orders; at most 64**4 n-grams, whatever the corpus."""
+    """Discounted shares and back-off weights of all orders, as tables."""
     tables = {ORDER: staged(count_grams(trusted, text), "kn-counts")}
     for order in range(ORDER - 1, 0, -1):  # how many symbols precede it
-        tables[order] = staged(tables[order + 1].select(F.expr(f"g & {SYMBOLS**order - 1}").alias("g")).groupBy("g").agg(F.count("*").alias("c")), f"kn-continuations-{order}")
+        tables[order] = staged(tables[order + 1].select(_suffix(order).alias("g")).groupBy("g").agg(F.count("*").alias("c")), f"kn-continuations-{order}")
     model = []
     for order in range(1, ORDER + 1):
         d1, d2, d3 = discounts(tables[order])
-        rows = tables[order].withColumn("h", F.shiftright("g", SHIFT)).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
-        contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-        shares = rows.join(contexts, "h").select(F.col("g").cast("int"), ((F.col("c") - F.col("d")) / F.col("total")).cast("float").alias("share")).toPandas()
-        backoff = contexts.select(F.col("h").cast("int"), (F.col("held") / F.col("total")).cast("float").alias("weight")).toPandas()
-        model.append((shares.g.to_numpy(), shares.share.to_numpy(), backoff.h.to_numpy(), backoff.weight.to_numpy()))
+        rows = tables[order].withColumn("h", F.shiftright("g", 8)).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        contexts = staged(rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("held")), f"kn-contexts-{order}")
+        shares = rows.join(contexts, "h").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"))
+        model.append((shares, contexts.select("h", (F.col("held") / F.col("total")).alias("weight"))))
     return model
 
 
-def probabilities(model: Model) -> np.ndarray:
-    """p(symbol | three symbols) of every four-gram, seen or not: a dense array of 2**24 floats."""
-    dense = np.full((1, 1), 1.0 / SYMBOLS, dtype=np.float32)
-    for order, (g, share, h, weight) in enumerate(model, 1):
-        weights = np.ones(SYMBOLS ** (order - 1), dtype=np.float32)  # an unseen context leaves all to the shorter one
-        weights[h] = weight
-        shorter = dense if order == 1 else dense.reshape(-1, SYMBOLS)
-        longer = np.empty((max(1, SYMBOLS ** (order - 1) // len(shorter)), len(shorter), SYMBOLS), dtype=np.float32)
-        np.multiply(shorter, weights.reshape(-1, len(shorter), 1), out=longer)
-        dense = longer.reshape(-1)
-        dense[g] += share
-    return dense
+def probabilities(asked: DataFrame, model: Model) -> DataFrame:
+    """(g, p) of every asked n-gram of the highest order, seen or not: each order joins its own tables and the order below."""
+    wanted = {len(model): asked.select("g").distinct()}
+    for order in range(len(model) - 1, 0, -1):
+        wanted[order] = wanted[order + 1].select(_suffix(order).alias("g")).distinct()
+    lower = None
+    for order, (shares, contexts) in enumerate(model, 1):
+        rows = wanted[order].join(shares, "g", "left").withColumn("h", F.shiftright("g", 8)).join(contexts, "h", "left")
+        if lower is None:
+            below = F.lit(1.0 / SYMBOLS)
+        else:
+            rows, below = rows.withColumn("s", _suffix(order - 1)).join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s"), F.col("below")
+        # an unseen context leaves all to the shorter one
+        lower = staged(rows.select("g", (F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * below).alias("p")), f"kn-answers-{order}")
+    return lower
 
 
-def _log_table(model: Model) -> np.ndarray:
-    """The dense table, made for a task and gone with it, so that idle workers hold nothing."""
-    table = probabilities(model)
-    return np.log2(table, out=table)
+def _scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` as a scan whose rows have a fixed place; what is no plain Parquet scan is written first."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return staged(docs, "kn-documents")
+    return docs
 
 
-def _bits(column: pa.Array, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bits per symbol) of every text; not a number without text."""
-    table = alphabet()
-    sizes, bits = np.zeros(len(column), dtype=np.int64), np.full(len(column), np.nan)
-    for first, part in _parts(column):
-        codes, n = grams(part, table)
-        sums = np.concatenate(([0.0], np.cumsum(costs[codes], dtype=np.float64)))
-        ends = np.cumsum(n)
-        at = slice(first, first + len(part))
-        sizes[at] = n
-        with np.errstate(invalid="ignore"):
-            bits[at] = -(sums[ends] - sums[ends - n]) / n
-    return sizes, bits
+def _block(text: str) -> Column:
+    """The block of a row: a stretch of its file, narrower for long texts."""
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    kind = F.when(size <= LONG, F.lit(0)).otherwise(F.length(F.bin(size)))
+    rows = F.when(size <= LONG, F.lit(BLOCK_ROWS)).otherwise(F.greatest(F.lit(1), F.floor(BLOCK_BYTES / F.pow(F.lit(2.0), kind))))
+    return F.xxhash64(F.col("_metadata.file_path"), kind, F.floor(F.col("_metadata.row_index") / rows))
 
 
-def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_bytes, bits``: bits per symbol of every whole text, null without text."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)
+def _asked(rows: DataFrame) -> DataFrame:
+    """(block, g): the different n-grams of every block of ``rows`` (block, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = _log_table(shared.value)
         for batch in batches:
-            sizes, bits = _bits(batch.column(2), costs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(bits, from_pandas=True)], ["doc_id", "lang", "n_bytes", "bits"])
+            blocks = batch.column(0).to_numpy()
+            for block in np.unique(blocks):
+                mine = batch.column(1).filter(pa.array(blocks == block))
+                found = [np.unique(grams(part)[0]) for _, part in _parts(mine, 1 << 22)]
+                g = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{lang}` AS lang", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, lang string, n_bytes long, bits double")
+    return rows.mapInArrow(tidy(run), "block long, g long")
+
+
+def _bits(column: pa.ChunkedArray, known: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bits per byte, share of different n-grams) of every text; not a number without text."""
+    sizes = np.zeros(len(column), dtype=np.int64)
+    bits, variety = np.full(len(column), np.nan), np.full(len(column), np.nan)
+    for first, part in _parts(column):
+        codes, n = grams(part)
+        if not len(codes):
+            continue
+        at = np.searchsorted(known, codes)
+        sums = np.concatenate(([0.0], np.cumsum(costs[at], dtype=np.float64)))
+        ends = np.cumsum(n)
+        place = np.repeat(np.arange(len(n)), n) * len(known) + at
+        different = np.bincount(np.unique(place) // len(known), minlength=len(n))
+        here = slice(first, first + len(part))
+        sizes[here] = n
+        with np.errstate(invalid="ignore"):
+            bits[here] = (sums[ends] - sums[ends - n]) / n
+            variety[here] = different / n
+    return sizes, bits, variety
+
+
+def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """``row, n_bytes, bits, variety``: every row of ``docs`` as a struct with the bits per byte of its whole text."""
+    ship_package(docs.sparkSession)
+    docs = _scanned(docs)
+    asked = staged(_asked(docs.select(_block(text).alias("block"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("text <> ''")), "kn-asked")
+    answers = probabilities(asked, model).select("g", (-F.log2("p")).cast("float").alias("cost"))
+    costs = asked.join(answers, "g").select("block", "g", "cost")
+    rows = docs.select(_block(text).alias("block"), F.struct(*docs.columns).alias("row"))
+    row = T.StructField("row", docs.schema)
+    where = docs.columns.index(text)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.column("g").to_numpy()
+        order = np.argsort(known)
+        whole = left.column("row").combine_chunks()
+        sizes, bits, variety = _bits(pa.chunked_array([whole.field(where)]), known[order], right.column("cost").to_numpy()[order])
+        out = pa.table({"row": whole, "n_bytes": pa.array(sizes), "bits": pa.array(bits, from_pandas=True), "variety": pa.array(variety, from_pandas=True)})
+        release_memory()
+        return out
+
+    schema = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("variety", T.DoubleType())])
+    return rows.groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(run, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -180,73 +209,69 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 1.05, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_bytes, bits, perplexity, threshold, kept`` for every row.
+def _judged_apart(text: str) -> Column:
+    """Trusted documents that set the thresholds and do not train: a fifth, by a hash of the text, so copies stay together."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("threshold")), F.lit(5)) == 0
 
-    ``labels`` has (doc_id, quality, toxic); trusted are documents of quality 1 that are not toxic.  The threshold is
-    ``margin`` times the quantile of bits per symbol among trusted documents of the same language and length class
-    (powers of four), or the largest of the wider groups' where the class has under 30 trusted documents.  A null or
-    empty text has no perplexity and is not kept; a null language is a language of its own; repeated rows are judged
-    alike; without any trusted text everything that has text is kept; other columns are ignored.
-    """
-    trusted = trusted_ids(labels, key)
-    ids = docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text")
-    model = train(ids.join(trusted, "doc_id", "left_semi").select("text"))
-    scored = staged(_graded(score(docs, model, key=key, text=text, lang=lang)), "kn-scores")
-    limits = thresholds(scored, trusted, quantile, margin)
-    return scored.join(limits, ["tongue", "grade"], "left").select(
-        "doc_id", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", (F.col("bits").isNotNull() & (F.col("threshold").isNull() | (F.col("bits") <= F.col("threshold")))).alias("kept")
-    )
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 1.05, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with their columns, that ``classify`` keeps; texts are scored again rather than joined."""
-    spark = docs.sparkSession
-    trusted = trusted_ids(labels, key)
-    ids = docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text")
-    model = train(ids.join(trusted, "doc_id", "left_semi").select("text"))
-    scored = staged(_graded(score(docs, model, key=key, text=text, lang=lang)), "kn-scores")
-    # as many rows as languages and length classes
-    limits = {(r.tongue, r.grade): r.threshold for r in thresholds(scored, trusted, quantile, margin).collect()}
-    shared = spark.sparkContext.broadcast(model)
-    at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs = _log_table(shared.value)
-        for batch in batches:
-            sizes, bits = _bits(batch.column(at_text), costs)
-            tongues = batch.column(at_lang).to_pylist()
-            good = []
-            for n, b, x in zip(sizes.tolist(), bits.tolist(), tongues, strict=True):
-                limit = limits.get((x if x is not None else UNKNOWN, length_class(n)))
-                good.append(n > 0 and (limit is None or b <= limit))
-            yield batch.filter(pa.array(good, pa.bool_()))
+def graded(docs: DataFrame, labels: DataFrame, *, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
+    """(scored rows with ``id``, ``tongue`` and ``grade``, the trusted ids)."""
+    trusted = trusted_ids(labels, key)
+    ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    model = train(ids.where(~_judged_apart("text")).join(trusted, "doc_id", "left_semi").select("text"))
+    powers = F.length(F.bin(F.greatest("n_bytes", F.lit(1)))) - 1
+    tongue = F.col("row").getField(lang)
+    scored = score(docs, model, text=text).select(
+        "row", "n_bytes", "bits", "variety", F.col("row").getField(key).cast("long").alias("id"),
+        F.when(tongue.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), tongue)).alias("tongue"),
+        F.least(F.greatest(F.floor(powers / 2), F.lit(2)), F.lit(6)).cast("int").alias("grade"), _judged_apart_row(text).alias("apart"),
+    )
+    return scored, trusted
 
-    return docs.mapInArrow(tidy(run), docs.schema)
 
+def _judged_apart_row(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col("row").getField(text), F.lit("")), F.lit("threshold")), F.lit(5)) == 0
 
-UNKNOWN = "und"
 
+def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
+    """(tongue, grade, threshold, least_variety) of every language and length class that occurs."""
+    known = scored.where("bits IS NOT NULL AND apart").select(F.col("id").alias("doc_id"), "tongue", "grade", "bits", "variety").join(trusted, "doc_id", "left_semi")
+    at = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(10_000))
+    both = lambda: F.struct(F.count("*").alias("n"), at("bits", quantile).alias("high"), at("variety", 1 - quantile).alias("low"))
+    # as many rows as languages and length classes
+    fine, coarse = known.groupBy("tongue", "grade").agg(both().alias("fine")), known.groupBy("tongue").agg(both().alias("coarse"))
+    every = known.agg(both().alias("every")).first().every
+    limits = scored.select("tongue", "grade").distinct().join(fine, ["tongue", "grade"], "left").join(coarse, "tongue", "left")
+    limits = limits.withColumn("every", F.struct(F.lit(every.high).cast("double").alias("high"), F.lit(every.low).cast("double").alias("low")))
+    enough = lambda c: F.coalesce(F.col(f"{c}.n"), F.lit(0)) >= LEAST_CLASS
+    high = F.when(enough("fine"), F.col("fine.high")).otherwise(F.greatest("fine.high", F.when(enough("coarse"), F.col("coarse.high")).otherwise(F.greatest("coarse.high", "every.high"))))
+    low = F.when(enough("fine"), F.col("fine.low")).otherwise(F.least("fine.low", F.when(enough("coarse"), F.col("coarse.low")).otherwise(F.least("coarse.low", "every.low"))))
+    return limits.select("tongue", "grade", high.alias("threshold"), (low / 2).alias("least_variety"))
 
-def length_class(n: int) -> int:
-    """Powers of four of the length in bytes, 2 to 6."""
-    return min(max((max(n, 1).bit_length() - 1) // 2, 2), 6)
 
+KEPT = "bits IS NOT NULL AND (threshold IS NULL OR (bits <= threshold AND variety >= least_variety))"
 
-def _graded(scored: DataFrame) -> DataFrame:
-    powers = F.length(F.bin(F.greatest("n_bytes", F.lit(1)))) - 1
-    return scored.withColumn("tongue", F.coalesce("lang", F.lit(UNKNOWN))).withColumn("grade", F.least(F.greatest(F.floor(powers / 2), F.lit(2)), F.lit(6)).cast("int"))
 
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc_id, lang, n_bytes, bits, perplexity, threshold, kept`` for every row.
 
-def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float) -> DataFrame:
-    """(tongue, grade, threshold) of every language and length class that occurs."""
-    known = scored.where("bits IS NOT NULL").join(trusted, "doc_id", "left_semi")
-    at = lambda: F.percentile_approx("bits", F.lit(quantile), F.lit(10_000))
-    # as many rows as languages and length classes
-    fine = known.groupBy("tongue", "grade").agg(F.count("*").alias("n"), at().alias("fine"))
-    coarse = known.groupBy("tongue").agg(F.count("*").alias("m"), at().alias("coarse"))
-    every = known.agg(at().alias("every"))
-    limits = scored.select("tongue", "grade").distinct().join(fine, ["tongue", "grade"], "left").join(coarse, "tongue", "left").join(F.broadcast(every))
-    wide = F.when(F.coalesce("m", F.lit(0)) >= 30, F.col("coarse")).otherwise(F.greatest("coarse", "every"))
-    limit = F.when(F.coalesce("n", F.lit(0)) >= 30, F.col("fine")).otherwise(F.greatest("fine", wide))
-    return limits.select("tongue", "grade", (limit * margin).alias("threshold"))
+    ``labels`` has (doc_id, quality, toxic); trusted are documents of quality 1 that are not toxic.  Four fifths of them
+    train the model, the others set the thresholds: the quantile of bits per byte among those of the same language and
+    length class (powers of four), or the largest of the wider groups' where the class has under ``LEAST_CLASS`` of them;
+    and likewise the least share of different n-grams.  A null or empty text has no perplexity and is not kept; a null
+    language is a language of its own; repeated rows are judged alike; without trusted text to set thresholds everything
+    that has text is kept; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    scored, trusted = graded(slim, labels.withColumnRenamed(key, "doc_id"), key="doc_id", text="text", lang="lang")
+    scored = staged(scored.select(F.struct("row.doc_id", "row.lang").alias("row"), "id", "n_bytes", "bits", "variety", "tongue", "grade", "apart"), "kn-scores")
+    limits = thresholds(scored, trusted, quantile)
+    return scored.join(limits, ["tongue", "grade"], "left").select("row.doc_id", "row.lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", F.expr(KEPT).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with their columns, that ``classify`` keeps; nulls, empty texts and tables and repeated rows as there."""
+    scored, trusted = graded(docs, labels, key=key, text=text, lang=lang)
+    scored = staged(scored, "kn-scores")
+    limits = thresholds(scored, trusted, quantile)
+    return scored.join(limits, ["tongue", "grade"], "left").where(KEPT).select("row.*")

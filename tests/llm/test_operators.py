@@ -1,6 +1,7 @@
 """Each operator against brute force, and on awkward rows and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -280,19 +281,23 @@ def test_shards_of_awkward_rows(spark):
 # --- 5: quality ------------------------------------------------------------------------------------------------------
 
 
-def kneser_ney_by_force(texts):
-    """Probabilities of all four-grams from the definition."""
-    table, pad = kneser_ney.alphabet(), bytes([10]) * 3
+def kneser_ney_by_force(texts, order=kneser_ney.ORDER):
+    """Probabilities of all n-grams of bytes from the definition."""
+    pad = bytes([10]) * (order - 1)
     counts = Counter()
     for t in texts:
-        s = table[np.frombuffer(pad + t, dtype=np.uint8)].tolist()
-        counts.update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
-    orders = {4: counts}
-    for n in (3, 2, 1):
+        counts.update((pad + t)[i : i + order] for i in range(len(t)))
+    orders = {order: counts}
+    for n in range(order - 1, 0, -1):
         orders[n] = Counter(g[1:] for g in orders[n + 1])
+    often = {n: Counter(orders[n].values()) for n in orders}
+    after = {}
+    for n in orders:
+        for g, c in orders[n].items():
+            after.setdefault((n, g[:-1]), []).append(c)
 
     def cut(c, n):
-        k = Counter(orders[n].values())
+        k = often[n]
         if not all(k[i] for i in (1, 2, 3, 4)):
             return (0.5, 1.0, 1.5)[min(c, 3) - 1]
         y, i = k[1] / (k[1] + 2 * k[2]), min(c, 3)
@@ -301,13 +306,13 @@ def kneser_ney_by_force(texts):
     def p(g):
         n = len(g)
         if not n:
-            return 1 / 64
-        same = {x: c for x, c in orders[n].items() if x[:-1] == g[:-1]}
+            return 1 / 256
+        same = after.get((n, g[:-1]))
         if not same:
             return p(g[1:])
-        total = sum(same.values())
-        held = sum(cut(c, n) for c in same.values())
-        c = same.get(g, 0)
+        total = sum(same)
+        held = sum(cut(c, n) for c in same)
+        c = orders[n].get(g, 0)
         return (c - cut(c, n) if c else 0) / total + held / total * p(g[1:])
 
     return p
@@ -316,12 +321,54 @@ def kneser_ney_by_force(texts):
 def test_kneser_ney_from_the_definition(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(["the ", "cat ", "sat. ", "on ", "Ähm, "]) for _ in range(30)) for _ in range(6)]
-    dense = kneser_ney.probabilities(kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string")))
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     p = kneser_ney_by_force([t.encode() for t in texts])
-    for _ in range(120):
-        g = tuple(rng.choice([0, 2, 7, 19, 53, 55, 40]) for _ in range(4))
-        assert dense[g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]] == pytest.approx(p(g), rel=1e-4)
-    assert np.allclose(dense.reshape(-1, 64).sum(axis=1), 1, atol=1e-4)
+    asked = {bytes(rng.choice(b"the catson.") for _ in range(kneser_ney.ORDER)) for _ in range(120)}
+    asked |= {b"the " + bytes([k]) for k in range(256)} | {b"zzzz" + bytes([k]) for k in range(256)}
+    code = lambda g: int.from_bytes(g, "big")
+    rows = spark.createDataFrame([(code(g),) for g in asked], "g long")
+    got = {r.g: r.p for r in kneser_ney.probabilities(rows, model).collect()}
+    assert len(got) == len(asked)
+    for g in asked:
+        assert got[code(g)] == pytest.approx(p(g), rel=1e-9)
+    for context in (b"the ", b"zzzz"):
+        assert sum(got[code(context + bytes([k]))] for k in range(256)) == pytest.approx(1)
+
+
+def test_quality_by_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(sf_dir + "/documents.parquet").where("doc_id < 70"), spark.read.parquet(sf_dir + "/labels.parquet")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
+    rows = docs.select("doc_id", "lang", "text", kneser_ney._judged_apart("text").alias("apart")).collect()
+    trusted = {r.doc_id for r in labels.where("quality = 1 AND toxic = 0").collect()}
+    p = kneser_ney_by_force([(r.text or "").encode() for r in rows if r.doc_id in trusted and not r.apart])
+    seen, pad = {}, bytes([10]) * (kneser_ney.ORDER - 1)
+    judged = {}
+    for r in rows:
+        data = (r.text or "").encode()
+        grams = [(pad + data)[i : i + kneser_ney.ORDER] for i in range(len(data))]
+        for g in set(grams) - seen.keys():
+            seen[g] = -math.log2(p(g))
+        if data:
+            judged[r.doc_id] = (r.lang, min(max((len(data).bit_length() - 1) // 2, 2), 6), sum(seen[g] for g in grams) / len(data), len(set(grams)) / len(data))
+    held = [judged[r.doc_id] for r in rows if r.apart and r.doc_id in trusted and r.doc_id in judged]
+    at = lambda values, q: sorted(values)[max(math.ceil(q * len(values)), 1) - 1]
+    for r in rows:
+        if r.doc_id not in judged:
+            assert got[r.doc_id].bits is None and not got[r.doc_id].kept
+            continue
+        lang, grade, bits, variety = judged[r.doc_id]
+        assert got[r.doc_id].bits == pytest.approx(bits, rel=1e-5)
+        groups = [[h for h in held if h[:2] == (lang, grade)], [h for h in held if h[0] == lang], held]
+        wide = []
+        for group in groups:
+            wide.append(group)
+            if len(group) >= kneser_ney.LEAST_CLASS:
+                break
+        high = max(at([h[2] for h in g], 0.995) for g in wide if g)
+        low = min(at([h[3] for h in g], 0.005) for g in wide if g) / 2
+        assert got[r.doc_id].threshold == pytest.approx(high, rel=1e-5)
+        if abs(bits - high) > 1e-4:
+            assert got[r.doc_id].kept == (bits <= high and variety >= low)
 
 
 def test_quality_rejects_junk_and_keeps_clean_text(spark, sf_dir):
@@ -329,7 +376,8 @@ def test_quality_rejects_junk_and_keeps_clean_text(spark, sf_dir):
     docs, labels = spark.read.parquet(sf + "/documents.parquet"), spark.read.parquet(sf + "/labels.parquet")
     out = kneser_ney.classify(docs, labels).join(labels, "doc_id").collect()
     clean, junk = [r.kept for r in out if r.quality == 1 and not r.toxic], [r.kept for r in out if r.quality == 0]
-    assert np.mean(clean) > 0.99 and np.mean(junk) < 0.15
+    toxic = [r.kept for r in out if r.quality == 1 and r.toxic]
+    assert np.mean(clean) > 0.98 and np.mean(junk) < 0.05 and np.mean(toxic) < np.mean(clean)
     kept = {r.doc_id for r in kneser_ney.classify(docs, labels).where("kept").collect()}
     assert {r.doc_id for r in kneser_ney.keep_good(docs, labels).collect()} == kept
 
