@@ -1,15 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 A document is cut into segments of ``STEPS`` bytes, so its whole text is read with bounded state; both directions run
-over every segment, every byte position is labelled with a distribution over languages, and the distributions of all
-letter bytes of a document are pooled to its probabilities.  The network is trained in numpy by backpropagation through
-time on a bounded sample: at most ``per_lang`` documents of each language, chosen by a hash of their id, of which a
-window of ``WINDOW`` characters at a hashed offset is read.
+over every segment and ``WARM`` bytes of the text before and after it, which only warm up the state, so that labels hang on
+what surrounds a byte and not on where a segment ends.  Every byte position is labelled with a distribution over languages,
+and the distributions of all letter bytes of a document are pooled to its probabilities.  The network is trained in numpy
+by backpropagation through time on a bounded sample: at most ``per_lang`` documents of each language, chosen by a hash of id
+and text, of which ``windows`` windows of ``WINDOW`` characters spread over the whole text are read (all of it, up to 1,920
+characters).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 
 from framelake.session import ship_package
 
-HIDDEN, STEPS, LANES, WINDOW = 8, 128, 2048, 240
-LETTER = re.compile(r"[^\W\d_]")
+HIDDEN, STEPS, WARM, LANES, WINDOW = 8, 128, 16, 2048, 240
 
 
 def byte_map() -> np.ndarray:
@@ -189,17 +189,19 @@ class Labeller:
         """(documents, C): probabilities pooled over the counted positions; zeros where none counts."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         segments = -(-sizes // STEPS)
-        flat = np.zeros(int(segments.sum()) * STEPS, dtype=np.uint8)
         starts = np.concatenate(([0], np.cumsum(segments)))
-        for at, t in zip(starts[:-1] * STEPS, texts, strict=True):
+        room = segments * STEPS + 2 * WARM  # zeros stand around a text
+        begins = np.concatenate(([0], np.cumsum(room)[:-1])) if len(texts) else sizes
+        flat = np.zeros(int(room.sum()), dtype=np.uint8)
+        for at, t in zip(begins + WARM, texts, strict=True):
             flat[at : at + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        rows = flat.reshape(-1, STEPS)
-        pooled = np.zeros((len(rows), len(self.net.langs) + 1))
-        mapped, counted = byte_map(), counted_bytes()
-        for at in range(0, len(rows), LANES):
-            data = np.ascontiguousarray(rows[at : at + LANES].T)
-            mask = counted[data]
-            p = self.positions(mapped[data])
+        heads = np.repeat(begins - starts[:-1] * STEPS, segments) + np.arange(starts[-1]) * STEPS
+        pooled = np.zeros((len(heads), len(self.net.langs) + 1))
+        mapped, counted, steps = byte_map(), counted_bytes(), np.arange(STEPS + 2 * WARM)[:, None]
+        for at in range(0, len(heads), LANES):
+            data = flat[heads[at : at + LANES] + steps]
+            mask = counted[data[WARM:-WARM]]
+            p = self.positions(mapped[data])[:, WARM:-WARM]
             pooled[at : at + LANES, :-1] = np.einsum("ctn,tn->nc", p, mask)
             pooled[at : at + LANES, -1] = mask.sum(axis=0)
         sums = np.zeros((len(texts), pooled.shape[1]))
@@ -213,33 +215,34 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[bytes], list[str]]:
-    """Windows of at most ``per_lang`` learnable documents of each language, chosen by a hash of the id."""
-    known = docs.where(~held_out(key)).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # as many rows as languages
+def sample(docs: DataFrame, per_lang: int, windows: int, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[bytes], list[str]]:
+    """Windows of at most ``per_lang`` learnable documents of each language, chosen by a hash of id and text; repeated rows count once."""
+    draw = F.xxhash64(F.col(key), F.col(text), F.lit("langid"))
+    known = docs.where(~held_out(key)).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"), draw.alias("u"))
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.approx_count_distinct("u", 0.02).alias("n")).collect()}  # as many rows as languages
     if not counts:
         return [], []
-    draw = F.xxhash64(F.col(key), F.lit("langid"))
-    share = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
-    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1.5 * per_lang / n))]), F.col(lang))
-    at = F.pmod(F.shiftright(draw, 30), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
-    rows = known.where(share < rate).select(F.col(lang).alias("l"), share.alias("u"), F.col(text).substr(at, F.lit(WINDOW)).alias("w")).collect()
+    share = F.pmod("u", F.lit(1 << 30)) / float(1 << 30)
+    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1.5 * per_lang / max(n, 1)))]), F.col("l"))
+    part = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring("t", F.floor(k * F.greatest(F.length("t") - WINDOW, F.lit(0)) / max(windows - 1, 1)).cast("int") + 1, F.lit(WINDOW)))
+    rows = known.where(share < rate).select("l", "u", F.array_distinct(part).alias("w")).dropDuplicates(["l", "u"]).collect()
     texts, langs = [], []
     for k in sorted(counts):
         mine = sorted((r.u, r.w) for r in rows if r.l == k)[:per_lang]
-        texts += [w.encode() for _, w in mine if w]
-        langs += [k for _, w in mine if w]
+        found = [w.encode() for _, ws in mine for w in ws if w]
+        texts += found
+        langs += [k] * len(found)
     return texts, langs
 
 
-def identify(docs: DataFrame, *, per_lang: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, *, per_lang: int = 400, windows: int = 8, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned.  A null id is not held out;
     repeated rows are labelled alike; an empty table gives no rows; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    texts, langs = sample(docs, per_lang, key=key, text=text, lang=lang)
+    texts, langs = sample(docs, per_lang, windows, key=key, text=text, lang=lang)
     net = train(texts, langs) if texts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +250,7 @@ def identify(docs: DataFrame, *, per_lang: int = 400, key: str = "doc_id", text:
         for batch in batches:
             for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
                 bodies = [x.as_py() or "" for x in part.column(2)]
-                lettered = [bool(net) and LETTER.search(b) is not None for b in bodies]
+                lettered = [bool(net) and any(map(str.isalpha, b)) for b in bodies]
                 best, score = ["und"] * len(bodies), [0.0] * len(bodies)
                 if any(lettered):
                     p = labeller.documents([b.encode() for b in bodies])
