@@ -1,8 +1,10 @@
 """Shards of near-equal bytes by sampled splitters.
 
-Records are ordered by (hash of the text, id), so equal texts stand together.  A size-weighted Poisson sample of the
-keys gives quantile boundaries; records are range-partitioned by them, ranges that turn out overfull are subdivided by a
-denser sample of their own keys, and the exact bytes of every range then place each record at its global byte offset.
+Records are ordered by (hash of the text, id, place in the written table), so equal texts stand together and even repeated
+rows can be cut apart.  A size-weighted Poisson sample of the keys gives quantile boundaries; records are range-partitioned
+by them, ranges that turn out overfull are subdivided by a denser sample of their own keys, and the exact bytes of every
+range then place each record at its global byte offset.  There are at most ``MOST_RANGES`` ranges, so the sample on the
+driver and the offsets sent to the tasks are bounded however many records there are.
 A shard is one fortieth (1/``shards``) of that byte line, so shards differ by one record's size at most, however the
 sample fell; a hot text is cut between its ids.
 
@@ -24,30 +26,31 @@ from framelake.session import ship_package
 
 from .common import staged
 
-ROWS_PER_RANGE, SAMPLES_PER_RANGE, LEAST_RANGES = 100_000, 16, 256
+ROWS_PER_RANGE, SAMPLES_PER_RANGE, LEAST_RANGES, MOST_RANGES = 100_000, 16, 256, 16_384
+KEY = ("h", "i", "u")
 
 
-def _range_of(bounds: list[tuple[int, int]]):
-    """A column function: the number of boundaries at or below (h, id); the boundaries are bounded by the number of ranges."""
+def _range_of(bounds: list[tuple[int, int, int]]):
+    """A column function: the number of boundaries at or below a key; the boundaries are bounded by the number of ranges."""
     heads = np.array([b[0] for b in bounds], dtype=np.int64)
 
     @F.pandas_udf("long")
-    def which(h: pd.Series, i: pd.Series) -> pd.Series:
+    def which(h: pd.Series, i: pd.Series, u: pd.Series) -> pd.Series:
         hv = h.to_numpy()
         low, high = np.searchsorted(heads, hv, "left"), np.searchsorted(heads, hv, "right")
         tied = np.flatnonzero(low < high)
         if len(tied):
-            iv = i.to_numpy()
-            low[tied] = [bisect_right(bounds, (int(hv[k]), int(iv[k]))) for k in tied]
+            iv, uv = i.to_numpy(), u.to_numpy()
+            low[tied] = [bisect_right(bounds, (int(hv[k]), int(iv[k]), int(uv[k]))) for k in tied]
         return pd.Series(low)
 
     return which
 
 
-def _sample(rows: DataFrame, per_byte: float) -> list[tuple[int, int]]:
+def _sample(rows: DataFrame, per_byte: float) -> list[tuple[int, int, int]]:
     """Keys drawn with probability 1 - exp(-size * per_byte), by a hash of the key, so a retried task draws the same."""
-    u = (F.xxhash64("h", "i", F.lit("draw")).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
-    return sorted((r.h, r.i) for r in rows.where(-F.log(u) < F.col("size") * F.lit(per_byte)).select("h", "i").collect())
+    draw = (F.xxhash64(*KEY, F.lit("draw")).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
+    return sorted(tuple(r) for r in rows.where(-F.log(draw) < F.col("size") * F.lit(per_byte)).select(*KEY).collect())
 
 
 def shard_by_bytes(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
@@ -62,14 +65,15 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", te
         F.xxhash64(body).alias("h"),
     )
     rows = staged(rows, "shard-rows")
+    rows = rows.withColumn("u", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    n = max(LEAST_RANGES, -(-count // ROWS_PER_RANGE))
+    n = min(MOST_RANGES, max(LEAST_RANGES, -(-count // ROWS_PER_RANGE)))
     drawn = _sample(rows, SAMPLES_PER_RANGE * n / max(total, 1))
     bounds = sorted({drawn[len(drawn) * k // n] for k in range(1, n)}) if drawn else []
     for _ in range(4):
-        ranged = rows.withColumn("range", _range_of(bounds)("h", "i"))
-        sums = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.sum("size"), F.count("*"), F.count_distinct("h", "i")).collect())
-        over = [r for r, size, _, keys in sums if size > 3 * max(total, 1) / n and keys > 1]
+        ranged = rows.withColumn("range", _range_of(bounds)(*KEY))
+        sums = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.sum("size"), F.count("*")).collect())
+        over = [r for r, size, k in sums if size > 3 * max(total, 1) / n and k > 1]
         if not over:
             break
         more = _sample(ranged.where(F.col("range").isin(over)), 4 * SAMPLES_PER_RANGE * n / max(total, 1))
@@ -79,12 +83,12 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 40, key: str = "doc_id", te
         bounds = sorted(set(bounds) | set(fresh))
     # offsets of the ranges: as many rows as ranges
     ats, byte_at, row_at = [], 0, 0
-    for r, size, k, _ in sums:
+    for r, size, k in sums:
         ats.append((r, byte_at, row_at))
         byte_at, row_at = byte_at + size, row_at + k
     spark = docs.sparkSession
     offsets = spark.createDataFrame(pd.DataFrame(ats or [(0, 0, 0)], columns=["range", "byte_at", "row_at"]).astype("int64"))
-    order = Window.partitionBy("range").orderBy("h", "i", "size", "text_crc32")
+    order = Window.partitionBy("range").orderBy(*KEY)
     placed = (
         ranged.join(F.broadcast(offsets), "range")
         .withColumn("at", F.col("byte_at") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
