@@ -181,6 +181,41 @@ def test_languages_of_awkward_rows(spark):
     assert langid.identify(nothing(spark)).count() == 0
 
 
+def test_languages_of_null_ids_and_repeated_rows(spark):
+    """Rows that share an id, or are all alike, are learned from; signs that are no letters make no language."""
+    rows = [(None, f"the cat {k} sat on the mat", "en") for k in range(40)] + [(7, "der Hund lag auf dem Boden", "de")] * 900 + [(7, "½ ² ③", "de"), (None, "½", None)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20).collect()
+    assert all((r.lang_pred == "und") == (r.score == 0) for r in out)
+    assert Counter(r.lang_pred == "und" for r in out) == {False: 940, True: 2}
+
+
+def test_training_windows_cover_whole_texts(spark):
+    text = "".join(chr(97 + k % 26) for k in range(6000))
+    one, two = [k for k in range(20) if zlib.crc32(str(k).encode()) % 3 != 1][:2]
+    texts, _ = langid.sample(spark.createDataFrame([(one, text, "en"), (two, "short", "en")], "doc_id long, text string, lang string"), 10, 8)
+    assert sorted(map(len, texts)) == [5] + [langid.WINDOW] * 8
+    assert texts[0] == text[: langid.WINDOW].encode() or texts[1] == text[: langid.WINDOW].encode()
+    assert text[-langid.WINDOW :].encode() in texts
+
+
+def test_pooled_documents_by_force():
+    """Every byte is labelled by a network that ran over it and its surroundings; the labels of letter bytes are averaged."""
+    net = langid._start(["a", "b", "c"], 4)
+    texts = [b"", b"x", "Zwölf Boxkämpfer jagen Viktor quer ".encode() * 20, b"1 2 3", b"abc " * 31 + b"tail"]
+    got = langid.Labeller(net).documents(texts)
+    for text, row in zip(texts, got, strict=True):
+        total, n = np.zeros(3), 0
+        for at in range(0, len(text), langid.STEPS):
+            padded = bytes(langid.WARM) + text + bytes(2 * langid.STEPS)
+            data = np.frombuffer(padded[at : at + langid.STEPS + 2 * langid.WARM], dtype=np.uint8)[:, None]
+            outs = [{s[0]: s[6] for s in langid._run(net, d, langid.byte_map()[data])} for d in (0, 1)]
+            for t in range(langid.WARM, langid.WARM + langid.STEPS):
+                if langid.counted_bytes()[data[t, 0]]:
+                    e = np.exp(net.labels[0] @ outs[0][t] + net.labels[1] @ outs[1][t] + net.label_bias)
+                    total, n = total + (e / e.sum())[:, 0], n + 1
+        assert np.allclose(row, total / max(n, 1), atol=1e-4)
+
+
 # --- 3: repeats ------------------------------------------------------------------------------------------------------
 
 
@@ -269,6 +304,14 @@ def test_shards_cut_a_hot_text(spark):
     shards_hold(rows, 10, max(r.size for r in rows))
 
 
+def test_shards_cut_repeated_rows(spark):
+    df = spark.createDataFrame([(7, "the same row")] * 3000 + [(k, f"text {k}") for k in range(1000)], "doc_id long, text string")
+    rows = sharding.shard_by_bytes(df, shards=10).collect()
+    shards_hold(rows, 10, max(r.size for r in rows))
+    keyed = df.selectExpr("xxhash64(text) AS h", "doc_id AS i", "monotonically_increasing_id() AS u", "28L AS size")
+    assert 20 < len(set(sharding._sample(keyed, 50 / (4000 * 28)))) < 100
+
+
 def test_shards_of_awkward_rows(spark):
     rows = sharding.shard_by_bytes(documents(spark), shards=3).collect()
     assert len(rows) == len(ROWS)
@@ -326,13 +369,17 @@ def test_kneser_ney_from_the_definition(spark):
     asked = {bytes(rng.choice(b"the catson.") for _ in range(kneser_ney.ORDER)) for _ in range(120)}
     asked |= {b"the " + bytes([k]) for k in range(256)} | {b"zzzz" + bytes([k]) for k in range(256)}
     code = lambda g: int.from_bytes(g, "big")
-    rows = spark.createDataFrame([(code(g),) for g in asked], "g long")
-    got = {r.g: r.p for r in kneser_ney.probabilities(rows, model).collect()}
-    assert len(got) == len(asked)
+    codes = np.array(sorted(map(code, asked)))
+    pieces = [(block, shard, kneser_ney.pressed(codes[at])) for block in (1, 2) for shard, at in kneser_ney.by_shard(codes, model.shards)]
+    got = {1: {}, 2: {}}
+    for r in kneser_ney.costs(spark.createDataFrame(pieces, "block long, shard int, codes binary"), model, copies=2).collect():
+        got[r.block].update(zip(kneser_ney.unpressed(r.codes).tolist(), (2.0 ** -np.frombuffer(r.costs, "<f4").astype(float)).tolist(), strict=True))
+    assert got[1] == got[2] and len(got[1]) == len(asked)
+    got = got[1]
     for g in asked:
-        assert got[code(g)] == pytest.approx(p(g), rel=1e-9)
+        assert got[code(g)] == pytest.approx(p(g), rel=1e-5)
     for context in (b"the ", b"zzzz"):
-        assert sum(got[code(context + bytes([k]))] for k in range(256)) == pytest.approx(1)
+        assert sum(got[code(context + bytes([k]))] for k in range(256)) == pytest.approx(1, rel=1e-5)
 
 
 def test_quality_by_force(spark, sf_dir):
@@ -435,6 +482,49 @@ def test_paraphrase_is_found_and_common_words_are_not(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()] == [(100, 1)]
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Items of five lengths, each copied into one document and paraphrased in 15 % of its words into another."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(6000)]
+    often = words[:60]
+    prose = lambda n: [rng.choice(often) if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    items, rows = [], [(k, " ".join(prose(rng.randint(30, 300)))) for k in range(300)]
+    for length, many in ((1, 20), (20, 60), (40, 60), (120, 40), (300, 20)):
+        for _ in range(many):
+            i = len(items)
+            # a single word is its own answer; it must not be one of the prose's
+            item = [f"answer{i}"] if length == 1 else prose(length)
+            items.append((i, length, " ".join(item)))
+            changed = item if length == 1 else [w if rng.random() > 0.15 else rng.choice(words) for w in item]
+            rows += [(at + i, " ".join([*prose(40), *said, *prose(60)])) for at, said in ((1000, item), (2000, changed))]
+    return spark.createDataFrame(rows, "doc_id long, text string"), items
+
+
+def test_copies_and_paraphrases_of_all_lengths(spark, planted):
+    docs, items = planted
+    bench = spark.createDataFrame([(i, t) for i, _, t in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    for length in (1, 20, 40, 120, 300):
+        for at in (1000, 2000):
+            mine = [(at + i, i) for i, n, _ in items if n == length]
+            assert len(found.intersection(mine)) >= (1.0 if at == 1000 else 0.9) * len(mine), (length, at)
+    assert all(d % 1000 == i and d >= 1000 for d, i in found)
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in found}
+
+
+def test_blocks_change_no_result(spark, planted, monkeypatch):
+    docs, items = planted
+    bench = spark.createDataFrame([(i, t) for i, _, t in items], "item_id long, text string")
+    whole = sorted((r.doc_id, r.item_id, r.cosine, r.coverage, r.word_at) for r in decontam.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontam, "ITEMS", 70)
+    split = sorted((r.doc_id, r.item_id, r.cosine, r.coverage, r.word_at) for r in decontam.leaks(docs, bench).collect())
+    assert [(x[:2], *x[3:]) for x in split] == [(x[:2], *x[3:]) for x in whole]
+    assert np.allclose([x[2] for x in split], [x[2] for x in whole], atol=1e-4)
+    kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {x[0] for x in split}
+
+
 def test_long_items_are_found(spark):
     rng = random.Random(6)
     other = lambda n: [f"o{rng.randrange(3000)}" for _ in range(n)]
@@ -500,19 +590,65 @@ def test_disclosing_terms(spark):
     assert "boss@" not in clean[1000] and "zanzibar" not in clean[1000] and clean[0] == rows[0][1]
 
 
-def test_terms_of_a_rare_entity_are_marked_everywhere(spark):
+def terms_by_force(rows, alpha=0.8, support=3):
+    """Disclosing terms from the definition: counts over whole texts, rows with multiplicity."""
+    df_e, df_t, df_et, texts_e, texts_et = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for _, text in rows:
+        spans = pii.base_spans(text)
+        entities = {f"{k}:{text[a:b].lower()}" for k, a, b in spans}
+        near = {w.lower() for m in pii.WORD.finditer(text) for w in [m.group()] if not any(m.start() < b and m.end() > a for _, a, b in spans)}
+        df_t.update({w.lower() for w in re.findall(r"[^\W\d_]+", text)})
+        df_e.update(entities)
+        for e in entities:
+            texts_e[e].add(text)
+            for t in near:
+                df_et[e, t] += 1
+                texts_et[e, t].add(text)
+    out = set()
+    for (e, t), n in df_et.items():
+        ic, pmi = math.log2(len(rows) / df_e[e]), math.log2(len(rows) * n / (df_e[e] * max(df_t[t], n)))
+        if len(texts_e[e]) >= support:
+            ok = len(texts_et[e, t]) >= support and pmi >= alpha * ic
+        else:
+            ok = texts_et[e, t] == texts_e[e] and df_t[t] <= n
+        if ok and df_e[e] < len(rows):
+            out.add(t)
+    return out
+
+
+def test_terms_by_force(spark):
+    rng = random.Random(2)
+    names = ["boss@corp.example", "10.0.0.1", "+49 30 1234567", "ann@corp.example", "bob@corp.example"]
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(150)]
+    rows = []
+    for k in range(400):
+        said = [rng.choice(words[:40]) for _ in range(12)] + [rng.choice(words) for _ in range(2)]
+        if k % 9 == 0:
+            who = rng.choice([0, 0, 0, 1, 1, 2]) if k < 300 else 3 + (k > 390)
+            said += [names[who], f"only{'abcde'[who]}"] + ["shared"] * (who == 0)
+        rng.shuffle(said)
+        rows.append((k, " ".join(said)))
+    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1002, "the word shared with nobody named, and onlya too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = terms_by_force(rows)
+    got = {r.term for r in pii.disclosing(pii.find_base(docs), docs).collect()}
+    assert got == want and {"shared", "onlya", "onlyd"} <= want
+    out = {r.doc_id: r for r in pii.detect(docs).collect()}
+    for k, text in rows:
+        marked = {text[int(a) : int(b)].lower() for a, b in re.findall(r"term:(\d+):(\d+)", out[k].spans)}
+        assert marked == {w.lower() for w in re.findall(r"[^\W\d_]{3,}", text)} & want - {w for x in pii.base_spans(text) for w in re.findall(r"[^\W\d_]{3,}", text[x[1] : x[2]])}
+
+
+def test_terms_of_a_rare_entity(spark):
+    """A text that names an entity of its own loses the words found nowhere else; other texts that share its words stay."""
     rng = random.Random(2)
     filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
     rows = [(k, filler(30)) for k in range(300)]
-    rows += [(1000, f"{filler(40)} boss@corp.example {filler(60)} zanzibar {filler(20)}"), (1001, f"{filler(20)} Zanzibar {filler(20)}")]
+    rows += [(1000, f"{filler(40)} boss@corp.example {filler(60)} zanzibar {filler(20)} pemba"), (1001, f"{filler(20)} Pemba {filler(20)}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.detect(docs).collect()}
-    assert [out[k].n_term for k in (1000, 1001)] == [1, 1]
-    for k in (1000, 1001):
-        a, b = map(int, re.search(r"term:(\d+):(\d+)", out[k].spans).groups())
-        assert rows[300 + k - 1000][1][a:b].lower() == "zanzibar"
-    assert all(out[k].n_term == 0 for k in range(300))
-    assert all("zanzibar" not in r.text.lower() for r in pii.sanitise(docs).collect())
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "zanzibar" not in clean[1000] and "pemba" in clean[1000]
+    assert all(clean[k] == text for k, text in rows if k != 1000)
 
 
 def test_personal_data_of_awkward_rows(spark):
