@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.schemas import BLACK, CASUAL, OPPONENT, WHITE
+from framelake.schemas import BLACK, CASUAL, OPPONENT, PLAYER_KEYS, WHITE
 
 
 def stem(file: Column) -> Column:
@@ -39,6 +39,11 @@ def first_number(text: Column) -> Column:
     return F.when(found != "", F.regexp_replace(found, r"^0+(?=\d)", ""))
 
 
+def standalone_numbers(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` once for every different run of digits in ``column``, as ``number``."""
+    return rows.withColumn("number", F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit("[0-9]+"), 0))))
+
+
 def whole_number(text: Column) -> Column:
     """A string of digits only, else null."""
     return F.when(text.rlike(r"^\d+$"), F.regexp_replace(text, r"^0+(?=\d)", ""))
@@ -59,6 +64,11 @@ def opponent_of(session: Column, default: str = OPPONENT) -> Column:
     return F.when(rest != "", rest).otherwise(default)
 
 
+def player_key(place: Column) -> Column:
+    """The key of the player at a place (from 1); players beyond the keys have an empty one."""
+    return F.when(place <= len(PLAYER_KEYS), F.substring(F.lit(PLAYER_KEYS), place.cast("int"), F.lit(1))).otherwise("")
+
+
 def aspect(width: Column, height: Column, tolerance: float = 0.01) -> Column:
     """``16:9`` or ``4:3`` within the tolerance, else null."""
     ratio = width / height

@@ -37,13 +37,52 @@ def containing(points: DataFrame, spans: DataFrame, *, keys: list[str], point_id
 def containing_or_any(points: DataFrame, spans: DataFrame, *, keys: list[str], point_id: str, at: str, low: str, high: str, slack: int, gap: Column, order: list[Column]) -> DataFrame:
     """The best span around each point within ``slack``, or of all spans of the group if none is; ``degraded`` says which.
 
-    ``order`` ranks the spans of the pool after the time gap.  A group's spans are few beside its points.
+    ``order`` ranks the spans of the pool after the time gap.  Points meet the spans around them by time buckets; only the
+    points without any go to the nearest spans of their group: those before the point that end last and those after it that
+    start first have the smallest gaps, so the search widens bucket by bucket and not over all spans.
     """
-    pairs = points.join(spans, keys)
-    inside = F.col(at).between(F.col(low) - slack, F.col(high) + slack)
-    pairs = pairs.withColumn("__in", inside.cast("int")).withColumn("__any", F.max("__in").over(Window.partitionBy(point_id)))
-    pool = pairs.where("__in = __any").withColumn("degraded", F.col("__any") == 0)
-    return nearest(pool.withColumn("gap", gap), by=[point_id], order=[F.col("gap"), *order]).drop("__in", "__any")
+    width = max(1, 2 * slack + 1)
+    inside = range_join(points, spans, keys=keys, at=at, low=F.col(low) - slack, high=F.col(high) + slack, width=max(width, 64))
+    best = nearest(inside.withColumn("gap", gap), by=[point_id], order=[F.col("gap"), *order]).withColumn("degraded", F.lit(False))
+    alone = points.join(inside.select(point_id).distinct(), point_id, "left_anti")
+    # of the spans outside, the gap is that to the last end before or to the first start after the point
+    none = F.lit(None).cast("long")
+    marks = alone.select(*keys, F.col(at).cast("long").alias("__t"), F.col(point_id), none.alias("__edge"))
+    edges = lambda c: marks.unionByName(spans.select(*keys, F.col(c).cast("long").alias("__t"), F.lit(None).cast(dict(points.dtypes)[point_id]).alias(point_id), F.col(c).cast("long").alias("__edge")))
+    over = lambda c: Window.partitionBy(*keys).orderBy(c).rangeBetween(Window.unboundedPreceding, -1)
+    past = edges(high).withColumn("__past", F.max("__edge").over(over(F.col("__t")))).where(F.col(point_id).isNotNull()).select(point_id, "__past")
+    next_ = edges(low).withColumn("__next", F.min("__edge").over(over(-F.col("__t")))).where(F.col(point_id).isNotNull()).select(point_id, "__next")
+    t = F.col(at)
+    far = alone.join(past, point_id).join(next_, point_id).withColumn("__gap", F.least(t - F.col("__past"), F.col("__next") - t)).where("__gap IS NOT NULL").drop("__past", "__next")
+    before = far.withColumn("__edge", t - F.col("__gap")).join(spans.withColumn("__edge", F.col(high)), [*keys, "__edge"])
+    after = far.withColumn("__edge", t + F.col("__gap")).join(spans.withColumn("__edge", F.col(low)), [*keys, "__edge"])
+    pool = before.unionByName(after).drop("__edge", "__gap").distinct()
+    return best.unionByName(nearest(pool.withColumn("gap", gap), by=[point_id], order=[F.col("gap"), *order]).withColumn("degraded", F.lit(True)))
+
+
+def within(left: DataFrame, right: DataFrame, *, keys: list[str], at: tuple[str, str], right_at: tuple[str, str], reach: float, name: str = "dist") -> DataFrame:
+    """Pairs with equal ``keys`` whose places lie at most ``reach`` apart: an equi-join on a grid, a row of ``left`` asks nine cells."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    asked = left.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
+    asked = asked.withColumns({"__gx": cell(at[0]) + F.col("__dx"), "__gy": cell(at[1]) + F.col("__dy")}).drop("__dx", "__dy")
+    there = right.withColumns({"__gx": cell(right_at[0]), "__gy": cell(right_at[1])})
+    dx, dy = F.col(at[0]) - F.col(right_at[0]), F.col(at[1]) - F.col(right_at[1])
+    pairs = asked.join(there, [*keys, "__gx", "__gy"]).withColumn(name, F.sqrt((dx * dx + dy * dy).cast("double")))
+    return pairs.where(F.col(name) <= reach).drop("__gx", "__gy")
+
+
+def one_letter_apart(names: DataFrame, column: str) -> DataFrame:
+    """(a, b), a < b, of distinct names within one insertion, deletion or change.
+
+    Two such names share a variant: the name itself or the name without one of its letters; variants meet by equality and
+    the distance is verified.
+    """
+    distinct = names.select(F.col(column).alias("a")).distinct()
+    gone = F.transform(F.sequence(F.lit(1), F.length("a")), lambda k: F.concat(F.substring("a", F.lit(1), k - 1), F.substring("a", k + 1, F.length("a"))))
+    variants = distinct.select("a", F.explode(F.array_distinct(F.concat(F.array("a"), F.when(F.length("a") > 0, gone).otherwise(F.array().cast("array<string>"))))).alias("v"))
+    pairs = variants.join(variants.select(F.col("a").alias("b"), "v"), "v").where("a < b").select("a", "b").distinct()
+    return pairs.where(F.levenshtein("a", "b", 1).between(0, 1))
 
 
 def rejoin_pairs(det: DataFrame, *, keys: list[str], low: int, high: int, reach: float, void: float, least_conf: float, before: int, before_reach: float, after: int, after_reach: float) -> DataFrame:
@@ -97,8 +136,11 @@ def fact_diff(old: DataFrame, new: DataFrame, *, key: str, columns: list[str]) -
     return both.select(key, change.alias("change")).where("change IS NOT NULL")
 
 
-def verdicts(items: DataFrame, answers: DataFrame, *, item: str, prefix: str, key: str, answer: str) -> DataFrame:
-    """Y if any answer of the item's prefix is YES, else ? if any is UNCLEAR, else N if any is NO, else blank."""
-    pairs = items.join(answers, answers[key].startswith(items[prefix]), "left")
-    said = lambda x: F.coalesce(F.bool_or(F.col(answer) == x), F.lit(False))
-    return pairs.groupBy(item).agg(F.when(said("YES"), "Y").when(said("UNCLEAR"), "?").when(said("NO"), "N").otherwise("").alias("verdict"))
+def verdicts(items: DataFrame, answers: DataFrame, *, item: str, prefix: str, key: str, answer: str, separator: str = "@") -> DataFrame:
+    """Y if any answer of the item's prefix is YES, else ? if any is UNCLEAR, else N if any is NO, else blank.
+
+    A prefix is what stands before the separator and the separator, so keys are cut there and joined by equality.
+    """
+    said_of = answers.select(F.concat(F.substring_index(key, separator, 1), F.lit(separator)).alias(prefix), F.col(answer).alias("__answer"))
+    said = lambda x: F.coalesce(F.bool_or(F.col("__answer") == x), F.lit(False))
+    return items.join(said_of, prefix, "left").groupBy(item).agg(F.when(said("YES"), "Y").when(said("UNCLEAR"), "?").when(said("NO"), "N").otherwise("").alias("verdict"))

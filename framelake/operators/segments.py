@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framelake.session import staged
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """Numbers the runs of rows within ``keys`` from 1; a row where ``starts`` holds opens a new one."""
@@ -119,3 +121,20 @@ def bucket_pick(scored: DataFrame, *, keys: list[str], bucket: Column, order: li
     rows = rows.withColumn("__have", F.sum(F.col("__sure").cast("long")).over(Window.partitionBy(*keys)))
     rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__sure").orderBy(*asc_desc)))
     return rows.where(F.col("__sure") | (F.col("__rank") <= F.lit(total) - F.col("__have"))).drop("__forced", "__bucket", "__sure", "__have", "__rank")
+
+
+def ranks(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place, from 1, in the order of the whole table; ties stand in any order.
+
+    No task sees more than a range of the rows: ranges are counted, and a row's place is its place within its range after
+    the sizes of those before.
+    """
+    ranged = staged(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranks")
+    sizes = sorted((r["__range"], r["n"]) for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect())  # as many as ranges
+    before, starts = 0, []
+    for r, n in sizes:
+        starts += [F.lit(r), F.lit(before).cast("long")]
+        before += n
+    first = F.element_at(F.create_map(*starts), F.col("__range")) if starts else F.lit(0).cast("long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + first
+    return ranged.withColumn(name, place).drop("__range")

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.functions.keys import dot
+from framelake.session import ship_package
 
 
 def mean_vector(vectors: DataFrame, *, by: list[str], vec: str = "vec") -> DataFrame:
-    """The mean of each group's vectors, brought to unit length; (by..., vec)."""
-    parts = vectors.select(*by, F.posexplode(vec).alias("i", "x")).groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    flat = parts.groupBy(*by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs"))
-    return flat.where("norm > 0").select(*by, F.transform("xs", lambda s: s["x"] / F.col("norm")).alias("vec"))
+    """The mean of each group's vectors, brought to unit length; (by..., vec).  Every element is an aggregate of its own, so
+    partial sums and not elements are shuffled."""
+    size = vectors.agg(F.max(F.size(vec))).first()[0] or 0
+    means = vectors.groupBy(*by).agg(F.array(*[F.avg(F.get(F.col(vec), F.lit(k)).cast("double")) for k in range(size)]).cast("array<double>").alias("__m"))
+    norm = F.sqrt(F.aggregate("__m", F.lit(0.0), lambda s, x: s + x * x))
+    return means.withColumn("__n", norm).where("__n > 0").select(*by, F.transform("__m", lambda x: x / F.col("__n")).alias("vec"))
+
+
+GALLERY_BLOCK, PROBE_BLOCK = 4096, 16_384
 
 
 def max_similarity(probes: DataFrame, gallery: DataFrame, *, probe: str, label: str, vec: str = "vec", digits: int = 6) -> DataFrame:
     """(probe, label, score): the largest cosine of any probe vector with any gallery vector of the label.
 
-    Vectors have unit length.  The gallery is the small side: Spark broadcasts it if its size allows and otherwise joins
-    block by block.
+    Vectors have unit length.  Both sides are dealt into blocks; each pair of blocks is one matrix product, of which only
+    the best of each probe and label is kept and shuffled.
     """
-    pairs = probes.select(probe, F.col(vec).alias("__p")).join(gallery.select(label, F.col(vec).alias("__g")))
-    return pairs.select(probe, label, dot(F.col("__p"), F.col("__g")).alias("s")).groupBy(probe, label).agg(F.round(F.max("s"), digits).alias("score"))
+    ship_package(probes.sparkSession)
+    rows, cols = (max(1, -(-side.count() // size)) for side, size in ((probes, PROBE_BLOCK), (gallery, GALLERY_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = probes.select(F.col(probe).alias("__id"), F.col(vec).alias("__v"), block(probe, rows).alias("__p"), every(cols).alias("__g"))
+    right = gallery.select(F.col(label).alias("__id"), F.col(vec).alias("__v"), every(rows).alias("__p"), block(vec, cols).alias("__g"))
+    kinds = {name: dict(df.dtypes)[c] for name, df, c in (("probe", probes, probe), ("label", gallery, label))}
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"probe": a["__id"][:0], "label": b["__id"][:0], "s": np.empty(0)})
+        b = b.sort_values("__id", kind="stable")
+        names, first = np.unique(b["__id"].to_numpy(), return_index=True)
+        ids, x, y = a["__id"].to_numpy(), np.stack(a["__v"].to_numpy()).astype(np.float64), np.stack(b["__v"].to_numpy()).astype(np.float64)
+        best = np.concatenate([np.maximum.reduceat(x[at : at + 1024] @ y.T, first, axis=1) for at in range(0, len(x), 1024)])
+        return pd.DataFrame({"probe": np.repeat(ids, len(names)), "label": np.tile(names, len(ids)), "s": best.ravel()})
+
+    found = left.groupBy("__p", "__g").cogroup(right.groupBy("__p", "__g")).applyInPandas(multiply, f"probe {kinds['probe']}, label {kinds['label']}, s double")
+    return found.groupBy(F.col("probe").alias(probe), F.col("label").alias(label)).agg(F.round(F.max("s"), digits).alias("score"))
 
 
 def top_two(scores: DataFrame, *, by: str, label: str) -> DataFrame:

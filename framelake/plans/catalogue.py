@@ -233,24 +233,22 @@ def held_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def number_regex(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes found as whole numbers in part names with the size appended; unique matches and ambiguous ones."""
     parts = table(spark, sf, "part")
-    tags = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("tag_key"), F.concat(F.lit("#"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand")).alias("tag"))
+    tags = parts.select(F.col("p_partkey").alias("tag_key"), F.concat(F.lit("#"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_brand")).alias("tag"))
     numbers = parts.select(F.col("p_size").cast("string").alias("number")).distinct()
-    hits = numbers.join(tags, F.regexp_like("tag", F.concat(F.lit("(^|[^0-9])"), F.col("number"), F.lit("([^0-9]|$)"))))
+    hits = k.standalone_numbers(tags, "tag").join(numbers, "number")  # a number stands alone where it is a whole run of digits
     return hits.groupBy("number").agg(F.count("*").alias("matches"), F.min("tag_key").alias("first_match"))
 
 
 @query
 def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return pairs.where(F.levenshtein("a", "b", 1).between(0, 1))
+    return joins.one_letter_apart(table(spark, sf, "part"), "p_name")
 
 
 @query
 def roster_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """A query string names a tag first and a name second; ambiguous ones resolve to nobody."""
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("tag"), F.col("c_mktsegment").alias("name"))
-    asked = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_name").alias("q")).union(table(spark, sf, "customer").select("c_mktsegment").distinct()).distinct()
+    asked = table(spark, sf, "customer").select(F.col("c_name").alias("q")).union(table(spark, sf, "customer").select("c_mktsegment").distinct()).distinct()
     by_tag = asked.join(people, F.col("q") == F.col("tag")).select("q", F.lit(1).alias("p"), "id")
     by_name = asked.join(people, F.col("q") == F.col("name")).select("q", F.lit(2).alias("p"), "id")
     hits = by_tag.union(by_name).withColumn("__p", F.min("p").over(Window.partitionBy("q"))).where("p = __p")
@@ -260,8 +258,11 @@ def roster_resolve(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def team_select(spark: SparkSession, sf: str) -> DataFrame:
     """Goals (orders) of players (customers) of one team (nation)."""
-    team = table(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf, "orders").where("o_orderstatus = 'F'").join(team, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    orders, people = table(spark, sf, "orders"), table(spark, sf, "customer")
+    goals = orders.select("o_orderkey", "o_custkey", F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("rejected").alias("status"), F.lit("").alias("scorer"))
+    players = people.select(F.col("c_custkey").cast("string").alias("tag"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("team"))
+    assigned = orders.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("tag"))
+    return sessions.select_goals(goals, assigned, players, team="3").select("o_orderkey", "o_custkey")
 
 
 @query
@@ -295,10 +296,7 @@ def verdict(spark: SparkSession, sf: str) -> DataFrame:
     answer = F.when(F.length("text") % 5 == 0, "YES").when(F.length("text") % 5 == 1, "UNCLEAR").otherwise("NO")
     answers = said.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@"), F.col("turn").cast("string")).alias("akey"), answer.alias("answer"))
     items = said.select("conv_id").distinct().withColumn("prefix", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@")))
-    # the prefix ends with the separator, so it equals what stands before it and the join needs no scan of all pairs
-    keyed = answers.withColumn("prefix", F.concat(F.substring_index("akey", "@", 1), F.lit("@")))
-    said_any = lambda x: F.coalesce(F.bool_or(F.col("answer") == x), F.lit(False))
-    return items.join(keyed, "prefix", "left").groupBy("conv_id").agg(F.when(said_any("YES"), "Y").when(said_any("UNCLEAR"), "?").when(said_any("NO"), "N").otherwise("").alias("verdict"))
+    return joins.verdicts(items, answers, item="conv_id", prefix="prefix", key="akey", answer="answer")
 
 
 # --- vectors, votes, evaluation -------------------------------------------------------------------------------------
@@ -579,7 +577,7 @@ def multi_positive_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def verbatim_concat(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _statuses(spark, sf)
-    return a.withColumn("batch", F.lit(1).cast("long")).unionByName(b.withColumn("batch", F.lit(2).cast("long"))).groupBy("batch", "v").agg(F.count("*").alias("n"))
+    return sinks.concat_batches([a, b]).groupBy(F.col("batch").cast("long").alias("batch"), "v").agg(F.count("*").alias("n"))
 
 
 # --- order, expectations, keys --------------------------------------------------------------------------------------------
@@ -598,9 +596,9 @@ def next_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def keymap(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    n = table(spark, sf, "nation").withColumn("i", F.row_number().over(w)).where("i <= 3")
-    return n.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.substring(F.lit("123"), F.col("i"), F.lit(1)).alias("key"))
+    """Players (customers) of each team (nation) in order; the first ones have a key."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", "c_nationkey", k.player_key(F.row_number().over(w)).alias("key"))
 
 
 @query
@@ -630,9 +628,10 @@ def scale_check(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stage_case(spark: SparkSession, sf: str) -> DataFrame:
     """The furthest stage of a session from the kinds of rows it has."""
-    flags = det(spark, sf).where("k < 20").groupBy("fid").agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in ("error", "purchase", "signup", "click")])
-    stage = F.when(F.col("error") == 1, "output").when(F.col("purchase") == 1, "roster").when(F.col("signup") == 1, "goals").when(F.col("click") == 1, "candidates").otherwise("init")
-    return flags.select("fid", stage.alias("stage"))
+    made = {"candidates": "click", "goals": "signup", "roster": "purchase", "roster_confirmed": "view", "output": "error"}
+    seen = [F.max((F.col("role") == r) & (F.col("k") < 20 + 10 * n)).alias(stage) for n, (stage, r) in enumerate(made.items())]
+    flags = det(spark, sf).groupBy(F.concat_ws("-", "fid", F.floor(F.col("frame") / 120)).alias("session")).agg(*seen)
+    return sessions.stage_of(flags.select("session", *made))
 
 
 @query
@@ -794,7 +793,7 @@ def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
 def truth_classes(spark: SparkSession, sf: str) -> DataFrame:
     team = F.when(F.col("c_nationkey") < 8, "对手").when(F.col("c_nationkey") < 16, "主队").otherwise("便服")
     players = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("tag"), team.alias("team")).groupBy("tag").agg(F.min("team").alias("team"))
-    assigned = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 10 == 0, F.lit("NOGOAL")).when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("tag"))
+    assigned = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 10 == 0, F.lit("NOGOAL")).when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("tag"))
     return sessions.truth_of(assigned, players)
 
 
@@ -819,16 +818,14 @@ def cluster_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def goal_track_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Of the views that end near a goal, the longest within 300 pixels of the nearest."""
     ends = det(spark, sf, "view").select("fid", F.col("det").alias("track"), "cx", "cy", (F.col("k") % 9 + 1).alias("length"))
-    pairs = _goals(spark, sf).join(ends, "fid").where(F.col("goal") % 5 == 0)
-    pairs = pairs.select("goal", "track", "length", geo.distance(F.col("cx"), F.col("cy"), F.col("gx"), F.col("gy")).alias("dist"))
-    return landing.goal_tracks(pairs, longer=True, slack=300, most=500.0).select("goal", "track", "length")
+    pairs = joins.within(_goals(spark, sf), ends, keys=["fid"], at=("gx", "gy"), right_at=("cx", "cy"), reach=800.0)  # beyond the limit and the slack none can be chosen
+    return landing.goal_tracks(pairs.select("goal", "track", "length", "dist"), longer=True, slack=300, most=500.0).select("goal", "track", "length")
 
 
 @query
 def consistency_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Goals probed again with the window moved both ways: consistent where all hit and land close together."""
     goals, balls, persons = _cascade(spark, sf)
-    goals = goals.where(F.col("goal") % 4 == 0)
     runs = None
     for shift in (0, -8, 8):
         r = landing.probe_releases(goals.withColumn("anchor", F.col("anchor") + shift), balls, persons, low=2, high=120, max_gap=60, max_step=900.0).select("goal", F.lit(shift).alias("shift"), "reason", "land_x", "land_y")
@@ -854,7 +851,7 @@ def audit_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def selected_photos(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = det(spark, sf, "signup").where("k < 10").select(F.col("det").alias("id")).unionByName(spark.range(10_000_000, 10_000_003).select("id"))
+    chosen = det(spark, sf, "signup").select(F.col("det").alias("id")).unionByName(spark.range(10_000_000, 10_000_003).select("id"))
     photos = det(spark, sf).select(F.col("det").alias("id"), F.col("fid").alias("video_no"), (F.col("frame") * 2 + 1).alias("deciseconds"))
     named, unknown = sinks.selected_photos(chosen, photos, key="id")
     return named.select("id", "file_name").unionByName(unknown.select("id", F.lit("unknown").alias("file_name")))
@@ -903,3 +900,9 @@ def probe_report(spark: SparkSession, sf: str) -> DataFrame:
     hit = F.col("reason") == ""
     out = release_probe(spark, sf).agg(F.count("*").alias("goals"), F.count_if(hit).alias("hits"), F.count_if(F.col("at_edge")).alias("at_edge"), F.round(F.avg(hit.cast("double")), 6).alias("coverage"))
     return out.withColumn("passed", F.col("coverage") >= 0.7)
+
+
+from . import contract_queries  # noqa: E402
+
+QUERIES.update(contract_queries.QUERIES)
+ORACLES = {**ORACLES, **contract_queries.ORACLES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+PLAYER_KEYS = "123456789QWERTYUIADFHJKLCVB"
 DET = """det AS (
     SELECT CAST(user_id AS BIGINT) AS fid, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 720000000.0) AS BIGINT) AS frame, CAST(event_id AS BIGINT) AS det,
            CAST((event_id * 7919) % 1920 AS BIGINT) AS cx, CAST((event_id * 104729) % 1080 AS BIGINT) AS cy, least(value / 200, 1.0) AS conf,
@@ -156,10 +157,10 @@ ORACLES: dict[str, str] = {
         SELECT fid, det, box FROM h WHERE pick = 1""",
     "unique_majority": f"""WITH {DET}, c AS (SELECT fid, role, count(*) AS n FROM det GROUP BY fid, role), t AS (SELECT *, max(n) OVER (PARTITION BY fid) AS top FROM c)
         SELECT fid, CASE WHEN count(*) = 1 THEN max(role) END AS role, max(n) AS n FROM t WHERE n = top GROUP BY fid""",
-    "number_regex": """WITH tags AS (SELECT p_partkey AS tag_key, '#' || p_size || ' ' || p_brand AS tag FROM part WHERE p_partkey % 50 = 0), numbers AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS number FROM part)
+    "number_regex": """WITH tags AS (SELECT p_partkey AS tag_key, '#' || p_size || ' ' || p_brand AS tag FROM part), numbers AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS number FROM part)
         SELECT number, count(*) AS matches, min(tag_key) AS first_match FROM numbers JOIN tags ON regexp_matches(tag, '(^|[^0-9])' || number || '([^0-9]|$)') GROUP BY number""",
     "fuzzy_names": "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_name < y.p_name AND levenshtein(x.p_name, y.p_name) <= 1",
-    "roster_resolve": """WITH asked AS (SELECT c_name AS q FROM customer WHERE c_custkey % 10 = 0 UNION SELECT c_mktsegment FROM customer),
+    "roster_resolve": """WITH asked AS (SELECT c_name AS q FROM customer UNION SELECT c_mktsegment FROM customer),
         hits AS (SELECT q, 1 AS p, c_custkey AS id FROM asked JOIN customer ON q = c_name UNION ALL SELECT q, 2, c_custkey FROM asked JOIN customer ON q = c_mktsegment),
         best AS (SELECT *, min(p) OVER (PARTITION BY q) AS m FROM hits)
         SELECT q, CASE WHEN count(*) = 1 THEN max(id) END AS id, CAST(max(p) AS BIGINT) AS rule FROM best WHERE p = m GROUP BY q""",
@@ -251,13 +252,15 @@ ORACLES: dict[str, str] = {
     "verbatim_concat": f"WITH {STATUSES} SELECT CAST(1 AS BIGINT) AS batch, v, count(*) AS n FROM a GROUP BY v UNION ALL SELECT CAST(2 AS BIGINT), v, count(*) FROM b GROUP BY v",
     "nulls_last": f"""WITH {DET}, t AS (SELECT fid, det, CASE WHEN k % 4 > 0 THEN cx END AS dist FROM det WHERE role = 'purchase') SELECT *, row_number() OVER (PARTITION BY fid ORDER BY dist ASC NULLS LAST, det) AS position FROM t""",
     "next_file": "SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next_key FROM orders",
-    "keymap": """WITH r AS (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) SELECT n_nationkey, CAST(i AS VARCHAR) AS key FROM r WHERE i <= 3""",
+    "keymap": f"""WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
+        SELECT c_custkey, c_nationkey, CASE WHEN i <= 27 THEN substr('{PLAYER_KEYS}', i, 1) ELSE '' END AS key FROM r""",
     "summary_order": f"WITH {DET}, g AS (SELECT fid, count(*) AS n, min(frame) AS first_frame FROM det GROUP BY fid) SELECT *, row_number() OVER (ORDER BY n DESC, first_frame, fid) AS position FROM g",
     "gt_eval": f"""WITH {DET}, {GOALS}, n AS (SELECT goal, min(abs(v.frame - anchor)) AS dt FROM goals g LEFT JOIN det v ON v.fid = g.fid AND v.role = 'view' AND abs(v.frame - anchor) <= 20 GROUP BY goal)
         SELECT CASE WHEN dt <= 10 THEN 'HIT' WHEN dt <= 20 THEN 'WEAK' ELSE 'MISS' END AS status, count(*) AS n FROM n GROUP BY 1""",
     "scale_check": f"""WITH {DET}, b AS (SELECT fid, det, cx - 300 < -19.2 OR cy - 300 < -10.8 OR cx + 300 > 1939.2 OR cy + 300 > 1090.8 AS bad FROM det WHERE role = 'click')
         SELECT fid, CAST(count_if(bad) AS BIGINT) AS violations, min(CASE WHEN bad THEN det END) AS first_violation FROM b GROUP BY fid""",
-    "stage_case": f"""WITH {DET} SELECT fid, CASE WHEN bool_or(role = 'error') THEN 'output' WHEN bool_or(role = 'purchase') THEN 'roster' WHEN bool_or(role = 'signup') THEN 'goals' WHEN bool_or(role = 'click') THEN 'candidates' ELSE 'init' END AS stage FROM det WHERE k < 20 GROUP BY fid""",
+    "stage_case": f"""WITH {DET} SELECT concat(fid, '-', {DAY}) AS session, CASE WHEN bool_or(role = 'error' AND k < 60) THEN 'output' WHEN bool_or(role = 'view' AND k < 50) THEN 'roster_confirmed' WHEN bool_or(role = 'purchase' AND k < 40) THEN 'roster'
+            WHEN bool_or(role = 'signup' AND k < 30) THEN 'goals' WHEN bool_or(role = 'click' AND k < 20) THEN 'candidates' ELSE 'init' END AS stage FROM det GROUP BY 1""",
     "key_parsing": f"""WITH p AS (SELECT page_id, {PAGE} AS name FROM pages)
         SELECT page_id, regexp_replace(name, '\\.[^.]+$', '') AS stem, CASE WHEN regexp_extract(name, '(\\d+)', 1) <> '' THEN coalesce(nullif(ltrim(regexp_extract(name, '(\\d+)', 1), '0'), ''), '0') END AS number,
                name || '#' || (page_id * 7 // 10) || '.' || (page_id * 7 % 10) AS goal_key FROM p""",
@@ -286,8 +289,8 @@ ORACLES |= {
 
 
 def _probe(shift: int) -> str:
-    """The probe's SQL with every anchor moved, for every fourth goal."""
-    moved = PROBE.replace("frame AS anchor FROM det WHERE role = 'purchase'", f"frame + {shift} AS anchor FROM det WHERE role = 'purchase' AND det % 4 = 0")
+    """The probe's SQL with every anchor moved."""
+    moved = PROBE.replace("frame AS anchor FROM det WHERE role = 'purchase'", f"frame + {shift} AS anchor FROM det WHERE role = 'purchase'")
     return f"SELECT goal, {shift} AS shift, reason, land_x, land_y FROM (WITH {DET}, {moved} SELECT * FROM probe)"
 
 
@@ -299,13 +302,13 @@ ORACLES |= {
         SELECT number, photo, CASE WHEN w IS NULL THEN 'no_face' WHEN w < 120 THEN 'too_small' ELSE 'kept' END AS verdict, CASE WHEN w >= 120 THEN CAST(face AS DOUBLE) END AS face FROM r WHERE pick = 1""",
     "cache_misses": "SELECT DISTINCT md5(text) AS digest FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
     "truth_classes": """WITH p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS tag, min(CASE WHEN c_nationkey < 8 THEN '对手' WHEN c_nationkey < 16 THEN '主队' ELSE '便服' END) AS team FROM customer GROUP BY 1),
-        a AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS tag FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 10 <> 0)
+        a AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS tag FROM customer WHERE c_custkey % 10 <> 0)
         SELECT key, CASE WHEN team IN ('对手', '便服') THEN 'unjudgeable' WHEN regexp_matches(a.tag, '[0-9]') THEN 'ours_numbered' ELSE 'no_number' END AS truth FROM a JOIN p ON p.tag = a.tag""",
     "track_summary": f"""WITH {DET} SELECT fid, {DAY} AS track, count(*) AS n, min(frame) * 2 AS start_ds, (max(frame) - min(frame)) * 2 AS dur_ds, CAST(floor(CAST(sum(cx) AS DOUBLE) / count(*)) AS BIGINT) AS cx, CAST(floor(CAST(sum(cy) AS DOUBLE) / count(*)) AS BIGINT) AS cy FROM det GROUP BY 1, 2""",
     "cluster_rollup": f"""WITH {DET}, t AS (SELECT det, k % 12 AS cluster, frame, role FROM det UNION ALL SELECT det, k % 12 + 3, frame, role FROM det WHERE det % 5 = 0),
         f AS (SELECT det, min(cluster) AS cluster, min(frame) AS anchor FROM t WHERE role = 'purchase' GROUP BY det), r AS (SELECT cluster, count(*) AS n, min(anchor) AS first_anchor FROM f GROUP BY cluster)
         SELECT *, row_number() OVER (ORDER BY n DESC, first_anchor, cluster) AS position FROM r""",
-    "goal_track_choice": f"""WITH {DET}, {GOALS}, p AS (SELECT goal, v.det AS track, v.k % 9 + 1 AS length, sqrt(CAST((v.cx - gx) * (v.cx - gx) + (v.cy - gy) * (v.cy - gy) AS DOUBLE)) AS dist FROM goals g JOIN det v ON v.fid = g.fid AND v.role = 'view' WHERE goal % 5 = 0),
+    "goal_track_choice": f"""WITH {DET}, {GOALS}, p AS (SELECT goal, v.det AS track, v.k % 9 + 1 AS length, sqrt(CAST((v.cx - gx) * (v.cx - gx) + (v.cy - gy) * (v.cy - gy) AS DOUBLE)) AS dist FROM goals g JOIN det v ON v.fid = g.fid AND v.role = 'view'),
         q AS (SELECT *, min(dist) OVER (PARTITION BY goal) AS low FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY length DESC, dist, track) AS pick FROM q WHERE dist <= low + 300)
         SELECT goal, track, length FROM r WHERE pick = 1 AND dist <= 500""",
     "consistency_probe": f"""WITH runs AS ({_probe(0)} UNION ALL {_probe(-8)} UNION ALL {_probe(8)}),
@@ -313,7 +316,7 @@ ORACLES |= {
         SELECT goal, bool_and(reason = '' AND sqrt((land_x - bx) * (land_x - bx) + (land_y - by_) * (land_y - by_)) <= 100) AS consistent, CAST(count_if(reason = '') AS BIGINT) AS hits FROM b GROUP BY goal""",
     "numbered_clips": "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS number, printf('%03d', row_number() OVER (ORDER BY o_custkey, o_orderkey)) AS clip, o_custkey % 7 > 0 AS present FROM orders WHERE o_orderstatus = 'P'",
     "audit_sample": "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents ORDER BY h, doc_id LIMIT 15",
-    "selected_photos": f"""WITH {DET}, c AS (SELECT det AS id, fid, frame * 2 + 1 AS ds FROM det WHERE role = 'signup' AND k < 10)
+    "selected_photos": f"""WITH {DET}, c AS (SELECT det AS id, fid, frame * 2 + 1 AS ds FROM det WHERE role = 'signup')
         SELECT id, printf('%03d_v%03d_t%04d.%d.jpg', row_number() OVER (ORDER BY fid, ds, id), fid, ds // 10, ds % 10) AS file_name FROM c UNION ALL SELECT unnest([10000000, 10000001, 10000002]), 'unknown'""",
     "nested_result": f"WITH {DET} SELECT fid, string_agg(frame || ':' || det || ':' || k, ',' ORDER BY frame, det) AS members FROM det WHERE role = 'purchase' GROUP BY fid",
     "team_rules": """WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, CAST(c_nationkey * 16 + 160 AS DOUBLE) / (c_nationkey * 9 + CASE WHEN c_custkey % 2 = 0 THEN 90 ELSE 120 END) AS ratio FROM customer)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.errors import SchemaError
 from framelake.functions import geometry as geo
 from framelake.functions.keys import team_of
+from framelake.functions.plugins import crop_team
 from framelake.operators import folds, joins, landing, segments, tracking, votes
-from framelake.schemas import CASUAL, NO_GOAL, OPPONENT
+from framelake.schemas import BLACK, CASUAL, NO_GOAL, OPPONENT, WHITE
 from framelake.session import staged
 
 STAGES = ["init", "candidates", "goals", "roster", "roster_confirmed", "output"]
@@ -69,15 +70,19 @@ def require_confirmed(confirmed: bool, waived: bool = False) -> None:
 def select_goals(goals: DataFrame, assignments: DataFrame | None, players: DataFrame | None, *, scorer: str | None = None, team: str | None = None) -> DataFrame:
     """Confirmed goals (key, scorer) of one scorer, one team, or all.
 
-    A roster is needed for a team, not both choices may be given, and without a roster the scorer is matched by name.
+    A roster is needed for a team, not both choices may be given, and players without a team have no team's choice.  With a
+    roster a scorer is a tag, or else the one player of that name, and all means all assigned goals; without one the scorer
+    is matched by name.
     """
     confirmed = goals.where("status = 'confirmed'")
     if scorer and team:
         raise SchemaError("choose a scorer or a team")
     if team and assignments is None:
         raise SchemaError("a team needs a roster")
+    if team == CASUAL:
+        raise SchemaError("players without a team have no goals of a team")
     if not scorer and not team:
-        return confirmed
+        return confirmed if assignments is None else confirmed.join(assignments.select("key"), "key", "left_semi")
     if assignments is None:
         return confirmed.where(F.col("scorer") == scorer)
     by_tag = players.where(F.col("tag") == scorer) if scorer else players.where(F.col("team") == team)
@@ -89,6 +94,48 @@ def select_goals(goals: DataFrame, assignments: DataFrame | None, players: DataF
     return confirmed.join(assignments.join(tags, "tag", "left_semi").select("key"), "key", "left_semi")
 
 
+def score_chain(chain: DataFrame, frames: DataFrame) -> DataFrame:
+    """(goal, fid, frame, box, score, team) of chained boxes (goal, fid, frame, box) whose frame could be read: ``frames`` has
+    (fid, frame, sharpness, black, white), null where it could not."""
+    seen = frames.where("sharpness IS NOT NULL").select("fid", "frame", F.col("sharpness").alias("score"), crop_team(F.col("black"), F.col("white")).alias("team"))
+    return chain.select("goal", "fid", "frame", "box").join(seen, ["fid", "frame"])
+
+
+def process_goals(goals: DataFrame, caches: DataFrame, located: DataFrame, chain: DataFrame, frames: DataFrame, *, crops: int = 4, spacing: int = 3, gate: Column | None = None) -> DataFrame:
+    """(goal, status, reason, picked, team): what becomes of each goal (fid, goal) on the way from detections to crops.
+
+    ``caches`` are the readable files (fid), ``located`` the scorers' places (goal, reason, frame), ``chain`` the boxes
+    followed from there and ``frames`` what is known of the pictures.  A goal is skipped for a missing cache, a location
+    without result, a missing or unreadable frame, or because the gate holds none of its frames good; frames of the
+    opposite team are left out before the best ones are picked, best first.
+    """
+    placed = goals.select("goal", "fid").join(caches.select("fid").distinct().withColumn("__cache", F.lit(True)), "fid", "left")
+    placed = placed.join(located.select("goal", "reason", "frame"), "goal", "left")
+    pictures = frames.select("fid", "frame", F.lit(True).alias("__frame"), F.col("sharpness").isNotNull().alias("__read"), crop_team(F.col("black"), F.col("white")).alias("__seed"))
+    placed = placed.join(pictures, ["fid", "frame"], "left")
+    reason = F.when(F.col("__cache").isNull(), "missing_cache").when(F.coalesce("reason", F.lit("no_track")) != "", F.coalesce("reason", F.lit("no_track")))
+    reason = reason.when(F.col("__frame").isNull(), "missing_frame").when(~F.col("__read"), "decode_failed").otherwise("")
+    placed = staged(placed.select("goal", "fid", F.col("frame").alias("seed"), reason.alias("reason"), F.col("__seed").alias("seed_team")), "goals-placed")
+    scored = score_chain(chain.join(placed.where("reason = ''").select("goal", "seed"), "goal"), frames).join(placed.select("goal", "seed"), "goal")
+    own = folds.drop_opposite(scored, keys=["goal"], seed_frame="seed", team="team", pairs={BLACK: WHITE, WHITE: BLACK})
+    picked = folds.pick_spaced(own.select("goal", "frame", "score", "team", "box"), keys=["goal"], n=crops, spacing=spacing, gate=F.lit(True) if gate is None else gate)
+    best = picked.groupBy("goal").agg(F.array_sort(F.collect_list(F.struct("rank", "frame"))).alias("p"))
+    out = placed.join(best, "goal", "left").withColumn("reason", F.when((F.col("reason") == "") & F.col("p").isNull(), "quality_gate").otherwise(F.col("reason")))
+    ok = F.col("reason") == ""
+    return out.select("goal", F.when(ok, "OK").otherwise("SKIP").alias("status"), "reason", F.when(ok, F.transform("p", lambda x: x["frame"])).alias("picked"), F.when(ok, F.col("seed_team")).alias("team"))
+
+
+def label_page(events: DataFrame, groups: DataFrame) -> DataFrame:
+    """Events of the labelling page, each with its likely rally (grp, members) if it is in one."""
+    return events.join(groups.select("key", "grp", "members"), "key", "left")
+
+
+def photo_page(candidates: DataFrame) -> DataFrame:
+    """(id, img, v, t, s) of the photo page: candidates that are fine and have a picture; scores with two decimals."""
+    good = (F.col("status") == "ok") & (F.coalesce("image", F.lit("")) != "")
+    return candidates.where(good).select("id", F.col("image").alias("img"), F.col("video_no").cast("int").alias("v"), F.col("sec").cast("double").alias("t"), F.format_string("%.2f", F.col("score").cast("double")).alias("s"))
+
+
 def truth_of(assignments: DataFrame, players: DataFrame) -> DataFrame:
     """(key, truth): a numbered player of ours, one without number, or not judgeable; NOGOAL rows are left out."""
     known = assignments.where(F.col("tag") != NO_GOAL).join(players.select("tag", "team"), "tag", "left")

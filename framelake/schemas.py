@@ -27,4 +27,6 @@ CANDIDATES_JSON = "fid string, label string, t0 double, dur double, ac double, c
 #: Fixed values of the data: team names by first sign, and the sentinel tags.
 BLACK, WHITE, CASUAL, OPPONENT = "黑", "白", "便服", "对手"
 NO_GOAL, SKIP = "NOGOAL", "SKIP"
+#: The keys that choose a player on the labelling page, in order.
+PLAYER_KEYS = "123456789QWERTYUIADFHJKLCVB"
 FPS = 5

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_swept: set[tuple[str, str]] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -43,10 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return kept.rstrip("/")
 
 
+def _app_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends, so staged tables do not pile up."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/framelake-{app}"
+    if (app, path) not in _swept:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _swept.add((app, path))
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

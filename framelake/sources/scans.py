@@ -23,17 +23,26 @@ def file_id(path: Column) -> Column:
 
 def detection_caches(spark: SparkSession, path: str) -> DataFrame:
     """One row for each cache: (fid, frames, balls, persons, hoops); lists must have as many frames as stated."""
-    raw = documents(spark, path, schemas.CACHE_JSON)
+    return consistent_caches(documents(spark, path, schemas.CACHE_JSON), name=file_id(F.col("path")))
+
+
+def consistent_caches(raw: DataFrame, *, name: Column) -> DataFrame:
+    """Caches as read, with their file's ``name``; one whose lists have other lengths than stated fails the run."""
     good = (F.size("balls") == F.col("frames")) & (F.size("persons") == F.col("frames"))
     checked = F.when(F.coalesce(good, F.lit(False)), F.col("frames")).otherwise(F.raise_error(F.concat(F.lit("frame counts differ in "), F.col("path"))).cast("int"))
-    return raw.select(file_id(F.col("path")).alias("fid"), checked.alias("frames"), "balls", "persons", "hoops")
+    return raw.select(name.alias("fid"), checked.alias("frames"), "balls", "persons", "hoops")
 
 
 def valid_caches(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Caches that can be used again: readable, and with the expected number of frames (fid, frames) and structure."""
-    raw = documents(spark, path, schemas.CACHE_JSON, strict=False).withColumn("fid", file_id(F.col("path")))
+    return usable_caches(documents(spark, path, schemas.CACHE_JSON, strict=False).withColumn("fid", file_id(F.col("path"))), expected)
+
+
+def usable_caches(raw: DataFrame, expected: DataFrame) -> DataFrame:
+    """Of the caches as read (fid, …) those without a defect that have the expected number of frames."""
     good = F.col("_corrupt_record").isNull() & (F.size("balls") == F.col("frames")) & (F.size("persons") == F.col("frames"))
-    return raw.where(F.coalesce(good, F.lit(False))).join(expected.select("fid", F.col("frames").alias("__want")), "fid").where("frames = __want").select("fid", "frames", "balls", "persons", "hoops")
+    rows = raw.select("fid", "frames", "balls", "persons", "hoops", F.coalesce(good, F.lit(False)).alias("__good"))
+    return rows.where("__good").join(expected.select("fid", F.col("frames").alias("__want")), "fid").where("frames = __want").select("fid", "frames", "balls", "persons", "hoops")
 
 
 def frames(caches: DataFrame) -> DataFrame:
