@@ -5,10 +5,11 @@ entity.  All words of the texts that name it are its context terms; over whole t
 
     PMI(e; t) = log2( N * df(e, t) / (df(e) * df(t)) )
 
-says how strongly term t reveals entity e, whose own information is IC(e) = log2(N / df(e)).  A term with
-PMI >= ``alpha`` * IC in at least ``support`` different texts, or in all texts of an entity that has fewer, discloses the
-entity.  Each of its occurrences in any text is generalised (a plain word) or removed (``alpha`` * IC is reached even if the
-term were ``remove_factor`` times as common).
+says how strongly term t reveals entity e, whose own information is IC(e) = log2(N / df(e)).  A term that stands with the
+entity in at least ``support`` different texts discloses it from PMI >= ``alpha`` * IC on.  An entity with fewer texts is
+weaker evidence, so there the term must stand in all of them and reveal the entity wholly: PMI = IC, the term never occurs
+without it.  Each occurrence of a disclosing term in any text is generalised (a plain word) or removed (``alpha`` * IC is
+reached even if the term were ``remove_factor`` times as common).
 
 Counts are over all rows.  The per-entity and per-term counts are aggregated before they are shuffled, hot texts collapse
 to one row with a multiplicity first, and joins without aggregation are by the text's digest or the word, which AQE splits.
@@ -114,7 +115,7 @@ def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int,
 FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>, near array<string>"
 SPANS = "text_key string, terms array<struct<start:int,end:int,how:string>>"
 HIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("how", pa.string())]))
-BROADCAST_ROWS, BROADCAST_TEXTS = 1_000_000, 20_000
+BROADCAST_ROWS, BROADCAST_TEXTS = 1_000_000, 5_000_000
 
 
 def find_base(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,13 +150,15 @@ def disclosing(found: DataFrame, docs: DataFrame, *, alpha: float = 0.8, support
     named = texts.select("rows", "near", F.explode("entities").alias("entity"))
     entities = named.groupBy("entity").agg(F.sum("rows").alias("df_e"), F.count("*").alias("texts_e"))
     pairs = named.select("rows", "entity", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.sum("rows").alias("df_et"), F.count("*").alias("texts"))
-    pairs = staged(pairs.join(entities, "entity").where(F.col("texts") >= F.least(F.lit(support), "texts_e")), "pii-pairs")
+    pairs = pairs.join(entities, "entity").withColumn("rare", F.col("texts_e") < support)
+    pairs = staged(pairs.where(F.col("texts") >= F.least(F.lit(support), "texts_e")), "pii-pairs")
     words = docs.select(F.explode(_words(text)).alias("word"))
     frequencies = words.groupBy(F.xxhash64("word").alias("code")).agg(F.count("*").alias("df_t"))  # every word is counted, by its hash
     scored = pairs.withColumn("code", F.xxhash64("term")).join(frequencies, "code")
     pmi = F.log2(F.lit(float(n)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))
-    scored = scored.withColumn("over", pmi - alpha * F.log2(F.lit(float(n)) / F.col("df_e"))).where("over >= 0 AND df_e < " + str(max(n, 1)))
-    return scored.groupBy("term").agg(F.min(F.when(F.col("over") >= F.log2(F.lit(remove_factor)), "drop").otherwise("term")).alias("how"))
+    scored = scored.withColumn("over", pmi - alpha * F.log2(F.lit(float(n)) / F.col("df_e"))).where(f"df_e < {max(n, 1)} AND IF(rare, df_t <= df_et, over >= 0)")
+    how = F.when(~F.col("rare") & (F.col("over") >= F.log2(F.lit(remove_factor))), "drop").otherwise("term")
+    return scored.groupBy("term").agg(F.min(how).alias("how"))
 
 
 def revealing_spans(docs: DataFrame, disclosed: DataFrame, *, text: str = "text") -> DataFrame:
@@ -167,9 +170,9 @@ def revealing_spans(docs: DataFrame, disclosed: DataFrame, *, text: str = "text"
     bodies = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     opened = bodies.select("text_key", F.explode(_words("text")).alias("term")).join(disclosed, "term")
     hits = staged(opened.groupBy("text_key").agg(F.collect_set(F.struct("term", "how")).alias("hits")), "pii-hits")
-    if hits.count() <= BROADCAST_TEXTS:
-        hits = F.broadcast(hits)
-    once = bodies.join(hits, "text_key").groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("hits").alias("hits"))
+    if hits.count() <= BROADCAST_TEXTS:  # so that only texts with hits are shuffled
+        bodies = bodies.join(F.broadcast(hits.select(F.xxhash64("text_key").alias("code"))), F.xxhash64("text_key") == F.col("code"), "left_semi")
+    once = bodies.join(hits.hint("merge"), "text_key").groupBy("text_key").agg(F.any_value("text").alias("text"), F.any_value("hits").alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
