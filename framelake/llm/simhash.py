@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SAMPLE_SETS, LEAST_SEEN, MOST_COMMON, SALTS = 20_000, 5, 1 << 18, 16
+SAMPLE_SETS, LEAST_SEEN, MOST_COMMON, SALTS, REPRESENTATIVES = 20_000, 5, 1 << 18, 16, 16
 
 
 def least_common(n: int, similarity: float) -> int:
@@ -259,8 +259,8 @@ def _named_pairs(met: DataFrame) -> DataFrame:
 def similar_pairs(marked: DataFrame, docs: DataFrame, linked: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
     """Pairs (a, b) of fingerprints whose texts share at least ``similarity`` of their shingles, found by prefixes.
 
-    A shingle in the prefixes of up to ``crowd`` sets compares them all.  One in more compares each with one of them first;
-    then all pairs in it that the links so far, ``linked`` among them, leave in different components.  So the components are
+    A shingle in the prefixes of up to ``crowd`` sets compares them all.  One in more compares each with one of them first,
+    the first such shingle of a set with ``REPRESENTATIVES``; then all pairs in it that the links so far, ``linked`` among them, leave in different components.  So the components are
     those of all pairs, and a large group of near copies is not expanded into its pairs.
     """
     spread = marked.select("sid", "fp", "n", F.posexplode("prefix").alias("at", "shingle"))
@@ -274,7 +274,12 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, linked: DataFrame, *, word
     few = sized.where(F.col("m") <= crowd).groupBy("shingle").agg(F.collect_list(one).alias("all"))
     few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.expr(f"filter(all, b -> {_may_reach(similarity)})")).alias("b"))
     many = sized.where(F.col("m") > crowd).select(F.col("top").alias("a"), one.alias("b")).where(_may_reach(similarity))
-    pairs = staged(_named_pairs(few.unionByName(many)), "simhash-candidates")
+    # a text that is not like that one may be like others: its first crowded shingle compares it with a few more
+    first = sized.where(F.col("m") > crowd).groupBy(F.col("sid").alias("of")).agg(F.min_by("shingle", F.struct("at", "shingle")).alias("shingle"))
+    some = sized.where(F.col("m") > crowd).groupBy("shingle", F.pmod(F.xxhash64("sid"), F.lit(REPRESENTATIVES)).alias("part")).agg(F.min(one).alias("x"))
+    asking = sized.where(F.col("m") > crowd).join(first, (F.col("sid") == F.col("of")) & (sized.shingle == first.shingle)).select(sized.shingle, one.alias("y"))
+    more = asking.join(some, "shingle").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(_may_reach(similarity))
+    pairs = staged(_named_pairs(few.unionByName(many).unionByName(more)), "simhash-candidates")
     found = _verified(pairs, docs, words=words, similarity=similarity, text=text)
     crowded = staged(sized.where(F.col("m") > crowd).select("shingle", "sid", "fp", "n", "at", "m"), "simhash-crowded")
     if crowded.isEmpty():
