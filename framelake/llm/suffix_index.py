@@ -11,8 +11,9 @@ Bytes covered by a string of ``need`` bytes that starts anywhere else are remove
    A shard builds the suffix order of its contexts and keeps the Burrows-Wheeler transform by its runs: the text positions
    at run heads and run ends, and the match length with the neighbouring row there.  Within a run the match length of a
    text position is that of the position before it less one, so matching statistics stream along the text from those
-   samples, and starts with ``need`` or more are marked.  An anchor with more contexts than ``crowd`` is not put in one
-   shard: its windows are hashed (128 bits) and counted instead.
+   samples, and starts with ``need`` or more are marked.  An anchor with over ``ALONE`` contexts is a shard of its own, so
+   frequent anchors do not gather in one task; one with more contexts than ``crowd`` is not put in one shard: its windows
+   are hashed (128 bits) and counted instead.
 4. The marks of each text are joined with it again and cut out.
 """
 
@@ -32,7 +33,7 @@ from .common import staged
 
 NEED, GRAM = 200, 48
 BASE = 0x9E3779B97F4A7C15 | 1
-SHARD_BYTES, PART = 2 << 20, 1 << 21
+SHARD_BYTES, PART, ALONE = 2 << 20, 1 << 21, 200
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -244,7 +245,7 @@ def _pieces(texts: list[bytes], need: int) -> Iterator[tuple[int, list, list]]:
         yield lo, *contexts([texts[0][lo : lo + PART + need - 1]], need)
 
 
-def remove_repeats(docs: DataFrame, *, need: int = NEED, crowd: int = 5000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, need: int = NEED, crowd: int = 2500, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
     A null text is empty and a text of under ``need`` bytes keeps all; repeated rows are each other's copies, so texts of
@@ -280,7 +281,7 @@ def remove_repeats(docs: DataFrame, *, need: int = NEED, crowd: int = 5000, key:
         offset = batch.column("first").to_numpy()[piece_] - starts[piece_]
         return pa.table({"k1": batch.column("k1").to_numpy()[piece_], "k2": batch.column("k2").to_numpy()[piece_], "first": (first + offset).astype(np.int32), "last": (last + offset).astype(np.int32)})
 
-    few = pieces.where(F.col("m") <= crowd).withColumn("shard", F.pmod("h", F.lit(shards)))
+    few = pieces.where(F.col("m") <= crowd).withColumn("shard", F.when(F.col("m") > ALONE, F.col("h")).otherwise(F.pmod("h", F.lit(shards))))
     marks = found.where("h IS NULL").select("k1", "k2", "first", "last").unionByName(whole)
     marks = marks.unionByName(few.groupBy("shard").applyInArrow(index, "k1 long, k2 long, first int, last int"))
     hot = pieces.where(F.col("m") > crowd)
