@@ -4,10 +4,12 @@ Texts are read as UTF-8 bytes, n-grams of up to ``ORDER`` bytes as exact codes,
 grow with the text.  Nothing of it is collected or broadcast by the operator:
 
 1. Counts, continuation counts and context totals of the trusted texts are aggregated by n-gram and kept as tables of
-   discounted shares and back-off weights.
-2. The documents are read in blocks of neighbouring rows.  Every block asks for each of its n-grams once; the asked n-grams
-   of all blocks and their suffixes meet the tables by joins, order by order, which gives the cost of each in bits.
-3. The costs return to the blocks that asked and every document of a block adds up its own.
+   discounted shares and back-off weights.  (Those of one and two bytes are bounded by the alphabet and go to all tasks.)
+2. The documents are read in blocks of neighbouring rows.  Every block asks for each of its n-grams once.  Asked n-grams and
+   model rows are sharded by the two bytes before the last, which all orders from three on share, and meet in a cogroup that
+   gives each n-gram's cost in bits.  Asked n-grams of very many blocks are spread over copies of a shard.
+3. The costs return to the blocks that asked, which meet their documents in a second cogroup, and every document adds up its
+   own.  Documents travel compressed, n-grams as compressed differences.
 
 A document is kept if its bits per byte are at most a quantile of trusted documents of its language and length class that
 the model has not seen, and if the share of different n-grams among its own is at least half of what nearly all of them
@@ -17,6 +19,7 @@ have, which finds texts that repeat a few words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,12 @@ from framelake.session import release_memory, ship_package, tidy
 
 from .common import staged
 
-ORDER, SYMBOLS, BROADCAST_ROWS = 5, 256, 5_000_000
+ORDER, SYMBOLS, BROADCAST_ROWS, BROADCAST_LIMITS = 5, 256, 5_000_000, 100_000
 #: a block has at most so many rows, and of rows beyond ``LONG`` bytes at most as many as hold ``BLOCK_BYTES``
-BLOCK_ROWS, LONG, BLOCK_BYTES = 4096, 1 << 14, 1 << 26
-LEAST_CLASS = 100
+BLOCK_ROWS, LONG, BLOCK_BYTES = 8192, 1 << 14, 1 << 25
+#: rows of the highest order and bytes of text to a shard and each of its copies
+LEAST_SHARDS, SHARD_ROWS, COPY_BYTES = 24, 500_000, 1 << 25
+LEAST_CLASS, LEAST_DISCOUNT = 100, 0.1
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -78,52 +83,99 @@ def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2, D3+ of an order from its counts of counts; plain 0.5, 1, 1.5 where too few counts occur."""
+    """D1, D2, D3+ of an order from its counts of counts; plain 0.5, 1, 1.5 where too few counts occur.
+
+    None is under ``LEAST_DISCOUNT``: every context keeps something for what it has not seen, so no text is impossible.
+    """
     n = {r.c: r.n for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
     if not all(n.get(k) for k in (1, 2, 3, 4)):
         return 0.5, 1.0, 1.5
     y = n[1] / (n[1] + 2 * n[2])
-    return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) for k in (1, 2, 3))
+    return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], LEAST_DISCOUNT), float(k)) for k in (1, 2, 3))
 
 
-#: Of each order, from one on: (g, share) of its n-grams and (h, weight) of their contexts.
-Model = list[tuple[DataFrame, DataFrame]]
+@dataclass
+class Model:
+    """Shares and back-off weights of orders from three on, sharded, and the probabilities of all pairs of bytes."""
 
+    tables: DataFrame  # (shard, kind, key, value): kind 2k for shares of order k, 2k + 1 for weights of its contexts
+    shards: int
+    pairs: np.ndarray
 
-def _suffix(order: int) -> Column:
-    return F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1))
+
+def shard_of(pair: Column | np.ndarray, shards: int) -> Column | np.ndarray:
+    """The shard of two bytes, alike for columns and arrays."""
+    mixed = pair * 2654435761
+    return F.pmod(F.shiftright(mixed, 16), F.lit(shards)) if isinstance(pair, Column) else (mixed >> 16) % shards
 
 
 def train(trusted: DataFrame, text: str = "text") -> Model:
-    """Discounted shares and back-off weights of all orders, as tables."""
-    tables = {ORDER: staged(count_grams(trusted, text), "kn-counts")}
+    counts = {ORDER: staged(count_grams(trusted, text), "kn-counts")}
     for order in range(ORDER - 1, 0, -1):  # how many symbols precede it
-        tables[order] = staged(tables[order + 1].select(_suffix(order).alias("g")).groupBy("g").agg(F.count("*").alias("c")), f"kn-continuations-{order}")
-    model = []
+        suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1))
+        counts[order] = staged(counts[order + 1].select(suffix.alias("g")).groupBy("g").agg(F.count("*").alias("c")), f"kn-continuations-{order}")
+    shards = max(LEAST_SHARDS, -(-counts[ORDER].count() // SHARD_ROWS))
+    tables, dense = None, np.full(1, 1.0 / SYMBOLS)
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = discounts(tables[order])
-        rows = tables[order].withColumn("h", F.shiftright("g", 8)).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
-        contexts = staged(rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("held")), f"kn-contexts-{order}")
-        shares = rows.join(contexts, "h").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"))
-        model.append((shares, contexts.select("h", (F.col("held") / F.col("total")).alias("weight"))))
-    return model
-
-
-def probabilities(asked: DataFrame, model: Model) -> DataFrame:
-    """(g, p) of every asked n-gram of the highest order, seen or not: each order joins its own tables and the order below."""
-    wanted = {len(model): asked.select("g").distinct()}
-    for order in range(len(model) - 1, 0, -1):
-        wanted[order] = wanted[order + 1].select(_suffix(order).alias("g")).distinct()
-    lower = None
-    for order, (shares, contexts) in enumerate(model, 1):
-        rows = wanted[order].join(shares, "g", "left").withColumn("h", F.shiftright("g", 8)).join(contexts, "h", "left")
-        if lower is None:
-            below = F.lit(1.0 / SYMBOLS)
-        else:
-            rows, below = rows.withColumn("s", _suffix(order - 1)).join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s"), F.col("below")
-        # an unseen context leaves all to the shorter one
-        lower = staged(rows.select("g", (F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * below).alias("p")), f"kn-answers-{order}")
-    return lower
+        d1, d2, d3 = discounts(counts[order])
+        rows = counts[order].withColumn("h", F.shiftright("g", 8)).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
+        shares = rows.join(contexts, "h").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
+        weights = contexts.select("h", (F.col("held") / F.col("total")).alias("value"))
+        if order <= 2:  # at most 2**16 rows
+            share, weight = shares.toPandas(), weights.toPandas()
+            back = np.ones(SYMBOLS ** (order - 1))  # an unseen context leaves all to the shorter one
+            back[weight.h.to_numpy()] = weight.value.to_numpy()
+            dense = (back[:, None] * dense[None, :].repeat(len(back), 0)).ravel() if order == 2 else np.full(SYMBOLS, back[0] / SYMBOLS)
+            dense[share.g.to_numpy()] += share.value.to_numpy()
+            continue
+        part = shares.select(F.lit(2 * order).alias("kind"), F.col("g").alias("key"), "value", F.shiftright("g", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair"))
+        part = part.unionByName(weights.select(F.lit(2 * order + 1).alias("kind"), F.col("h").alias("key"), "value", F.col("h").bitwiseAND(F.lit(0xFFFF)).alias("pair")))
+        tables = part if tables is None else tables.unionByName(part)
+    return Model(tables.select(shard_of(F.col("pair"), shards).cast("int").alias("shard"), F.col("kind").cast("int").alias("kind"), "key", "value"), shards, dense)
+
+
+def probabilities(codes: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], pairs: np.ndarray) -> np.ndarray:
+    """p(last byte | bytes before) of n-grams of the highest order, seen or not; ``tables`` holds (sorted keys, values) by kind."""
+
+    def value(kind: int, keys: np.ndarray, none: float) -> np.ndarray:
+        known, values = tables.get(kind, (keys[:0], pairs[:0]))
+        if not len(known):
+            return np.full(len(keys), none)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at], none)
+
+    p = pairs[codes & 0xFFFF]
+    for order in range(3, ORDER + 1):
+        g = codes & ((1 << 8 * order) - 1)
+        p = value(2 * order, g, 0.0) + value(2 * order + 1, g >> 8, 1.0) * p
+    return p
+
+
+def pressed(codes: np.ndarray) -> bytes:
+    """Sorted codes as compressed differences, byte by byte."""
+    steps = np.diff(codes, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)
+    return len(codes).to_bytes(4, "little") + pa.compress(steps.T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpressed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel())
+
+
+def by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its places in the sorted codes), for shards that have any."""
+    shard = shard_of((codes >> 8) & 0xFFFF, shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for part in np.split(order, cuts) if len(codes) else ():
+        yield int(shard[part[0]]), part
+
+
+def _distinct(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    found = [np.unique(grams(part)[0]) for _, part in _parts(column, 1 << 22)]
+    return np.unique(np.concatenate(found)) if len(found) != 1 else found[0]
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -143,22 +195,59 @@ def _block(text: str) -> Column:
     return F.xxhash64(F.col("_metadata.file_path"), kind, F.floor(F.col("_metadata.row_index") / rows))
 
 
-def _asked(rows: DataFrame) -> DataFrame:
-    """(block, g): the different n-grams of every block of ``rows`` (block, text)."""
+def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    blocks = batch.column(0).to_numpy()
+    for block in np.unique(blocks):
+        yield int(block), batch.filter(pa.array(blocks == block))
+
+
+def asked(rows: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, codes): the different n-grams of the texts of each block in ``rows`` (block, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            for block in np.unique(blocks):
-                mine = batch.column(1).filter(pa.array(blocks == block))
-                found = [np.unique(grams(part)[0]) for _, part in _parts(mine, 1 << 22)]
-                g = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
+        for block, part in ((b, p) for batch in batches for b, p in _by_block(batch)):
+            codes = _distinct(part.column(1))
+            pieces = [(shard, pressed(codes[at])) for shard, at in by_shard(codes, shards)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(pieces), pa.int64()), pa.array([s for s, _ in pieces], pa.int32()), pa.array([c for _, c in pieces], pa.binary())], ["block", "shard", "codes"])
+
+    return rows.mapInArrow(tidy(run), "block long, shard int, codes binary")
+
+
+def costs(pieces: DataFrame, model: Model, copies: int = 1) -> DataFrame:
+    """(block, codes, costs) of every piece (block, shard, codes): costs are bits as floats, in the order of the codes."""
+    pairs = model.pairs
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds, keys, values = (right.column(k).to_numpy() for k in ("kind", "key", "value"))
+        tables = {}
+        for kind in np.unique(kinds):
+            k, v = keys[kinds == kind], values[kinds == kind]
+            order = np.argsort(k)
+            tables[int(kind)] = k[order], v[order]
+        found = [(-np.log2(probabilities(unpressed(c.as_py()), tables, pairs))).astype("<f4").tobytes() for c in left.column("codes")]
+        release_memory()
+        return pa.table({"block": left.column("block"), "codes": left.column("codes"), "costs": pa.array(found, pa.binary())})
+
+    spread = pieces.withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int"))
+    tables = model.tables.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return spread.groupBy("shard", "copy").cogroup(tables.groupBy("shard", "copy")).applyInArrow(run, "block long, codes binary, costs binary")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(block, rows): the rows (block, ...) of a block as compressed Arrow streams."""
 
-    return rows.mapInArrow(tidy(run), "block long, g long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for block, part in ((b, p) for batch in batches for b, p in _by_block(batch)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    return rows.mapInArrow(tidy(run), "block long, rows binary")
 
 
-def _bits(column: pa.ChunkedArray, known: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bits(column: pa.Array, known: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, bits per byte, share of different n-grams) of every text; not a number without text."""
     sizes = np.zeros(len(column), dtype=np.int64)
     bits, variety = np.full(len(column), np.nan), np.full(len(column), np.nan)
@@ -167,7 +256,7 @@ def _bits(column: pa.ChunkedArray, known: np.ndarray, costs: np.ndarray) -> tupl
         if not len(codes):
             continue
         at = np.searchsorted(known, codes)
-        sums = np.concatenate(([0.0], np.cumsum(costs[at], dtype=np.float64)))
+        sums = np.concatenate(([0.0], np.cumsum(price[at], dtype=np.float64)))
         ends = np.cumsum(n)
         place = np.repeat(np.arange(len(n)), n) * len(known) + at
         different = np.bincount(np.unique(place) // len(known), minlength=len(n))
@@ -179,28 +268,37 @@ def _bits(column: pa.ChunkedArray, known: np.ndarray, costs: np.ndarray) -> tupl
     return sizes, bits, variety
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``row, n_bytes, bits, variety``: every row of ``docs`` as a struct with the bits per byte of its whole text."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """``row, apart, n_bytes, bits, variety``: the columns ``kept`` of every row as a struct, and the bits per byte of its whole text."""
     ship_package(docs.sparkSession)
     docs = _scanned(docs)
-    asked = staged(_asked(docs.select(_block(text).alias("block"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("text <> ''")), "kn-asked")
-    answers = probabilities(asked, model).select("g", (-F.log2("p")).cast("float").alias("cost"))
-    costs = asked.join(answers, "g").select("block", "g", "cost")
-    rows = docs.select(_block(text).alias("block"), F.struct(*docs.columns).alias("row"))
-    row = T.StructField("row", docs.schema)
-    where = docs.columns.index(text)
+    kept = docs.columns if kept is None else kept
+    bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    copies = max(1, -(-bytes_ // (COPY_BYTES * model.shards)))
+    shards = model.shards
+    found = costs(asked(docs.select(_block(text).alias("block"), F.col(text).alias("text")), shards), model, copies)
+    rows = _packed(docs.select(_block(text).alias("block"), F.struct(*docs.columns).alias("row"), _judged_apart(text).alias("apart")))
+    row = T.StructType([docs.schema[c] for c in kept])
+    where, places = docs.columns.index(text), [docs.columns.index(c) for c in kept]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.column("g").to_numpy()
-        order = np.argsort(known)
-        whole = left.column("row").combine_chunks()
-        sizes, bits, variety = _bits(pa.chunked_array([whole.field(where)]), known[order], right.column("cost").to_numpy()[order])
-        out = pa.table({"row": whole, "n_bytes": pa.array(sizes), "bits": pa.array(bits, from_pandas=True), "variety": pa.array(variety, from_pandas=True)})
+        known = [unpressed(c.as_py()) for c in right.column("codes")] or [np.empty(0, dtype=np.int64)]
+        price = [np.frombuffer(c.as_py(), dtype="<f4") for c in right.column("costs")] or [np.empty(0, dtype=np.float32)]
+        known, price = np.concatenate(known), np.concatenate(price)
+        order = np.argsort(known)  # a block asked in two batches may have an n-gram twice, at the same price
+        known, price = known[order], price[order]
+        out = []
+        for packed in left.column("rows"):
+            for part in pa.ipc.open_stream(packed.as_buffer()):
+                whole = part.column(1)
+                sizes, bits, variety = _bits(whole.field(where), known, price)
+                row = pa.StructArray.from_arrays([whole.field(k) for k in places], fields=[whole.type.field(k) for k in places])
+                out.append(pa.record_batch([row, part.column(2), pa.array(sizes), pa.array(bits, from_pandas=True), pa.array(variety, from_pandas=True)], ["row", "apart", "n_bytes", "bits", "variety"]))
         release_memory()
-        return out
+        return pa.Table.from_batches(out)
 
-    schema = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("variety", T.DoubleType())])
-    return rows.groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(run, schema)
+    schema = T.StructType([T.StructField("row", row), *(T.StructField(*f) for f in (("apart", T.BooleanType()), ("n_bytes", T.LongType()), ("bits", T.DoubleType()), ("variety", T.DoubleType())))])
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -214,23 +312,19 @@ def _judged_apart(text: str) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("threshold")), F.lit(5)) == 0
 
 
-def graded(docs: DataFrame, labels: DataFrame, *, key: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
+def graded(docs: DataFrame, labels: DataFrame, *, key: str, text: str, lang: str, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored rows with ``id``, ``tongue`` and ``grade``, the trusted ids)."""
     trusted = trusted_ids(labels, key)
     ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     model = train(ids.where(~_judged_apart("text")).join(trusted, "doc_id", "left_semi").select("text"))
     powers = F.length(F.bin(F.greatest("n_bytes", F.lit(1)))) - 1
     tongue = F.col("row").getField(lang)
-    scored = score(docs, model, text=text).select(
-        "row", "n_bytes", "bits", "variety", F.col("row").getField(key).cast("long").alias("id"),
+    scored = score(docs, model, text=text, kept=kept).select(
+        "row", "n_bytes", "bits", "variety", "apart", F.col("row").getField(key).cast("long").alias("id"),
         F.when(tongue.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), tongue)).alias("tongue"),
-        F.least(F.greatest(F.floor(powers / 2), F.lit(2)), F.lit(6)).cast("int").alias("grade"), _judged_apart_row(text).alias("apart"),
+        F.least(F.greatest(F.floor(powers / 2), F.lit(2)), F.lit(6)).cast("int").alias("grade"),
     )
-    return scored, trusted
-
-
-def _judged_apart_row(text: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col("row").getField(text), F.lit("")), F.lit("threshold")), F.lit(5)) == 0
+    return staged(scored, "kn-scores"), trusted
 
 
 def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
@@ -246,7 +340,8 @@ def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFr
     enough = lambda c: F.coalesce(F.col(f"{c}.n"), F.lit(0)) >= LEAST_CLASS
     high = F.when(enough("fine"), F.col("fine.high")).otherwise(F.greatest("fine.high", F.when(enough("coarse"), F.col("coarse.high")).otherwise(F.greatest("coarse.high", "every.high"))))
     low = F.when(enough("fine"), F.col("fine.low")).otherwise(F.least("fine.low", F.when(enough("coarse"), F.col("coarse.low")).otherwise(F.least("coarse.low", "every.low"))))
-    return limits.select("tongue", "grade", high.alias("threshold"), (low / 2).alias("least_variety"))
+    limits = staged(limits.select("tongue", "grade", high.alias("threshold"), (low / 2).alias("least_variety")), "kn-limits")
+    return F.broadcast(limits) if limits.count() <= BROADCAST_LIMITS else limits
 
 
 KEPT = "bits IS NOT NULL AND (threshold IS NULL OR (bits <= threshold AND variety >= least_variety))"
@@ -263,8 +358,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, key
     that has text is kept; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    scored, trusted = graded(slim, labels.withColumnRenamed(key, "doc_id"), key="doc_id", text="text", lang="lang")
-    scored = staged(scored.select(F.struct("row.doc_id", "row.lang").alias("row"), "id", "n_bytes", "bits", "variety", "tongue", "grade", "apart"), "kn-scores")
+    scored, trusted = graded(slim, labels.withColumnRenamed(key, "doc_id"), key="doc_id", text="text", lang="lang", kept=["doc_id", "lang"])
     limits = thresholds(scored, trusted, quantile)
     return scored.join(limits, ["tongue", "grade"], "left").select("row.doc_id", "row.lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", F.expr(KEPT).alias("kept"))
 
@@ -272,6 +366,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, key
 def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs``, with their columns, that ``classify`` keeps; nulls, empty texts and tables and repeated rows as there."""
     scored, trusted = graded(docs, labels, key=key, text=text, lang=lang)
-    scored = staged(scored, "kn-scores")
     limits = thresholds(scored, trusted, quantile)
     return scored.join(limits, ["tongue", "grade"], "left").where(KEPT).select("row.*")

@@ -344,7 +344,7 @@ def kneser_ney_by_force(texts, order=kneser_ney.ORDER):
         if not all(k[i] for i in (1, 2, 3, 4)):
             return (0.5, 1.0, 1.5)[min(c, 3) - 1]
         y, i = k[1] / (k[1] + 2 * k[2]), min(c, 3)
-        return min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.0), i)
+        return min(max(i - (i + 1) * y * k[i + 1] / k[i], kneser_ney.LEAST_DISCOUNT), i)
 
     def p(g):
         n = len(g)
@@ -382,6 +382,17 @@ def test_kneser_ney_from_the_definition(spark):
         assert sum(got[code(context + bytes([k]))] for k in range(256)) == pytest.approx(1, rel=1e-5)
 
 
+def test_no_discount_is_zero(spark):
+    """Many n-grams seen four times and few seen three times would make the formula's D3 negative."""
+    counts = [1] * 10 + [2] * 10 + [3] * 2 + [4] * 90
+    d = kneser_ney.discounts(spark.createDataFrame(list(enumerate(counts)), "g long, c long"))
+    assert min(d) == kneser_ney.LEAST_DISCOUNT
+    rows = [(k, "".join(chr(97 + (k + j) % 5) for j in range(60)), "en") for k in range(40)] + [(100, "z\x00ÿ" * 40, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 40").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert all(r.bits is not None and r.bits < 100 for r in kneser_ney.classify(docs, labels).collect())
+
+
 def test_quality_by_force(spark, sf_dir):
     docs, labels = spark.read.parquet(sf_dir + "/documents.parquet").where("doc_id < 70"), spark.read.parquet(sf_dir + "/labels.parquet")
     got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
