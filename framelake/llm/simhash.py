@@ -139,10 +139,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "root")
 
 
-def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, first, root, component_id) of every fingerprint (fp, first)."""
+def _rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, first, root) of every fingerprint (fp, first)."""
     groups = components(edges)
-    known = staged(distinct.join(groups, distinct.fp == groups.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-known")
+    return staged(distinct.join(groups, distinct.fp == groups.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-known")
+
+
+def _named(known: DataFrame) -> DataFrame:
+    """(fp, first, root, component_id) of every fingerprint (fp, first, root)."""
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     return known.join(least, "root").select("fp", "first", "root", "component_id")
 
@@ -156,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     """
     marked = staged(fingerprints(docs, words=words, key=key, text=text), "simhash-docs")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = _named(distinct, staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-links"))
+    named = _named(_rooted(distinct, staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-links")))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -184,6 +188,24 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
     return shingles[np.lexsort((shingles, weight))[: n - least_common(n, similarity) + 1]]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits of a set, as longs: each shingle flips the one its hash names.  There are two bits or more for each shingle.
+
+    Two sets differ in at least as many shingles as these bits differ, so a pair whose bits differ in more than the
+    similarity allows need not be compared by shingles.
+    """
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _differing(x: str, y: str) -> str:
+    """Differing bits of two parities; the longer one, at most twice as long, is folded."""
+    m = f"least(size({x}), size({y}))"
+    fold = lambda z: f"IF(size({z}) > {m}, zip_with(slice({z}, 1, {m}), slice({z}, {m} + 1, {m}), (p, q) -> p ^ q), {z})"
+    return f"aggregate(zip_with({fold(x)}, {fold(y)}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+
+
 def _set_id(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
 
@@ -201,14 +223,14 @@ def common_shingles(docs: DataFrame, *, words: int, key: str, text: str) -> tupl
 
 
 def _sketched(docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(doc_id, fp, sid, n, prefix) of every row; sid stands for the set of shingles, n is its size."""
+    """(doc_id, fp, sid, n, prefix, parity) of every row; sid stands for the set of shingles, n is its size."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, words=words, key=key, text=text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sids, sizes, firsts = [], [], [], []
+            fps, sids, sizes, firsts, parities = [], [], [], [], []
             for x in batch.column(1):
                 hashes = shingle_hashes(x.as_py(), words)
                 distinct = np.unique(hashes)
@@ -216,9 +238,12 @@ def _sketched(docs: DataFrame, words: int, similarity: float, key: str, text: st
                 sids.append(_set_id(distinct))
                 sizes.append(len(distinct))
                 firsts.append(prefix(distinct, similarity, *shared.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "fp", "sid", "n", "prefix"])
+                parities.append(parity(distinct))
+            longs = pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, longs), pa.array(parities, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sid", "n", "prefix", "parity"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, fp long, sid long, n int, prefix array<long>")
+    return docs.selectExpr(f"cast(`{key}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(tidy(run), "doc_id long, fp long, sid long, n int, prefix array<long>, parity array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
@@ -240,13 +265,25 @@ def _may_reach(similarity: float, a: str = "a", b: str = "b") -> str:
     return f"{a}.sid < {b}.sid AND {a}.fp <> {b}.fp AND {room} >= {similarity / (1 + similarity)!r} * ({a}.n + {b}.n) - 1e-6 AND least({a}.n, {b}.n) >= {similarity!r} * greatest({a}.n, {b}.n) - 1e-6"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, *, words: int, similarity: float, text: str) -> DataFrame:
+def _within(similarity: float, x: str, y: str, a: str, b: str) -> str:
+    """Whether the parities x and y of sets of a and b shingles leave room for that similarity."""
+    return f"{_differing(x, y)} <= {(1 - similarity) / (1 + similarity)!r} * ({a} + {b}) + 1e-6"
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, key: str, text: str) -> DataFrame:
     """(a, b) as fingerprints of those pairs (sa, sb, a, b) that share ``similarity`` of their shingles."""
-    needed = staged(pairs.select(F.explode(F.array("sa", "sb")).alias("sid")).distinct(), "simhash-needed")
-    if needed.count() <= BROADCAST_ROWS:
+    sketches = marked.select("sid", "n", "parity").dropDuplicates(["sid"])
+    near = pairs.join(sketches.select(F.col("sid").alias("sa"), F.col("n").alias("na"), F.col("parity").alias("x")), "sa")
+    near = near.join(sketches.select(F.col("sid").alias("sb"), F.col("n").alias("nb"), F.col("parity").alias("y")), "sb")
+    near = staged(near.where(_within(similarity, "x", "y", "na", "nb")).select("sa", "sb", "a", "b"), "simhash-possible")
+    needed = staged(near.select(F.explode(F.array("sa", "sb")).alias("sid")).distinct(), "simhash-needed")
+    asked = docs
+    if needed.count() <= BROADCAST_ROWS:  # few enough to pick their texts before these are hashed
         needed = F.broadcast(needed)
-    sets = staged(_shingle_sets(docs, words, text).join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "simhash-shingles")
-    both = pairs.join(sets.select(F.col("sid").alias("sa"), F.col("shingles").alias("x")), "sa").join(sets.select(F.col("sid").alias("sb"), F.col("shingles").alias("y")), "sb")
+        ids = staged(marked.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("id")).select("id").distinct(), "simhash-ids")
+        asked = docs.join(F.broadcast(ids), docs[key].cast("long").eqNullSafe(ids["id"]), "left_semi")
+    sets = staged(_shingle_sets(asked, words, text).join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "simhash-shingles")
+    both = near.join(sets.select(F.col("sid").alias("sa"), F.col("shingles").alias("x")), "sa").join(sets.select(F.col("sid").alias("sb"), F.col("shingles").alias("y")), "sb")
     common = F.size(F.array_intersect("x", "y"))
     found = both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6)
     return staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-similar")
@@ -256,15 +293,16 @@ def _named_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.col("a.sid").alias("sa"), F.col("b.sid").alias("sb"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
-def similar_pairs(marked: DataFrame, docs: DataFrame, linked: DataFrame, *, words: int, similarity: float, crowd: int, text: str) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose texts share at least ``similarity`` of their shingles, found by prefixes.
+def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, key: str, text: str) -> DataFrame:
+    """Pairs (a, b) of groups, the ``fp`` of ``marked``, with texts that share at least ``similarity`` of their shingles, found by prefixes.
 
-    A shingle in the prefixes of up to ``crowd`` sets compares them all.  One in more compares each with one of them first,
-    the first such shingle of a set with ``REPRESENTATIVES``; then all pairs in it that the links so far, ``linked`` among them, leave in different components.  So the components are
-    those of all pairs, and a large group of near copies is not expanded into its pairs.
+    Only shingles that occur in different groups count.  One in the prefixes of up to ``crowd`` sets compares them all.  One
+    in more compares each with one of them first, the first such shingle of a set with ``REPRESENTATIVES``; then all pairs in
+    it that these links leave in different components.  So the components are those of all pairs, and a large group of near
+    copies is not expanded into its pairs.
     """
     spread = marked.select("sid", "fp", "n", F.posexplode("prefix").alias("at", "shingle"))
-    met = staged(spread.groupBy("shingle").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("shingle"), "simhash-met-shingles")
+    met = staged(spread.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle"), "simhash-met-shingles")
     if met.count() <= BROADCAST_ROWS:
         met = F.broadcast(met)
     members = staged(spread.join(met, "shingle").groupBy("shingle", "sid").agg(*(F.min(x).alias(x) for x in ("fp", "n", "at"))), "simhash-members")
@@ -280,24 +318,24 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, linked: DataFrame, *, word
     asking = sized.where(F.col("m") > crowd).join(first, (F.col("sid") == F.col("of")) & (sized.shingle == first.shingle)).select(sized.shingle, one.alias("y"))
     more = asking.join(some, "shingle").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(_may_reach(similarity))
     pairs = staged(_named_pairs(few.unionByName(many).unionByName(more)), "simhash-candidates")
-    found = _verified(pairs, docs, words=words, similarity=similarity, text=text)
+    found = _verified(pairs, marked, docs, words=words, similarity=similarity, key=key, text=text)
     crowded = staged(sized.where(F.col("m") > crowd).select("shingle", "sid", "fp", "n", "at", "m"), "simhash-crowded")
     if crowded.isEmpty():
         return found
-    groups = components(linked.unionByName(found).distinct())
+    groups = components(found)
     crowded = crowded.join(groups, crowded.fp == groups.v, "left").select("shingle", "sid", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     crowded = staged(crowded, "simhash-crowded-roots")
     apart = crowded.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    crowded = crowded.join(apart, "shingle")
-    one = F.struct("sid", "fp", "n", "at", "root")
+    crowded = crowded.join(apart, "shingle").join(marked.select("sid", "parity").dropDuplicates(["sid"]), "sid")
+    one = F.struct("sid", "fp", "n", "at", "root", "parity")
     # the salt spreads the pairs of one shingle over tasks; the condition is part of the join, so only pairs that pass are rows
     left = crowded.select("shingle", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("salt"), one.alias("a"))
     right = crowded.select("shingle", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), one.alias("b"))
     left, right = left.alias("left"), right.alias("right")
     same = (F.col("left.shingle") == F.col("right.shingle")) & (F.col("left.salt") == F.col("right.salt"))
-    met = left.join(right, same & (F.col("a.root") != F.col("b.root")) & F.expr(_may_reach(similarity)))
+    met = left.join(right, same & (F.col("a.root") != F.col("b.root")) & F.expr(_may_reach(similarity)) & F.expr(_within(similarity, "a.parity", "b.parity", "a.n", "b.n")))
     rest = staged(_named_pairs(met), "simhash-candidates-crowded")
-    return found.unionByName(_verified(rest, docs, words=words, similarity=similarity, text=text)).distinct()
+    return found.unionByName(_verified(rest, marked, docs, words=words, similarity=similarity, key=key, text=text)).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, blocks: int = 3, crowd: int = 64, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,8 +348,14 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, bl
     marked = staged(_sketched(docs, words, similarity, key, text), "simhash-docs")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     near = staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-near")
-    edges = staged(near.unionByName(similar_pairs(marked, docs, near, words=words, similarity=similarity, crowd=crowd, text=text)).distinct(), "simhash-links")
-    named = _named(distinct, edges)
+    known = _rooted(distinct, near)
+    moved = known.where("root <> fp").select(F.col("fp").alias("v"), "root")
+    if moved.count() <= BROADCAST_ROWS:
+        moved = F.broadcast(moved)
+    grouped = marked.join(moved, marked.fp == moved.v, "left").withColumn("fp", F.coalesce("root", "fp")).drop("v", "root")
+    later = components(staged(similar_pairs(grouped, docs, words=words, similarity=similarity, crowd=crowd, key=key, text=text), "simhash-links"))
+    known = known.join(later.select(F.col("v").alias("root"), F.col("root").alias("further")), "root", "left").select("fp", "first", F.coalesce("further", "root").alias("root"))
+    named = staged(_named(staged(known, "simhash-known")), "simhash-named")
     # of each component the fingerprint under which the smallest id occurs
     chosen = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.any_value("component_id").alias("id"))
     kept = staged(chosen.select("fp", "id"), "simhash-kept")

@@ -114,6 +114,22 @@ def test_similar_short_texts_are_one_group(spark):
     assert kept == set(range(0, len(rows), 2))
 
 
+def test_parities_differ_at_most_as_the_sets(spark):
+    rng = np.random.default_rng(11)
+    rows, true = [], []
+    for n in (1, 2, 30, 32, 33, 60, 63, 64, 65, 100, 128, 129, 500, 4000):
+        for share in (0.0, 0.05, 0.2, 0.5):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            more = rng.integers(0, 2**64, int(n * share), dtype=np.uint64)
+            y = np.unique(np.concatenate([x[: max(1, n - int(n * share / 2))], more]))
+            rows.append((len(rows), simhash.parity(x).tolist(), simhash.parity(y).tolist()))
+            true.append(len(np.setxor1d(x, y)))
+    asked = spark.createDataFrame(rows, "k int, x array<long>, y array<long>").selectExpr("k", f"{simhash._differing('x', 'y')} AS d", f"{simhash._differing('y', 'x')} AS e")
+    found = {r.k: (r.d, r.e) for r in asked.collect()}
+    assert all(found[k][0] == found[k][1] <= d and (d - found[k][0]) % 2 == 0 for k, d in enumerate(true))
+    assert any(found[k][0] > 0.9 * d > 100 for k, d in enumerate(true))
+
+
 def test_similar_texts_in_a_crowd_are_one_group(spark):
     # every text joins two passages that many others hold; the words that meet there differ, so only common shingles are shared
     rows = []
