@@ -308,7 +308,7 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     members = staged(spread.join(met, "shingle").groupBy("shingle", "sid").agg(*(F.min(x).alias(x) for x in ("fp", "n", "at"))), "simhash-members")
     one = F.struct("sid", "fp", "n", "at")
     sizes = members.groupBy("shingle").agg(F.count("*").alias("m"), F.min(one).alias("top"))
-    sized = members.join(sizes, "shingle")
+    sized = staged(members.join(sizes, "shingle"), "simhash-sized")
     few = sized.where(F.col("m") <= crowd).groupBy("shingle").agg(F.collect_list(one).alias("all"))
     few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.expr(f"filter(all, b -> {_may_reach(similarity)})")).alias("b"))
     many = sized.where(F.col("m") > crowd).select(F.col("top").alias("a"), one.alias("b")).where(_may_reach(similarity))
