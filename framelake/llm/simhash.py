@@ -303,8 +303,6 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     """
     spread = marked.select("sid", "fp", "n", F.posexplode("prefix").alias("at", "shingle"))
     met = staged(spread.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle"), "simhash-met-shingles")
-    if met.count() <= BROADCAST_ROWS:
-        met = F.broadcast(met)
     members = staged(spread.join(met, "shingle").groupBy("shingle", "sid").agg(*(F.min(x).alias(x) for x in ("fp", "n", "at"))), "simhash-members")
     one = F.struct("sid", "fp", "n", "at")
     sizes = members.groupBy("shingle").agg(F.count("*").alias("m"), F.min(one).alias("top"))
