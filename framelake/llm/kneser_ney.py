@@ -75,7 +75,7 @@ def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _parts(batch.column(0), 1 << 22):
+            for _, part in _parts(batch.column(0)):
                 g, c = np.unique(grams(part)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["g", "c"])
 
@@ -174,8 +174,14 @@ def by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _distinct(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    found = [np.unique(grams(part)[0]) for _, part in _parts(column, 1 << 22)]
-    return np.unique(np.concatenate(found)) if len(found) != 1 else found[0]
+    """The different n-grams of all texts, sorted; what is found is merged whenever it has grown as large as what is known."""
+    known, found, size = np.empty(0, dtype=np.int64), [], 0
+    for _, part in _parts(column):
+        found.append(np.unique(grams(part)[0]))
+        size += len(found[-1])
+        if size > len(known):
+            known, found, size = np.unique(np.concatenate([known, *found])), [], 0
+    return np.unique(np.concatenate([known, *found])) if found else known
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
