@@ -16,7 +16,6 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 SPECIAL, BEYOND = "<|endoftext|>", re.compile("[^\x00-ɏ]")
 
 
-@lru_cache(2)
 def encoder(json_path: str, ranks_path: str | None):
     """text -> ids.  Latin texts go through the rank file of the same vocabulary, which is several times faster; texts
-    beyond Latin or with a special token's string go through the JSON tokenizer itself."""
+    beyond Latin or with a special token's string go through the JSON tokenizer itself.  Loading takes about 0.1 s a task;
+    a kept one would hold its memory in idle workers."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(json_path)
