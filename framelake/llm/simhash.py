@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SAMPLE_SETS, LEAST_SEEN, MOST_COMMON, SALTS, REPRESENTATIVES = 20_000, 5, 1 << 18, 16, 16
+SAMPLE_SETS, LEAST_SEEN, MOST_COMMON, SALTS, SALT_ROWS, REPRESENTATIVES = 20_000, 5, 1 << 18, 16, 1024, 16
 
 
 def least_common(n: int, similarity: float) -> int:
@@ -321,14 +321,15 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     if crowded.isEmpty():
         return found
     groups = components(found)
-    crowded = crowded.join(groups, crowded.fp == groups.v, "left").select("shingle", "sid", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
+    crowded = crowded.join(groups, crowded.fp == groups.v, "left").select("shingle", "sid", "fp", "n", "at", "m", F.coalesce("root", "fp").alias("root"))
     crowded = staged(crowded, "simhash-crowded-roots")
     apart = crowded.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     crowded = crowded.join(apart, "shingle").join(marked.select("sid", "parity").dropDuplicates(["sid"]), "sid")
     one = F.struct("sid", "fp", "n", "at", "root", "parity")
-    # the salt spreads the pairs of one shingle over tasks; the condition is part of the join, so only pairs that pass are rows
-    left = crowded.select("shingle", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int").alias("salt"), one.alias("a"))
-    right = crowded.select("shingle", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), one.alias("b"))
+    # salts, as many as a shingle's rows need, spread its pairs over tasks; the condition is part of the join, so only pairs that pass are rows
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("m") / SALT_ROWS)).cast("int")
+    left = crowded.select("shingle", F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"), one.alias("a"))
+    right = crowded.select("shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), one.alias("b"))
     left, right = left.alias("left"), right.alias("right")
     same = (F.col("left.shingle") == F.col("right.shingle")) & (F.col("left.salt") == F.col("right.salt"))
     met = left.join(right, same & (F.col("a.root") != F.col("b.root")) & F.expr(_may_reach(similarity)) & F.expr(_within(similarity, "a.parity", "b.parity", "a.n", "b.n")))
