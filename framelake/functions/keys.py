@@ -92,6 +92,17 @@ def with_suffix(title: Column, suffix: Column, word: str) -> Column:
     return F.when(title.endswith(word), F.concat(head, suffix, F.lit(word))).otherwise(F.concat(title, suffix))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` times the power of ten to the nearest whole number, halves away from zero, and back.
+
+    ``F.round`` rounds the shortest decimal that names ``x`` instead: 0.0585 as 0.058499999999999996 goes down there and up here.
+    """
+    scale = F.lit(10.0**digits)
+    size = F.abs(x * scale)
+    whole = F.floor(size).cast("double")
+    return F.signum(x) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0)) / scale
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays of numbers, in double precision and in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

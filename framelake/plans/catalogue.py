@@ -381,7 +381,7 @@ def track_prefill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cluster_representatives(spark: SparkSession, sf: str) -> DataFrame:
-    d = det(spark, sf).withColumn("s", F.when(F.col("k") % 4 > 0, F.round("conf", 3)))
+    d = det(spark, sf).withColumn("s", F.when(F.col("k") % 4 > 0, k.rounded(F.col("conf"), 3)))
     return votes.representatives(d, cluster="fid", score="s", order="det").select("fid", "det")
 
 
@@ -461,7 +461,7 @@ def merge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pick_best_frames(spark: SparkSession, sf: str) -> DataFrame:
-    best = segments.frame_best(det(spark, sf), keys=["fid", "frame"]).select("fid", "frame", F.round("conf", 3).alias("score"), "k")
+    best = segments.frame_best(det(spark, sf), keys=["fid", "frame"]).select("fid", "frame", k.rounded(F.col("conf"), 3).alias("score"), "k")
     out = folds.pick_spaced(best, keys=["fid"], n=3, spacing=100, gate=F.col("k") >= 10)
     return out.select("fid", F.col("rank").cast("long").alias("rank"), "frame")
 
@@ -474,7 +474,7 @@ def opposite_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bucket_pick(spark: SparkSession, sf: str) -> DataFrame:
-    d = det(spark, sf).select("fid", "frame", "det", F.round("conf", 3).alias("score"), "k")
+    d = det(spark, sf).select("fid", "frame", "det", k.rounded(F.col("conf"), 3).alias("score"), "k")
     out = segments.bucket_pick(d, keys=["fid"], bucket=F.floor(F.col("frame") / 600), order=["-score", "frame", "det"], total=8, forced=F.col("k") == 7)
     return out.select("fid", "det")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -159,3 +160,19 @@ def test_no_join_of_all_pairs(spark, sf_dir, name):
 
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_bucket_pick_rounds_as_its_sql(spark, tmp_path):
+    from framelake.plans import catalogue
+
+    # 81.1 / 200 is 0.40549999999999997: times a thousand it is 405.5, so the row ties with 0.406 and comes first by its frame
+    rows = [(1, "2024-01-01 00:00:00", 81.1), (2, "2024-01-01 12:00:00", 81.2), *((k, "2024-01-01 00:00:00", 100.0 + k) for k in range(3, 10))]
+    spark.createDataFrame(rows, "event_id long, ts string, value double").selectExpr("event_id", "to_timestamp_ntz(ts) AS ts", "1L AS user_id", "'view' AS event_type", "value", "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(r[0], r[1]) for r in con.execute(catalogue.ORACLES["bucket_pick"]).fetchall()}
+    got = {(r.fid, r.det) for r in catalogue.QUERIES["bucket_pick"](spark, str(tmp_path)).collect()}
+    assert got == want and (1, 1) in got and (1, 2) not in got
+    values = [11.7 / 200, 81.1 / 200, 102.1 / 200, 0.0005, 0.0015, -81.1 / 200, 0.0, 1.0]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", keys.rounded(F.col("v"), 3).alias("r")).collect()
+    assert [r.r for r in found] == [duckdb.execute("SELECT round(?, 3)", [r.v]).fetchone()[0] for r in found]
