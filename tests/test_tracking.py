@@ -119,3 +119,32 @@ def test_components_and_roots(spark):
     pointers = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5)], "child long, parent long")
     members = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 6)], "child long")
     assert {(r.child, r.root) for r in merges.group_roots(pointers, members, child="child", parent="parent").collect()} == {(1, 3), (2, 3), (3, 3), (4, 4), (5, 5), (6, 5)}
+
+
+def test_single_linkage_in_parts_by_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(clustering, "LINK_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(90):
+        v = rng.standard_normal(3)
+        rows.append((k, int(k % 2) if k % 11 else None, [float(x) for x in v / np.linalg.norm(v)]))
+    rows += [(90, 0, rows[2][2]), (91, 0, rows[2][2]), (92, 1, [0.1, 0.0, 0.0]), (93, 1, [0.1, 0.0, 0.0]), (94, 0, None), (95, 0, [1.0, None, 0.0]), (96, 0, [1.0, 0.0]), (97, 0, [1.0, 0.0]), (98, 0, [float("nan")] * 3)]
+    df = spark.createDataFrame(rows, "id long, b int, v array<double>")
+    for threshold in (0.003, 0.02, 0.1):
+        close = [
+            (i, j) for i, b, x in rows for j, c, y in rows
+            if i != j and b is not None and b == c and x and y and len(x) == len(y) and None not in x + y and 1.0 - sum(p * q for p, q in zip(x, y, strict=True)) < threshold
+        ]
+        root, before = {r[0]: r[0] for r in rows}, None
+        while root != before:
+            before = dict(root)
+            for i, j in close:
+                root[i] = root[j] = min(root[i], root[j])
+        parts = clustering.single_linkage(df, id_="id", vec="v", threshold=threshold, block="b")
+        assert {r.id: r.cluster for r in parts.collect()} == root
+    crowd = df.select("id").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(399))).alias("id")).select("id", F.array(F.lit(1.0), F.col("id") / 1e6).alias("v"))
+    assert {r.cluster for r in clustering.single_linkage(crowd, id_="id", vec="v", threshold=0.01).collect()} == {0}
+    x = np.ones((300, 2))
+    assert len(clustering.close_links(x, x, True, 0.5)[0]) == 300 + 299  # each row with itself and a tree, not 90,000 pairs
