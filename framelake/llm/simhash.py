@@ -32,6 +32,7 @@ from .common import staged
 
 SEED, BITS = 42, 64
 BROADCAST_ROWS = 1_000_000
+LINK_ROWS = 1 << 16  # shared variants that the driver may hold while links are sought; 650,000 of them took it 140 MB
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -107,8 +108,8 @@ def links(fps: DataFrame, *, radius: int = 4, blocks: int = 3, crowd: int = 64)
     size = many.count()
     if not size:
         return pairs.distinct()
-    if size <= BROADCAST_ROWS:  # few enough to meet the variants where they are made; beyond it the join shuffles them
-        many = F.broadcast(many)
+    # few enough meet the variants where they are made; beyond it the join shuffles them and hashes the shared ones
+    many = F.broadcast(many) if size <= LINK_ROWS else many.hint("shuffle_hash")
     members = staged(emitted.join(many, "variant"), "simhash-members")
     small = members.where(F.col("n") <= crowd).groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     small = small.select(F.explode("all").alias("b"), "all").select("b", F.filter("all", lambda a: (a < F.col("b")) & (F.bit_count(a.bitwiseXOR(F.col("b"))) <= radius)).alias("lower"))

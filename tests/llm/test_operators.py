@@ -71,6 +71,16 @@ def test_links_find_every_component(spark, blocks, crowd):
     assert {f: got.get(f, f) for f in fps} == groups_by_force(fps)
 
 
+def test_links_broadcast_no_more_than_their_bound(spark, monkeypatch):
+    rng, sent, broadcast = random.Random(12), [], simhash.F.broadcast
+    fps = {x ^ simhash._signed(1 << rng.randrange(64)) for x in (rng.getrandbits(64) - (1 << 63) for _ in range(40)) for _ in range(5)}
+    monkeypatch.setattr(simhash, "LINK_ROWS", 30)
+    monkeypatch.setattr(simhash.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    got = {r.v: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    assert all(n <= 30 for n in sent)
+    assert {f: got.get(f, f) for f in fps} == groups_by_force(fps)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     out = simhash.near_duplicates(documents(spark)).collect()
     assert len(out) == len(ROWS)
