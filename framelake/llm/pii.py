@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.session import ship_package, tidy
+from framelake.session import settle, ship_package, tidy
 
 from .common import staged
 
@@ -213,7 +213,9 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, *, alpha: float = 0.8, support: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the same columns and ``text`` sanitised; a null text stays null, rows are neither added nor lost."""
     found = staged(find_base(docs, key=key, text=text), "pii-found")
+    settle(docs.sparkSession)
     terms = revealing_spans(docs, disclosing(found, docs, alpha=alpha, support=support, text=text), text=text)
+    settle(docs.sparkSession)
     names = docs.columns
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.session import ship_package, tidy
+from framelake.session import settle, ship_package, tidy
 
 from .common import staged
 
@@ -272,10 +272,10 @@ def _within(similarity: float, x: str, y: str, a: str, b: str) -> str:
 
 
 def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(a, b) as fingerprints of those pairs (sa, sb, a, b) that share ``similarity`` of their shingles."""
-    sketches = marked.select("sid", "n", "parity").dropDuplicates(["sid"])
-    near = pairs.join(sketches.select(F.col("sid").alias("sa"), F.col("n").alias("na"), F.col("parity").alias("x")), "sa")
-    near = near.join(sketches.select(F.col("sid").alias("sb"), F.col("n").alias("nb"), F.col("parity").alias("y")), "sb")
+    """(a, b) as fingerprints of those pairs of sets (sa, sb) that share ``similarity`` of their shingles."""
+    sketches = marked.groupBy("sid").agg(F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("parity").alias("parity"))
+    near = pairs.join(sketches.select(F.col("sid").alias("sa"), F.col("fp").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x")), "sa")
+    near = near.join(sketches.select(F.col("sid").alias("sb"), F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y")), "sb")
     near = staged(near.where(_within(similarity, "x", "y", "na", "nb")).select("sa", "sb", "a", "b"), "simhash-possible")
     needed = staged(near.select(F.explode(F.array("sa", "sb")).alias("sid")).distinct(), "simhash-needed")
     asked = docs
@@ -291,7 +291,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, *, words: in
 
 
 def _named_pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.col("a.sid").alias("sa"), F.col("b.sid").alias("sb"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    return met.select(F.col("a.sid").alias("sa"), F.col("b.sid").alias("sb")).distinct()
 
 
 def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity: float, crowd: int, key: str, text: str) -> DataFrame:
@@ -309,14 +309,17 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     sizes = members.groupBy("shingle").agg(F.count("*").alias("m"), F.min(one).alias("top"))
     sized = staged(members.join(sizes, "shingle"), "simhash-sized")
     few = sized.where(F.col("m") <= crowd).groupBy("shingle").agg(F.collect_list(one).alias("all"))
-    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.expr(f"filter(all, b -> {_may_reach(similarity)})")).alias("b"))
+    few = few.select(F.explode("all").alias("a"), "all").select(F.col("a.sid").alias("sa"), F.expr(f"transform(filter(all, b -> {_may_reach(similarity)}), b -> b.sid)").alias("bs"))
+    # similar sets meet in many shingles, and their pair is a row once
+    few = few.where(F.size("bs") > 0).groupBy("sa").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("sa", F.explode("bs").alias("sb"))
     many = sized.where(F.col("m") > crowd).select(F.col("top").alias("a"), one.alias("b")).where(_may_reach(similarity))
     # a text that is not like that one may be like others: its first crowded shingle compares it with a few more
     first = sized.where(F.col("m") > crowd).groupBy(F.col("sid").alias("of")).agg(F.min_by("shingle", F.struct("at", "shingle")).alias("shingle"))
     some = sized.where(F.col("m") > crowd).groupBy("shingle", F.pmod(F.xxhash64("sid"), F.lit(REPRESENTATIVES)).alias("part")).agg(F.min(one).alias("x"))
     asking = sized.where(F.col("m") > crowd).join(first, (F.col("sid") == F.col("of")) & (sized.shingle == first.shingle)).select(sized.shingle, one.alias("y"))
     more = asking.join(some, "shingle").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(_may_reach(similarity))
-    pairs = staged(_named_pairs(few.unionByName(many).unionByName(more)), "simhash-candidates")
+    pairs = staged(few.unionByName(_named_pairs(many.unionByName(more))).distinct(), "simhash-candidates")
+    settle(docs.sparkSession)
     found = _verified(pairs, marked, docs, words=words, similarity=similarity, key=key, text=text)
     crowded = staged(sized.where(F.col("m") > crowd).select("shingle", "sid", "fp", "n", "at", "m"), "simhash-crowded")
     if crowded.isEmpty():
@@ -333,6 +336,7 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     right = crowded.select("shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), one.alias("b"))
     left, right = left.alias("left"), right.alias("right")
     same = (F.col("left.shingle") == F.col("right.shingle")) & (F.col("left.salt") == F.col("right.salt"))
+    settle(docs.sparkSession)
     met = left.join(right, same & (F.col("a.root") != F.col("b.root")) & F.expr(_may_reach(similarity)) & F.expr(_within(similarity, "a.parity", "b.parity", "a.n", "b.n")))
     rest = staged(_named_pairs(met), "simhash-candidates-crowded")
     return found.unionByName(_verified(rest, marked, docs, words=words, similarity=similarity, key=key, text=text)).distinct()
@@ -346,6 +350,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, bl
     fingerprint stays, of repeated rows one.
     """
     marked = staged(_sketched(docs, words, similarity, key, text), "simhash-docs")
+    settle(docs.sparkSession)
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     near = staged(links(distinct.select("fp"), radius=radius, blocks=blocks, crowd=crowd), "simhash-near")
     known = _rooted(distinct, near)

@@ -817,3 +817,19 @@ def test_pipeline(spark, sf_dir):
     assert not [r for r in docs.collect() if pii.base_spans(r.text)]
     got = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()}
     assert got == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_each_stage_starts_on_collected_heaps(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(sf_dir + "/documents.parquet").limit(20).localCheckpoint()
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: sum(b.getCollectionCount() for b in beans())
+    for name, stage in corpus_pipeline.STAGES:
+        seen = []
+        held, corpus_pipeline.settle = corpus_pipeline.settle, lambda s, f=corpus_pipeline.settle: (seen.append(collected()), f(s), seen.append(collected()))
+        try:
+            stage(spark, docs, sf_dir)
+        finally:
+            corpus_pipeline.settle = held
+        assert len(seen) == 2 and seen[1] > seen[0], name
