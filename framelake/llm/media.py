@@ -1,7 +1,7 @@
 """Texts as media columns: bytes become grey samples of lossless WebP frames, are stored, read back and described.
 
 A payload is cut into frames of ``width`` columns and at most ``rows`` rows, so one image is bounded however long the
-text; the stored form is the frames' files, one after another.
+text; the stored form is the frames' files, one after another.  ``decode_images`` opens any column of such files.
 
 Defined results: a null text is empty; every payload has at least one block of ``block`` bytes; equal texts give equal
 values; an empty table gives no rows; other columns are ignored.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from framelake.session import ship_package
 
 from .common import staged
-from .webp import decode_gray_many, encode_gray
+from .webp import decode, decode_gray_many, encode_gray
 
 BLOCK, WIDTH, ROWS = 64, 64, 256
 
@@ -88,6 +88,22 @@ def describe_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
+def decode_images(media: DataFrame) -> DataFrame:
+    """``doc_id, frame, width, height, pixels``: every image of ``media`` (doc_id, media), of any colours, as rows of little-endian ARGB."""
+    ship_package(media.sparkSession)
+    names = ["doc_id", "frame", "width", "height", "pixels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, stored in zip(batch.column(0), batch.column(1), strict=True):
+                images = [decode(f) for f in frames(stored.as_py() or b"")]
+                columns = ([doc.as_py()] * len(images), range(len(images)), [i.shape[1] for i in images], [i.shape[0] for i in images], [i.astype("<u4").tobytes() for i in images])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return media.selectExpr("cast(doc_id as long) AS doc_id", "media").mapInArrow(run, "doc_id long, frame int, width int, height int, pixels binary")
+
+
 def media_columns(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every text as a media column and describes what is read back."""
     return describe_media(staged(encode_media(docs, key=key, text=text), "media"))

@@ -2,13 +2,16 @@
 
 ``decode`` reads any conforming image: prefix codes, meta prefix codes, back-references, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms.  ``decode_gray_many`` reads many images at once, one lane each, where
-only the green code carries information and no pixel refers to another; all others go through ``decode``.
-``encode_gray`` writes 8-bit samples as grey pixels under the subtract-green transform.
+only the green and distance codes carry information; all others go through ``decode``.
+``encode_gray`` writes 8-bit samples as grey pixels in the smallest of the forms it knows: subtract-green, a predictor after
+it, or a palette, each with back-references and a colour cache where they save bits.  Cross-colour is read, not written: on
+grey pixels it removes what subtract-green removes and needs an image of its own for that.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 
@@ -46,12 +49,15 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
 
 
+_FLIPPED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
+
+
 def canonical(lengths: list[int]) -> list[int]:
     """Codes of the given lengths, reversed so that the lowest bit comes first."""
     out, code, last = [0] * len(lengths), 0, 0
     for n, symbol in sorted((n, symbol) for symbol, n in enumerate(lengths) if n):
         code, last = code << (n - last), n
-        out[symbol] = int(f"{code:0{n}b}"[::-1], 2)
+        out[symbol] = _FLIPPED[code] >> (15 - n)
         code += 1
     return out
 
@@ -87,6 +93,20 @@ class PrefixCode:
         raise FormatError("no such code")
 
 
+@lru_cache(maxsize=64)
+def _step_code(steps: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(bits, symbol) for every window of seven bits, the longest code of a code length."""
+    code = PrefixCode(list(steps))
+    if code.only is not None:
+        return [(0, code.only)] * 128
+    codes, out = canonical(code.lengths), [(0, 0)] * 128
+    for s in code.used:
+        n = code.lengths[s]
+        for w in range(codes[s], 128, 1 << n):
+            out[w] = n, s
+    return out
+
+
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     lengths = [0] * alphabet
     if bits.read(1):  # one or two symbols stated outright
@@ -100,7 +120,7 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     steps = [0] * 19
     for k in range(4 + bits.read(4)):
         steps[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code, most = PrefixCode(steps), alphabet
+    code, most = _step_code(tuple(steps)), alphabet
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
         if most > alphabet:
@@ -109,7 +129,11 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     for _ in range(most):
         if at >= alphabet:
             break
-        step = code.read(bits)
+        place = bits.at
+        used, step = code[int.from_bytes(bits.data[place >> 3 : (place >> 3) + 2], "little") >> (place & 7) & 127]
+        bits.at = place + used
+        if bits.at > bits.end:
+            raise FormatError("the stream ends early")
         if step < 16:
             lengths[at] = step
             last, at = step or last, at + 1
@@ -323,7 +347,13 @@ def _restore(pixels: np.ndarray, transforms: list[tuple]) -> np.ndarray:
 
 # --- many grey images at once ---------------------------------------------------------------------------------------
 
-LANE_BITS = 12  # codes up to this length are looked up in one step
+LANE_BITS, DISTANCE_BITS = 11, 7  # codes up to these lengths are looked up in one step
+LANE_PIXELS, ROUND = 1 << 23, 32  # pixels decoded at once; steps after which finished lanes drop out
+LENGTHS_MOST, COPY = 4096, 1 << 24  # the longest copy; what marks a copy in a lane's table
+# of each prefix of a length or distance the value it starts from, its extra bits and their mask
+_EXTRA = np.array([max(0, p - 2) >> 1 for p in range(DISTANCE_CODES)])
+_BASE = np.array([p + 1 if p < 4 else ((2 + (p & 1)) << (p - 2 >> 1)) + 1 for p in range(DISTANCE_CODES)])
+_MASK = (1 << _EXTRA) - 1
 
 
 def _reversal(bits: int) -> np.ndarray:
@@ -333,68 +363,114 @@ def _reversal(bits: int) -> np.ndarray:
     return out
 
 
-_REVERSED = _reversal(LANE_BITS)
+_REVERSED = {n: _reversal(n) for n in (LANE_BITS, DISTANCE_BITS)}
 
 
-def _lane_table(lengths: list[int]) -> np.ndarray:
-    """length << 8 | symbol for every window of ``LANE_BITS`` bits."""
-    n = np.array(lengths[:LITERALS])
+def _lane_table(code: PrefixCode, bits: int) -> np.ndarray:
+    """length << 16 | symbol for every window of ``bits`` bits."""
+    if code.only is not None:
+        return np.full(1 << bits, code.only, dtype=np.int32)
+    n = np.array(code.lengths)
     used = np.flatnonzero(n)
     used = used[np.argsort(n[used], kind="stable")]
-    spread = np.repeat((n[used] << 8 | used).astype(np.uint16), 1 << (LANE_BITS - n[used]))
-    return spread[_REVERSED]
+    entries = np.where(used < LITERALS, used, used - LITERALS | COPY) if bits == LANE_BITS else used
+    return np.repeat((n[used] << 16 | entries).astype(np.int32), 1 << (bits - n[used]))[_REVERSED[bits]]
+
+
+@lru_cache(maxsize=8)
+def _near_backs(width: int) -> np.ndarray:
+    return np.array([max(1, dx + dy * width) for dx, dy in NEAR], dtype=np.int64)
 
 
-def decode_gray_many(files: list[bytes], lanes: int = 2048) -> list[np.ndarray]:
-    """The green samples of each file, flat.  Lanes advance by one symbol a step, longest first, so finished ones drop out."""
+def decode_gray_many(files: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
+    """The green samples of each file, flat.  Lanes advance by one symbol a step; copies are resolved when all are read."""
     out: list[np.ndarray | None] = [None] * len(files)
     ready = []
     for k, data in enumerate(files):
         bits = Bits(vp8l_data(data))
         _, height, coded, transforms = _header(bits)
         groups = read_groups(bits, coded, height, True)
-        green, *others = groups[3][0]
-        plain = groups[0] == 0 and groups[2] is None and all(t == (SUBTRACT_GREEN,) for t in transforms) and all(c.only is not None for c in others[:3])
+        green, *others, distance = groups[3][0]
+        plain = groups[0] == 0 and groups[2] is None and all(t == (SUBTRACT_GREEN,) for t in transforms) and all(c.only is not None for c in others)
         if plain and green.only is not None and green.only < LITERALS:
             out[k] = np.full(coded * height, green.only, dtype=np.uint8)
-        elif plain and green.only is None and not any(green.lengths[LITERALS:]) and max(green.lengths) <= LANE_BITS:
-            ready.append((coded * height, k, bits.data, bits.at, green.lengths))
+        elif plain and green.only is None and max(green.lengths) <= LANE_BITS and max(distance.lengths) <= DISTANCE_BITS:
+            ready.append((coded, coded * height, k, bits.data, bits.at, green, distance))
         else:
             pixels = np.array(read_pixels(bits, coded, height, *groups), dtype=np.uint32).reshape(height, coded)
             out[k] = (_restore(pixels, transforms) >> np.uint32(8)).astype(np.uint8).ravel()
-    ready.sort(key=lambda r: -r[0])
-    for first in range(0, len(ready), lanes):
-        part = ready[first : first + lanes]
-        sizes = np.array([r[0] for r in part])
-        table = np.concatenate([_lane_table(r[4]) for r in part])
-        stream = np.frombuffer(b"".join(r[2] for r in part) + bytes(4), dtype=np.uint8).astype(np.uint32)
-        windows = stream[:-3] | stream[1:-2] << np.uint32(8) | stream[2:-1] << np.uint32(16)
-        starts = np.concatenate(([0], np.cumsum([len(r[2]) for r in part])))
-        at = starts[:-1] * 8 + np.array([r[3] for r in part])
-        base = np.arange(len(part)) << LANE_BITS
-        to = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        flat = np.empty(int(sizes.sum()), dtype=np.uint8)
-        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
-        last = len(windows) - 1
-        ends = starts[1:] * 8
-        m = -1
-        for step in range(int(sizes[0])):
-            if active[step] != m:
-                m = int(active[step])
-                if np.any(at[m:] > ends[m : len(at)]):
-                    raise FormatError("the stream ends early")
-                at, base, to = at[:m], base[:m], to[:m]
-            window = windows[np.minimum(at >> 3, last)] >> (at & 7).astype(np.uint32) & np.uint32((1 << LANE_BITS) - 1)
-            entry = table[base + window]
-            flat[to + step] = entry  # keeps the low byte, the symbol
-            at = at + (entry >> 8)
-        if np.any(at > ends[:m]):
-            raise FormatError("the stream ends early")
-        for r, a, n in zip(part, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, strict=True):
-            out[r[1]] = flat[a : a + n]
+    ready.sort(key=lambda r: (r[0], -r[1]))
+    first = 0
+    while first < len(ready):
+        last, held = first, 0
+        while last < len(ready) and last - first < lanes and ready[last][0] == ready[first][0] and (last == first or held + ready[last][1] <= LANE_PIXELS):
+            held += ready[last][1]
+            last += 1
+        part, first = ready[first:last], last
+        for r, samples in zip(part, _decode_lanes(part), strict=True):
+            out[r[2]] = samples
     return out
 
 
+def _decode_lanes(part: list[tuple]) -> list[np.ndarray]:
+    """The samples of files of one width."""
+    near, sizes = _near_backs(part[0][0]), np.array([r[1] for r in part])
+    greens = np.concatenate([_lane_table(r[5], LANE_BITS) for r in part])
+    distances = np.concatenate([_lane_table(r[6], DISTANCE_BITS) for r in part])
+    # 49 bits at least from any place: a copy's codes and extra bits; the zeros are for what a broken lane reads in a round
+    stream = np.frombuffer(b"".join(r[3] for r in part) + bytes(8 * ROUND), dtype=np.uint8).astype(np.int64)
+    windows = sum(stream[k : len(stream) - 6 + k] << 8 * k for k in range(7))
+    ends = np.cumsum([len(r[3]) for r in part])
+    at = (ends - [len(r[3]) for r in part]) * 8 + [r[4] for r in part]
+    # a place behind each lane's pixels takes what finished lanes write until they drop out
+    ends, begin, lane = ends * 8, np.cumsum(sizes + 1) - sizes - 1, np.arange(len(part))
+    to, stop = begin.copy(), begin + sizes
+    literal = np.empty(int(stop[-1]) + LENGTHS_MOST, dtype=np.uint8)  # room for a copy that leaves the image
+    back = np.full(len(literal), -1, dtype=np.int32)  # of the first pixel of each symbol; 0: a literal
+    table, table2 = lane << LANE_BITS, lane << DISTANCE_BITS
+    while len(at):
+        for _ in range(ROUND):
+            going = to < stop
+            window = windows[at >> 3] >> (at & 7)
+            entry = greens[table + (window & ((1 << LANE_BITS) - 1))]
+            literal[to] = entry
+            back[to] = 0
+            at += (entry >> 16 & 255) * going
+            c = np.flatnonzero(entry >= COPY)
+            if len(c) and len(c := c[going[c]]):
+                e, here = entry[c], to[c]
+                prefix, rest = e & 255, window[c] >> (e >> 16 & 255)
+                n, used = _BASE[prefix] + (rest & _MASK[prefix]), _EXTRA[prefix]
+                rest >>= used
+                e = distances[table2[c] + (rest & ((1 << DISTANCE_BITS) - 1))]
+                prefix, rest = e & 255, rest >> (e >> 16)
+                far = _BASE[prefix] + (rest & _MASK[prefix]) - len(NEAR)
+                far = np.where(far > 0, far, near[np.minimum(far, 0) - 1])  # codes up to 120 count from the end of the table
+                back[here] = far
+                at[c] += used + (e >> 16) + _EXTRA[prefix]
+                to[c] += n - 1
+            to += going
+        if np.any(at > ends):
+            raise FormatError("the stream ends early")
+        if np.any(to > stop):
+            raise FormatError("a reference leaves the image")
+        keep = to < stop
+        if not keep.all():
+            at, to, stop, ends, table, table2 = (x[keep] for x in (at, to, stop, ends, table, table2))
+    back[begin + sizes] = 0  # so that the last symbol of a lane ends before it
+    heads = np.flatnonzero(back >= 0)
+    if np.any(heads - back[heads] < begin[np.searchsorted(begin, heads, side="right") - 1]):
+        raise FormatError("a reference leaves the image")
+    source = np.arange(len(back), dtype=np.int32) - np.repeat(back[heads], np.diff(heads, append=len(back)))
+    while True:  # copies of copies, in as many rounds as the chain's length has bits
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    samples = literal[source]
+    return [samples[a : a + n] for a, n in zip(begin, sizes, strict=True)]
+
+
 # --- writing --------------------------------------------------------------------------------------------------------
 
 # a complete code for the code lengths themselves: 13 symbols of four bits, six of five
@@ -405,21 +481,35 @@ STEP_CODES = canonical(STEP_LENGTHS)
 def code_lengths(counts: np.ndarray, most: int = LANE_BITS) -> list[int]:
     """Huffman code lengths of at most ``most`` bits; counts are flattened until the longest code fits."""
     counts = counts.tolist()
+    lengths = [0] * len(counts)
+    order = sorted((k for k, n in enumerate(counts) if n), key=counts.__getitem__)
+    weights, m = [counts[k] for k in order], len(order)
+    if m == 1:
+        lengths[order[0]] = 1
+        return lengths
     while True:
-        heap = [(n, k, (k,)) for k, n in enumerate(counts) if n]
-        lengths = [0] * len(counts)
-        heapq.heapify(heap)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        while len(heap) > 1:
-            n, k, a = heapq.heappop(heap)
-            m, _, b = heap[0]
-            for s in a + b:
-                lengths[s] += 1
-            heapq.heapreplace(heap, (n + m, k, a + b))
-        if max(lengths) <= most:
+        # leaves and joined nodes are both in order of weight, so the least is the head of one of them
+        nodes, parent, leaf, joined = weights[:], [0] * (2 * m - 1), 0, m
+        for new in range(m, 2 * m - 1):
+            weight = 0
+            for _ in range(2):
+                if leaf < m and (joined == new or nodes[leaf] <= nodes[joined]):
+                    weight += nodes[leaf]
+                    parent[leaf] = new
+                    leaf += 1
+                else:
+                    weight += nodes[joined]
+                    parent[joined] = new
+                    joined += 1
+            nodes.append(weight)
+        depth = [0] * (2 * m - 1)
+        for node in range(2 * m - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:m]) <= most:
+            for k, n in zip(order, depth, strict=False):
+                lengths[k] = n
             return lengths
-        counts = [(n + 1) // 2 if n else 0 for n in counts]
+        weights = [(n + 1) // 2 for n in weights]
 
 
 def write_lengths(lengths: list[int], alphabet: int) -> tuple[int, int]:
@@ -452,25 +542,222 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + padded
 
 
-def encode_gray(samples: np.ndarray, width: int) -> bytes:
-    """A lossless WebP file of grey pixels; the number of samples is a multiple of ``width``."""
-    height = len(samples) // width
-    lengths = code_lengths(np.bincount(samples, minlength=256))
-    value = SIGNATURE | (width - 1) << 8 | (height - 1) << 22
-    bits = 40
-    value |= (1 | SUBTRACT_GREEN << 1) << bits
-    bits += 3 + 1 + 1 + 1  # no further transform, no colour cache, one group of codes
-    for part, n in (write_lengths(lengths, LITERALS + LENGTH_CODES), (0b0001, 4), (0b0001, 4), (0b101 | 255 << 3, 11), (0b0001, 4)):
-        value |= part << bits
-        bits += n
-    if sum(1 for n in lengths if n) > 1:
-        n = np.array(lengths)[samples]
-        at = bits + np.cumsum(n) - n
-        code = np.array(canonical(lengths), dtype=np.uint64)[samples] << (at & 31).astype(np.uint64)
+LEAST_SAVING = 32  # a cache or a predictor is used if it saves one bit of so many
+PREDICTORS = (1, 2, 7)  # left, top and their mean
+ALPHA = {False: 255, True: 0}  # what all alphas are, of pixels and of differences to a prediction
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix codes, extra bits, their values) of lengths or distances."""
+    v = values - 1
+    top = np.frexp(v.astype(np.float64))[1] - 1  # place of the highest bit
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * extra + (v >> extra)), extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
+
+
+@lru_cache(maxsize=8)
+def _near_codes(width: int) -> np.ndarray:
+    """The code of each distance up to the largest of a near pixel; one more beyond."""
+    backs = _near_backs(width)
+    out = np.arange(backs.max() + 2) + len(NEAR)
+    for k in range(len(NEAR) - 1, -1, -1):
+        out[backs[k]] = k + 1
+    return out
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of so many symbols, one each at least, and about what their code's description takes."""
+    c = counts[counts > 0].astype(np.float64)
+    n = float(c.sum())
+    return max(n, n * float(np.log2(n)) - float(c @ np.log2(c))) + 5 * len(c) if len(c) > 1 else 11.0
+
+
+def _references(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, distances) of symbols: a literal has length 1 and distance 0, else four values or more occurred before."""
+    n = len(values)
+    if n < 8:
+        return np.arange(n), np.ones(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    grams = np.ndarray((n - 3,), dtype="<u4", buffer=np.ascontiguousarray(values), strides=(1,))
+    key = grams.astype(np.uint64)
+    key <<= np.uint64(28)
+    key |= np.arange(n - 3, dtype=np.uint64)
+    key.sort()
+    place = key.view(np.int64) & ((1 << 28) - 1)
+    key >>= np.uint64(28)
+    again = np.flatnonzero(key[1:] == key[:-1])
+    d, places = np.zeros(n - 3, dtype=np.int64), place[again + 1]
+    d[places] = places - place[again]
+    d[d > (1 << 20) - len(NEAR)] = 0
+    ends = np.append(np.flatnonzero(d[1:] != d[:-1]) + 1, n - 3)
+    length = np.repeat(ends + 3, np.diff(ends, prepend=0))  # ends of matches: equal distances in a row are one
+    good = np.flatnonzero(d)
+    length = np.minimum(length[good] - good, LENGTHS_MOST)
+    far = d[good]
+    chosen = np.flatnonzero(length >= 4 + (far > 128) + (far > 2048))
+    good, length, far = good[chosen], length[chosen], far[chosen]
+    places, jumps, taken, k, m = good.tolist(), length.tolist(), [], 0, len(good)
+    while k < m:  # the first match at or behind the end of the last
+        taken.append(k)
+        k = bisect_left(places, places[k] + jumps[k], k)
+    at, n_copied = good[taken], length[taken]
+    begun = np.zeros(n + 1, dtype=np.int64)
+    begun[at + 1] += 1
+    begun[at + n_copied] -= 1
+    starts = np.flatnonzero(np.cumsum(begun[:n]) == 0)
+    lengths, distances = np.ones(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    lengths[at], distances[at] = n_copied, far[taken]
+    return starts, lengths[starts], distances[starts]
+
+
+class _Form:
+    """Green symbols of an image, with references where these take fewer bits, and the bits in all."""
+
+    def __init__(self, values: np.ndarray, width: int, alpha: int = 255):
+        self.values, self.cache = values, 0
+        plain = _entropy(np.bincount(values, minlength=LITERALS))
+        starts, lengths, distances = _references(values)
+        copies = np.flatnonzero(distances)
+        near, far = _near_codes(width), distances[copies]
+        codes = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], far + len(NEAR))
+        length, distance = _prefixes(lengths[copies]), _prefixes(codes)
+        symbols = values[starts].astype(np.int64)
+        symbols[copies] = LITERALS + length[0]
+        self.bits = _entropy(np.bincount(symbols)) + _entropy(np.bincount(distance[0])) + float(length[1].sum() + distance[1].sum()) if len(copies) else plain
+        if plain <= self.bits:
+            starts, copies, symbols, self.bits = np.arange(len(values)), copies[:0], values.astype(np.int64), plain
+            length = distance = (copies, copies, copies)
+        self.starts, self.copies, self.symbols, self.length, self.distance = starts, copies, symbols, length, distance
+        self._take_cache(alpha)
+
+    def _take_cache(self, alpha: int) -> None:
+        """Takes a colour cache if most pixels are literals and those that it holds are written in clearly fewer bits."""
+        if 4 * (len(self.symbols) - len(self.copies)) < 3 * len(self.values):
+            return
+        taken = np.ones(len(self.symbols), dtype=bool)
+        taken[self.copies] = False
+        bits = 4
+        slot = ((CACHE_MULTIPLIER * (alpha << 24 | np.arange(256) << 8) & 0xFFFFFFFF) >> (32 - bits)).astype(np.uint8)[self.values]
+        order = np.argsort(slot, kind="stable")
+        hit = np.zeros(len(self.values), dtype=bool)  # the last pixel of this slot was of this colour
+        hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (self.values[order[1:]] == self.values[order[:-1]])
+        taken &= hit[self.starts]
+        if 2 * np.count_nonzero(taken) < len(taken):
+            return
+        symbols = np.where(taken, LITERALS + LENGTH_CODES + slot[self.starts].astype(np.int64), self.symbols)
+        saved = _entropy(np.bincount(self.symbols)) - _entropy(np.bincount(symbols))
+        if saved > self.bits / LEAST_SAVING:
+            self.symbols, self.cache, self.bits = symbols, bits, self.bits - saved
+
+
+def _smooth(samples: np.ndarray, width: int, plain: float) -> bool:
+    """Whether neighbours differ by so little that differences may take fewer bits than the samples."""
+    s = samples.astype(np.int16)
+    steps = [np.abs(s[k:] - s[:-k]).mean() for k in (1, width) if len(s) > k]
+    return bool(steps) and float(np.log2(2 * np.e * min(steps) + 1)) * len(s) < plain
+
+
+def _residuals(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Samples less what the mode predicts; the first row is predicted from the left, the first column from above."""
+    s = samples.reshape(-1, width).astype(np.int16)
+    guess = np.zeros_like(s)
+    guess[0, 1:], guess[1:, 0] = s[0, :-1], s[:-1, 0]
+    left, top = s[1:, :-1], s[:-1, 1:]
+    guess[1:, 1:] = left if mode == 1 else top if mode == 2 else (left + top) >> 1
+    return (s - guess).astype(np.uint8).ravel()
+
+
+class _Stream:
+    def __init__(self):
+        self.value = self.bits = 0
+
+    def put(self, *fields: tuple[int, int]) -> None:
+        for value, bits in fields:
+            self.value |= value << self.bits
+            self.bits += bits
+
+    def put_many(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """Fields of at most 32 bits."""
+        used = widths > 0
+        if not used.any():
+            return
+        values, widths = values[used], widths[used]
+        at = self.bits + np.cumsum(widths) - widths
+        code = values.astype(np.uint64) << (at & 31).astype(np.uint64)
         words = int(at[-1] >> 5) + 2
         low = np.bincount(at >> 5, (code & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
         high = np.bincount((at >> 5) + 1, (code >> np.uint64(32)).astype(np.float64), words)
-        end = int(at[-1] + n[-1])
-        value |= int.from_bytes((low + high).astype("<u4").tobytes(), "little")
-        bits = end
-    return riff(value.to_bytes((bits + 7) // 8, "little"))
+        self.value |= int.from_bytes((low + high).astype("<u4").tobytes(), "little")
+        self.bits = int(at[-1] + widths[-1])
+
+
+ONLY_ZERO = (0b0001, 4)
+
+
+def _only(symbol: int) -> tuple[int, int]:
+    return 0b101 | symbol << 3, 11
+
+
+def _coded(symbols: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, widths) of the symbols; a code of one symbol takes no bits."""
+    n = np.array(lengths) if sum(map(bool, lengths)) > 1 else np.zeros(len(lengths), dtype=np.int64)
+    return np.array(canonical(lengths), dtype=np.int64)[symbols], n[symbols]
+
+
+def _put_palette(out: _Stream, shades: np.ndarray) -> None:
+    steps = np.diff(shades.astype(np.int64), prepend=0) & 255
+    alphas = np.array([255] + [0] * (len(shades) - 1))
+    out.put((1 | PALETTE << 1, 3), (len(shades) - 1, 8), (0, 1))
+    fields = []
+    for symbols, alphabet in ((steps, LITERALS + LENGTH_CODES), (steps, 256), (steps, 256), (alphas, 256)):
+        lengths = code_lengths(np.bincount(symbols, minlength=256))
+        out.put(write_lengths(lengths, alphabet))
+        fields.append(_coded(symbols, lengths))
+    out.put(ONLY_ZERO)
+    out.put_many(*(np.stack([f[k] for f in fields], axis=1).ravel() for k in (0, 1)))
+
+
+def encode_gray(samples: np.ndarray, width: int) -> bytes:
+    """A lossless WebP file of grey pixels; the number of samples is a multiple of ``width``."""
+    height = len(samples) // width
+    counts = np.bincount(samples, minlength=256)
+    form, kind, extra = _Form(samples, width), SUBTRACT_GREEN, 0
+    shades = np.flatnonzero(counts)
+    if 1 < len(shades) <= 16:
+        width_bits = 3 if len(shades) <= 2 else 2 if len(shades) <= 4 else 1
+        per, coded = 1 << width_bits, _blocks(width, width_bits)
+        index = np.zeros((height, coded * per), dtype=np.uint8)
+        index[:, :width] = np.searchsorted(shades, samples).reshape(height, width)
+        packed = (index.reshape(height, coded, per) << (np.arange(per, dtype=np.uint8) * (8 >> width_bits))).sum(axis=2).astype(np.uint8).ravel()
+        other = _Form(packed, coded)
+        if other.bits + 60 + 16 * len(shades) < form.bits:
+            form, kind = other, PALETTE
+    plain = _entropy(counts)
+    for mode in PREDICTORS if _smooth(samples, width, plain) else ():
+        rest = _residuals(samples, width, mode)
+        if _entropy(np.bincount(rest, minlength=256)) < plain:
+            other = _Form(rest, width, ALPHA[True])
+            if other.bits + 40 < form.bits * (1 - 1 / LEAST_SAVING):
+                form, kind, extra = other, PREDICTOR, mode
+
+    out = _Stream()
+    out.put((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3))
+    if kind == PALETTE:
+        _put_palette(out, shades)
+    else:
+        out.put((1 | SUBTRACT_GREEN << 1, 3))
+    if kind == PREDICTOR:  # one mode in blocks of the largest size
+        out.put((1 | PREDICTOR << 1, 3), (7, 3), (0, 1), _only(extra), ONLY_ZERO, ONLY_ZERO, _only(255), ONLY_ZERO)
+    out.put((0, 1), (1 | form.cache << 1, 5) if form.cache else (0, 1), (0, 1))  # no further transform, the cache, one group of codes
+    alphabet = LITERALS + LENGTH_CODES + (1 << form.cache if form.cache else 0)
+    lengths = code_lengths(np.bincount(form.symbols, minlength=256))
+    far = code_lengths(np.bincount(form.distance[0]), DISTANCE_BITS) if len(form.copies) else []
+    out.put(write_lengths(lengths, alphabet), ONLY_ZERO, ONLY_ZERO, _only(ALPHA[kind == PREDICTOR]), write_lengths(far, DISTANCE_CODES) if far else ONLY_ZERO)
+    # of each symbol its code, then of a copy the rest of the length, the distance's code and its rest
+    values, widths = np.zeros((2, len(form.symbols), 4), dtype=np.int64)
+    values[:, 0], widths[:, 0] = _coded(form.symbols, lengths)
+    if far:
+        values[form.copies, 1], widths[form.copies, 1] = form.length[2], form.length[1]
+        values[form.copies, 2], widths[form.copies, 2] = _coded(form.distance[0], far)
+        values[form.copies, 3], widths[form.copies, 3] = form.distance[2], form.distance[1]
+    out.put_many(values.ravel(), widths.ravel())
+    return riff(out.value.to_bytes((out.bits + 7) // 8, "little"))

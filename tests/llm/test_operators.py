@@ -715,6 +715,16 @@ def test_media_round_trip(spark):
     assert media.media_columns(nothing(spark)).count() == 0
 
 
+def test_images_of_any_colour_come_out_whole(spark):
+    from tests.llm.test_webp import noise, write
+
+    images = [noise(1, 6, 9, 40), noise(2, 4, 70)]
+    stored = spark.createDataFrame([(7, b"".join(map(write, images))), (8, b"")], "doc_id long, media binary")
+    out = media.decode_images(stored).orderBy("frame").collect()
+    assert [(r.doc_id, r.frame, r.height, r.width) for r in out] == [(7, 0, 6, 9), (7, 1, 4, 70)]
+    assert [bytes(r.pixels) for r in out] == [i.astype("<u4").tobytes() for i in images]
+
+
 # --- 9: packing ------------------------------------------------------------------------------------------------------------
 
 

@@ -226,6 +226,56 @@ def test_lanes_and_whole_decoder_agree():
     assert np.array_equal(grey >> 16 & 255, grey & 255)
 
 
+def steps_of(data):
+    """Transforms, whether there is a cache, and whether pixels are copied."""
+    bits = webp.Bits(webp.vp8l_data(data))
+    _, height, coded, transforms = webp._header(bits)
+    cache, _, _, groups = webp.read_groups(bits, coded, height, True)
+    return [t[0] for t in transforms], cache > 0, any(groups[0][0].lengths[256:280])
+
+
+def test_the_writer_takes_every_step_where_it_saves_bits():
+    rng = np.random.default_rng(5)
+    text = (" ".join(f"the {w} of the {w}" for w in rng.integers(0, 900, 200))).encode()[: 64 * 30]
+    slot = np.array([(webp.CACHE_MULTIPLIER * (0xFF000000 | g << 8) & 0xFFFFFFFF) >> 28 for g in range(256)])
+    pools = [[int(np.flatnonzero(slot == k)[turn]) for k in np.unique(slot) if (slot == k).sum() > 5] for turn in range(6)]
+    made = {
+        "copies": np.frombuffer(text, dtype=np.uint8),
+        "predictor": (np.cumsum(rng.integers(-2, 3, 64 * 60)) + 100 & 255).astype(np.uint8),
+        "palette": (rng.random(64 * 60) < 0.1).astype(np.uint8) * 9 + 65,
+        "cache": np.concatenate([rng.choice(p, 64 * 20) for p in pools]).astype(np.uint8),
+    }
+    files = {k: webp.encode_gray(v, 64) for k, v in made.items()}
+    for (k, v), lane in zip(made.items(), webp.decode_gray_many(list(files.values())), strict=True):
+        assert np.array_equal(lane, v), k
+        whole = webp.decode(files[k])
+        assert np.array_equal(whole.ravel(), 0xFF000000 | v.astype(np.uint32) * 0x010101), k
+    assert steps_of(files["copies"])[2]
+    assert webp.PREDICTOR in steps_of(files["predictor"])[0]
+    assert steps_of(files["palette"])[0] == [webp.PALETTE]
+    assert steps_of(files["cache"])[1]
+
+
+@pytest.mark.parametrize("width", [1, 5, 64, 200])
+def test_written_images_of_all_widths_come_back(width):
+    rng = np.random.default_rng(width)
+    for height in (1, 2, 9, 300):
+        for colours in (1, 2, 4, 16, 17, 256):
+            a = rng.integers(0, colours, width * height, dtype=np.uint8) * (255 // colours)
+            a[len(a) // 2 :] = a[: len(a) - len(a) // 2]
+            f = webp.encode_gray(a, width)
+            assert np.array_equal(webp.decode_gray_many([f])[0], a) and np.array_equal((webp.decode(f) & 255).ravel(), a)
+
+
+def test_broken_copies_are_no_image():
+    text = np.frombuffer((b"abcdefgh" * 40 + b"ijkl" * 16)[:320], dtype=np.uint8)
+    f = webp.encode_gray(text, 64)
+    assert steps_of(f)[2]
+    short = webp.riff(webp.vp8l_data(f)[:-2])
+    with pytest.raises(webp.FormatError):
+        webp.decode_gray_many([short, webp.encode_gray(np.tile(text, 9), 64)])
+
+
 def test_broken_files():
     f = webp.encode_gray(np.arange(64, dtype=np.uint8), 64)
     for bad in (b"", f[:30], b"RIFX" + f[4:], f[:20] + b"\0" + f[21:]):
