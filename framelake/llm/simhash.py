@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.session import settle, ship_package, tidy
+from framelake.session import reclaim, settle, ship_package, tidy
 
 from .common import staged
 
@@ -303,7 +303,9 @@ def similar_pairs(marked: DataFrame, docs: DataFrame, *, words: int, similarity:
     copies is not expanded into its pairs.
     """
     spread = marked.select("sid", "fp", "n", F.posexplode("prefix").alias("at", "shingle"))
+    reclaim(docs.sparkSession)  # all first shingles are shuffled twice, which is most of the stage's disk
     met = staged(spread.groupBy("shingle").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("shingle"), "simhash-met-shingles")
+    reclaim(docs.sparkSession)
     members = staged(spread.join(met, "shingle").groupBy("shingle", "sid").agg(*(F.min(x).alias(x) for x in ("fp", "n", "at"))), "simhash-members")
     one = F.struct("sid", "fp", "n", "at")
     sizes = members.groupBy("shingle").agg(F.count("*").alias("m"), F.min(one).alias("top"))
@@ -366,6 +368,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, radius: int = 4, bl
     kept = staged(chosen.select("fp", "id"), "simhash-kept")
     rows = marked.join(kept, (marked.fp == kept.fp) & marked.doc_id.eqNullSafe(kept.id)).select(marked.doc_id, marked.fp)
     repeats = staged(rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "simhash-rows")
+    reclaim(docs.sparkSession)  # before the texts are shuffled
     kept_docs = _with_fingerprint(docs, words, text).join(repeats.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept")), F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
     if not repeats.where("n > 1").isEmpty():
         kept_docs = kept_docs.dropDuplicates([key, "__fp"])

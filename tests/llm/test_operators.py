@@ -6,13 +6,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from framelake.llm import decontam, kneser_ney, langid, media, packing, pii, queries, sharding, simhash, suffix_index, url_filter
+from framelake.session import settle, staged
 
 from .edge import LONG, ROWS, documents, nothing
 
@@ -843,3 +846,14 @@ def test_each_stage_starts_on_collected_heaps(spark, sf_dir):
         finally:
             corpus_pipeline.settle = held
         assert len(seen) == 2 and seen[1] > seen[0], name
+
+
+def test_settling_frees_the_disk_of_ended_steps_only(spark):
+    steps = [staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), f"test-{at}") for at in range(6)]
+    folders = [Path(x.inputFiles()[0].removeprefix("file:")).parent for x in steps]
+    derived = steps[4].join(steps[5].select("k", F.col("n").alias("m")), "k").where("k > 2").select("k", "m")
+    del steps
+    for _ in range(5):  # Python's release of a plan may reach the JVM after its collection
+        settle(spark)
+    assert [x.is_dir() for x in folders] == [False] * 4 + [True] * 2
+    assert derived.count() == 4
