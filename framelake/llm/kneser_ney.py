@@ -38,6 +38,7 @@ BLOCK_ROWS, LONG, BLOCK_BYTES = 8192, 1 << 14, 1 << 25
 #: rows of the highest order and bytes of text to a shard and each of its copies
 LEAST_SHARDS, SHARD_ROWS, COPY_BYTES = 24, 500_000, 1 << 25
 LEAST_CLASS, LEAST_DISCOUNT = 100, 0.1
+TEXT_BITS = 21  # of a text's number within a part, below the bits of an n-gram
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -173,15 +174,26 @@ def by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(shard[part[0]]), part
 
 
+def _leads(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted values is the first of its kind."""
+    return np.concatenate((np.ones(min(1, len(ordered)), dtype=bool), ordered[1:] != ordered[:-1]))
+
+
+def _different(codes: np.ndarray) -> np.ndarray:
+    """The different codes, sorted; ``np.unique`` takes four times as long."""
+    ordered = np.sort(codes)
+    return ordered[_leads(ordered)]
+
+
 def _distinct(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The different n-grams of all texts, sorted; what is found is merged whenever it has grown as large as what is known."""
     known, found, size = np.empty(0, dtype=np.int64), [], 0
     for _, part in _parts(column):
-        found.append(np.unique(grams(part)[0]))
+        found.append(_different(grams(part)[0]))
         size += len(found[-1])
         if size > len(known):
-            known, found, size = np.unique(np.concatenate([known, *found])), [], 0
-    return np.unique(np.concatenate([known, *found])) if found else known
+            known, found, size = _different(np.concatenate([known, *found])), [], 0
+    return _different(np.concatenate([known, *found])) if found else known
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -261,16 +273,16 @@ def _bits(column: pa.Array, known: np.ndarray, price: np.ndarray) -> tuple[np.nd
         codes, n = grams(part)
         if not len(codes):
             continue
-        at = np.searchsorted(known, codes)
-        sums = np.concatenate(([0.0], np.cumsum(price[at], dtype=np.float64)))
-        ends = np.cumsum(n)
-        place = np.repeat(np.arange(len(n)), n) * len(known) + at
-        different = np.bincount(np.unique(place) // len(known), minlength=len(n))
-        here = slice(first, first + len(part))
-        sizes[here] = n
-        with np.errstate(invalid="ignore"):
-            bits[here] = (sums[ends] - sums[ends - n]) / n
-            variety[here] = different / n
+        sizes[first : first + len(part)] = n
+        filled = np.flatnonzero(n)  # no more than 2**20 in a part, so their numbers fit beside the codes
+        # n-grams are looked up in order and once a part: at every byte by itself they would be found far apart in ``known``
+        keys = np.sort(codes << TEXT_BITS | np.repeat(np.arange(len(filled)), n[filled]))
+        starts = np.flatnonzero(_leads(keys))
+        times, code, number = np.diff(starts, append=len(keys)), keys[starts] >> TEXT_BITS, keys[starts] & ((1 << TEXT_BITS) - 1)
+        lead = _leads(code)
+        paid = price[np.searchsorted(known, code[lead])].astype(np.float64)[np.cumsum(lead) - 1]
+        bits[first + filled] = np.bincount(number, weights=times * paid, minlength=len(filled)) / n[filled]
+        variety[first + filled] = np.bincount(number, minlength=len(filled)) / n[filled]
     return sizes, bits, variety
 
 
@@ -291,7 +303,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", kept: list[str]
         known = [unpressed(c.as_py()) for c in right.column("codes")] or [np.empty(0, dtype=np.int64)]
         price = [np.frombuffer(c.as_py(), dtype="<f4") for c in right.column("costs")] or [np.empty(0, dtype=np.float32)]
         known, price = np.concatenate(known), np.concatenate(price)
-        order = np.argsort(known)  # a block asked in two batches may have an n-gram twice, at the same price
+        order = np.argsort(known)
+        order = order[_leads(known[order])]  # a block asked in several batches may have an n-gram in each, at the same price
         known, price = known[order], price[order]
         out = []
         for packed in left.column("rows"):

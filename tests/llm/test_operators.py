@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -458,6 +459,34 @@ def test_quality_by_force(spark, sf_dir):
             assert got[r.doc_id].kept == (bits <= high and variety >= low)
 
 
+def test_bits_look_up_each_ngram_once_and_alike_in_any_place(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdé \n") for _ in range(rng.choice((0, 1, 4, 300)))) for _ in range(400)] + [None]
+    data = [(t or "").encode() for t in texts * 2]
+    codes = kneser_ney.grams(data)[0]
+    known = np.unique(codes)
+    price = np.random.default_rng(4).random(len(known), dtype=np.float32) * 9
+    paid, asked, search = dict(zip(known.tolist(), price.tolist(), strict=True)), [], np.searchsorted
+
+    def counted(a, v, *rest):
+        asked.append(np.asarray(v))
+        return search(a, v, *rest)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    sizes, bits, variety = kneser_ney._bits(pa.array(texts * 2), known, price)
+    assert sum(len(v) for v in asked) == len(known)
+    assert sizes.tolist() == [len(t) for t in data]
+    half = len(texts)
+    assert np.array_equal(bits[:half], bits[half:], equal_nan=True) and np.array_equal(variety[:half], variety[half:], equal_nan=True)
+    for k in range(half):
+        mine = kneser_ney.grams([data[k]])[0].tolist()
+        if not mine:
+            assert np.isnan(bits[k]) and np.isnan(variety[k])
+            continue
+        assert bits[k] == pytest.approx(sum(paid[g] for g in mine) / len(mine), rel=1e-9)
+        assert variety[k] == len(set(mine)) / len(mine)
+
+
 def test_quality_rejects_junk_and_keeps_clean_text(spark, sf_dir):
     sf = sf_dir.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(sf + "/documents.parquet"), spark.read.parquet(sf + "/labels.parquet")
