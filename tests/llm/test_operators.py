@@ -128,6 +128,18 @@ def test_similar_short_texts_are_one_group(spark):
     assert kept == set(range(0, len(rows), 2))
 
 
+def test_sampled_counts_of_shingles_change_no_result(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(sf_dir + "/documents.parquet")
+    pairs = []
+    for sets, seen in ((20_000, 5), (20_000, 1), (40, 1), (0, 1)):
+        monkeypatch.setattr(simhash, "SAMPLE_SETS", sets)
+        monkeypatch.setattr(simhash, "LEAST_SEEN", seen)
+        marked = staged(simhash._sketched(docs, 5, 0.8, "doc_id", "text"), "test-marked")
+        found = simhash.similar_pairs(marked, docs, words=5, similarity=0.8, crowd=10_000, key="doc_id", text="text")
+        pairs.append({(r.a, r.b) for r in found.collect()})
+    assert pairs[0] and all(p == pairs[0] for p in pairs)
+
+
 def test_parities_differ_at_most_as_the_sets(spark):
     rng = np.random.default_rng(11)
     rows, true = [], []
