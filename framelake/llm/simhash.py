@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,9 +117,9 @@ def links(fps: DataFrame, *, radius: int = 4, blocks: int = 3, crowd: int = 64)
     small = small.where(F.size("lower") > 0).select(F.element_at("lower", 1).alias("a"), F.explode(F.concat(F.array("b"), F.expr("slice(lower, 2, size(lower))"))).alias("b"))
     hot = members.where(F.col("n") > crowd).select("fp").distinct()
     if not hot.isEmpty():
-        spread = _variants(hot, radius, 1)
-        least = spread.groupBy("variant").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("variant", "a")
-        small = small.unionByName(spread.join(least, "variant").where("a < fp").select("a", F.col("fp").alias("b")))
+        # no join: Spark takes a ball for as small as its few members, and would broadcast 2,081 rows of each from the driver
+        spread = _variants(hot, radius, 1).withColumn("a", F.min("fp").over(Window.partitionBy("variant")))
+        small = small.unionByName(spread.where("a < fp").select("a", F.col("fp").alias("b")))
     return pairs.unionByName(small).distinct()
 
 

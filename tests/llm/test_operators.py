@@ -85,6 +85,17 @@ def test_links_broadcast_no_more_than_their_bound(spark, monkeypatch):
     assert {f: got.get(f, f) for f in fps} == groups_by_force(fps)
 
 
+def test_links_of_a_crowd_broadcast_no_ball(spark):
+    rng = random.Random(13)
+    base = rng.getrandbits(64) - (1 << 63)
+    fps = {base ^ simhash._signed(1 << a ^ 1 << b) for a, b in (rng.sample(range(64), 2) for _ in range(100))} | {rng.getrandbits(64) - (1 << 63) for _ in range(40)}
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), crowd=8)
+    rows = found.collect()
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()  # the plan as it ran
+    got = {r.v: r.root for r in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert {f: got.get(f, f) for f in fps} == groups_by_force(fps)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     out = simhash.near_duplicates(documents(spark)).collect()
     assert len(out) == len(ROWS)
